@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import parts_for, ship_package, stage, unstage
+from ..runtime import parts_for, ship_package, slots, stage, unstage
 
 #: Edges that one task takes in: about 300 MB of Python memory with paths of 60 bytes.
 EDGES_PER_TASK = 1 << 20
@@ -85,13 +85,11 @@ def connected_groups(
     kind = pairs.schema["member"].dataType.simpleString()
     schema = f"member {kind}, root {kind}"
     pairs = stage(pairs, "edges")
-    size = pairs.count()
-    parts = parts_for(size, edges_per_task)
+    parts = parts_for(pairs.count(), edges_per_task, slots(spark))
     forest = stage(_spread(pairs, parts).mapInArrow(forest_of, schema), "forest")
     unstage(pairs)
     while parts > 1:
-        size = forest.count()
-        fewer = parts_for(size, edges_per_task)
+        fewer = parts_for(forest.count(), edges_per_task)
         if fewer >= parts:
             forest = _finish(forest, schema, edges_per_task)
             break

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..tables import table
 from .components import connected_groups
+from .fingerprints import alike_pairs
 from .lookalike import lookalike_pairs
 
 
@@ -22,6 +23,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return connected_groups(accepted)
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "files", "ord", "full_hash", "duration", "fingerprint", "fingerprint_version", "image_fingerprint", "audio_fingerprint")
+    found = [alike_pairs(files, medium).select(F.lit(medium).alias("medium"), "ord_a", "ord_b") for medium in ("video", "image", "audio")]
+    return found[0].union(found[1]).union(found[2])
+
+
 P3_SQL = """
 WITH RECURSIVE accepted AS (
   SELECT DISTINCT "left" AS a, "right" AS b FROM video_matches
@@ -35,7 +42,7 @@ SELECT member, min(other) AS group_key FROM reach GROUP BY member
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
