@@ -10,9 +10,21 @@ from pyspark.sql import functions as F
 from ..tables import table
 from .components import connected_groups
 from .fingerprints import alike_pairs
+from .layouts import layout_groups
 from .lookalike import lookalike_pairs
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    names = table(spark, folder, "files", "ord", "raw_name").select(F.col("ord").alias("key"), F.lit("").alias("scope"), F.col("raw_name").alias("name"))
+    titles = table(spark, folder, "name_cache", "name_id", "core_title", "year", "episode").select(
+        F.col("name_id").alias("key"),
+        F.concat_ws("/", F.coalesce(F.col("year").cast("string"), F.lit("-")), F.coalesce(F.col("episode").cast("string"), F.lit("-"))).alias("scope"),
+        F.col("core_title").alias("name"),
+    )
+    found = [layout_groups(names, looks=True).withColumn("tab", F.lit("files")), layout_groups(titles).withColumn("tab", F.lit("name_cache"))]
+    return found[0].union(found[1]).where("key <> first_key").select("tab", "first_key", F.col("key").alias("copy_key"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike_pairs(table(spark, folder, "files", "ord", "raw_name"))
 
@@ -42,7 +54,7 @@ SELECT member, min(other) AS group_key FROM reach GROUP BY member
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
