@@ -58,21 +58,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def without_hot(values: np.ndarray, offsets: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and their items (positions), less the hot words of items with at least as many others."""
+    sizes = np.diff(offsets)
+    item = np.repeat(np.arange(len(sizes)), sizes)
+    words = values[offsets[0] : offsets[-1]]
+    if not len(hot) or not len(words):
+        return words, item
+    common = np.isin(words, hot)
+    cold = np.bincount(item, ~common, len(sizes))
+    kept = ~common | (2 * cold < sizes)[item]
+    return words[kept], item[kept]
+
+
 def packed(parts: int, bits: int, tolerance: int, k: int, hot: np.ndarray):
     """Batches of (id, words) to binary columns per (owner of the prefix token, place of the token)."""
     edges = block_edges(bits, k + tolerance)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, offsets = flat(batch.column(1))
-            item = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            words = values[offsets[0] : offsets[-1]]
+            words, item = without_hot(*flat(batch.column(1)), hot)
             ids = np.asarray(batch.column(0))[item]
-            if len(hot) and len(words):
-                common = np.isin(words, hot)
-                cold = np.bincount(item, ~common, batch.num_rows)
-                kept = ~common | (2 * cold < np.diff(offsets))[item]
-                words, ids = words[kept], ids[kept]
             out: list[tuple[int, int, bytes, bytes]] = []
             for lead in range(tolerance + 1):
                 owner = mixed(block(words, edges, lead) * np.uint64(64) + np.uint64(lead)) % np.uint64(parts)

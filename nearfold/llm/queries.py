@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..tables import table
 from .components import connected_groups
 from .fingerprints import alike_pairs
+from .history import refused_rows
 from .layouts import layout_groups
 from .lookalike import lookalike_pairs
 
@@ -41,6 +42,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return found[0].union(found[1]).union(found[2])
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ("ord", "full_hash", "duration", "fingerprint", "fingerprint_version")
+    return refused_rows(table(spark, folder, "files", *columns), table(spark, folder, "incoming_files", *columns, "batch_no"))
+
+
 P3_SQL = """
 WITH RECURSIVE accepted AS (
   SELECT DISTINCT "left" AS a, "right" AS b FROM video_matches
@@ -54,7 +60,7 @@ SELECT member, min(other) AS group_key FROM reach GROUP BY member
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
