@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..tables import table
 from .components import connected_groups
+from .encoding import token_counts, token_ids
 from .fingerprints import alike_pairs
 from .history import refused_rows
 from .layouts import layout_groups
 from .lookalike import lookalike_pairs
+from .packing import packed_items
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,6 +49,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return refused_rows(table(spark, folder, "files", *columns), table(spark, folder, "incoming_files", *columns, "batch_no"))
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return token_ids(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packed_items(token_counts(table(spark, folder, "documents", "doc_id", "text")), "doc_id", "tokens")
+
+
 P3_SQL = """
 WITH RECURSIVE accepted AS (
   SELECT DISTINCT "left" AS a, "right" AS b FROM video_matches
@@ -60,7 +70,7 @@ SELECT member, min(other) AS group_key FROM reach GROUP BY member
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed}
 
 
 def oracle_sql() -> dict[str, str]:
