@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
+from .abuse import THRESHOLD, scored_documents, source_rates
 from .components import connected_groups
 from .encoding import token_counts, token_ids
 from .fingerprints import alike_pairs
@@ -57,6 +58,22 @@ def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packed_items(token_counts(table(spark, folder, "documents", "doc_id", "text")), "doc_id", "tokens")
 
 
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
+    return scored_documents(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "labels", "doc_id", "abusive"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _scores(spark, folder).where(F.col("score") >= THRESHOLD).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _scores(spark, folder)
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return source_rates(_scores(spark, folder))
+
+
 P3_SQL = """
 WITH RECURSIVE accepted AS (
   SELECT DISTINCT "left" AS a, "right" AS b FROM video_matches
@@ -70,7 +87,10 @@ SELECT member, min(other) AS group_key FROM reach GROUP BY member
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed}
+    return {
+        "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found,
+        "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
