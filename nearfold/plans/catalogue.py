@@ -1,15 +1,649 @@
-"""The catalogue of queries over a data folder, each with the SQL that must give the same rows."""
+"""The catalogue of queries over a data folder, each with the SQL that must give the same rows.
+
+Every query takes its whole tables. Searches that have no result of linear size take as queries the
+rows whose ord or id is divisible by 100, against all rows. Queries without SQL are those that SQL
+cannot state or only at a cost that grows with the square of the tables; their operators are tested
+against plain implementations.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import media, paths
+from ..functions.hashing import ALGORITHM, full_hash, partial_hash
+from ..functions.names import contextual_name, normalized_name
+from ..operators import clusters, evaluation, exact, journal, matching, naming, planning, review, store
+from ..sources.listing import owned_by_first_root
+from ..tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL where there is one."""
+
+    def register(function: Query) -> Query:
+        QUERIES[function.__name__] = function
+        if sql:
+            SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+# Exact duplicates
+
+
+@query("""
+SELECT full_hash AS hash_value, arg_min(size, ord) AS size, count(*) AS copies,
+       string_agg(path, '|' ORDER BY path) AS paths, 100.0::DOUBLE AS similarity
+FROM files WHERE full_hash IS NOT NULL GROUP BY full_hash HAVING count(*) > 1
+""")
+def exact_groups(spark: SparkSession, folder: str) -> DataFrame:
+    groups = exact.exact_groups(table(spark, folder, "files", "ord", "path", "size", "full_hash"))
+    return groups.withColumn("paths", F.array_join("paths", "|")).orderBy(F.desc("size"), "paths")
+
+
+def _contents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "source", "text").where("text is not null")
+    content = F.col("text").cast("binary")
+    return docs.select("doc_id", "source", content.alias("content"), F.octet_length(content).cast("long").alias("size"))
+
+
+WINDOWS_SQL = """
+SELECT doc_id, source, encode(text) AS content, octet_length(encode(text))::BIGINT AS size,
+  CASE WHEN octet_length(encode(text)) <= 65536 THEN [0::BIGINT] ELSE list_sort(list_distinct(
+    [0::BIGINT, octet_length(encode(text)) - 65536] ||
+    list_transform([1.0::DOUBLE / 3, 1.0::DOUBLE / 2, 2.0::DOUBLE / 3],
+      lambda f: greatest(0, least(floor(octet_length(encode(text)) * f)::BIGINT, octet_length(encode(text)) - 65536))))) END AS starts
+FROM documents WHERE text IS NOT NULL
+"""
+PARTIAL_SQL = f"""
+SELECT doc_id, source, content, size,
+  sha256(list_reduce([encode(size::VARCHAR)] || list_transform(starts, lambda s: content[s + 1:s + 65536]), lambda a, b: a || b)) AS partial_hash
+FROM ({WINDOWS_SQL})
+"""
+
+
+@query(f"SELECT doc_id, size, partial_hash FROM ({PARTIAL_SQL})")
+def partial_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    return _contents(spark, folder).select("doc_id", "size", partial_hash(F.col("content")).alias("partial_hash"))
+
+
+@query("SELECT doc_id, 'sha256' AS algorithm, sha256(text) AS digest FROM documents")
+def full_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return docs.select("doc_id", F.lit(ALGORITHM).alias("algorithm"), full_hash(F.col("text")).alias("digest"))
+
+
+@query(f"""
+WITH h AS ({PARTIAL_SQL}),
+s AS (SELECT * FROM h WHERE size IN (SELECT size FROM h GROUP BY size HAVING count(*) > 1)),
+p AS (SELECT * FROM s WHERE (size, partial_hash) IN (SELECT (size, partial_hash) FROM s GROUP BY size, partial_hash HAVING count(*) > 1))
+SELECT (SELECT count(*) FROM h) AS contents, (SELECT count(*) FROM s) AS same_size, (SELECT count(*) FROM p) AS same_partial,
+  (SELECT count(*) FROM p WHERE sha256(content) IN (SELECT sha256(content) FROM p GROUP BY 1 HAVING count(*) > 1)) AS same_content
+""")
+def exact_prune_counts(spark: SparkSession, folder: str) -> DataFrame:
+    contents = _contents(spark, folder)
+    hashed = exact.hashed_contents(contents)
+    same = exact.collided(hashed, "full_hash", "full_hash_algo")
+    counts = [contents.agg(F.count("*").alias("contents")), exact.collided(contents, "size").agg(F.count("*").alias("same_size")), hashed.agg(F.count("*").alias("same_partial")), same.agg(F.count("*").alias("same_content"))]
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).crossJoin(counts[3])
+
+
+# Sources and media types
+
+MEDIA_SQL = """CASE WHEN regexp_extract(lower(path), '[^/](\\.[^./]+)$', 1) IN ({video}) THEN 'video'
+ WHEN regexp_extract(lower(path), '[^/](\\.[^./]+)$', 1) IN ({image}) THEN 'image'
+ WHEN regexp_extract(lower(path), '[^/](\\.[^./]+)$', 1) IN ({audio}) THEN 'audio' ELSE 'file' END""".format(
+    **{k: ", ".join(f"'{x}'" for x in v) for k, v in media.MEDIA.items()}
+)
+
+
+@query(f"SELECT {MEDIA_SQL} AS media_type, count(*) AS files, sum(size)::BIGINT AS bytes FROM files GROUP BY 1")
+def media_types(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "files", "path", "size")
+    return files.groupBy(media.media_type(F.col("path")).alias("media_type")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+@query(f"""
+WITH claims AS (
+  SELECT f.path, r.root, row_number() OVER (PARTITION BY f.path ORDER BY r.position, r.root) AS nth
+  FROM files f JOIN roots r ON f.path = r.root OR starts_with(f.path, r.root || '/')
+  WHERE {MEDIA_SQL.replace("path", "f.path")} <> 'file'
+)
+SELECT root, count(*) AS files FROM claims WHERE nth = 1 GROUP BY root
+""")
+def first_root_wins(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "files", "path").where(media.has_extension(F.col("path")))
+    owned = owned_by_first_root(files, table(spark, folder, "roots", "root", "position"))
+    return owned.groupBy("root").agg(F.count("*").alias("files"))
+
+
+@query("""
+SELECT regexp_replace(path, '/[^/]*$', '') AS folder, count(*) AS files,
+  len(string_split(trim(regexp_replace(path, '/[^/]*$', ''), '/'), '/')) AS depth
+FROM files GROUP BY ALL
+""")
+def source_folders(spark: SparkSession, folder: str) -> DataFrame:
+    return planning.source_folders(table(spark, folder, "files", "path"))
+
+
+# Similarity joins
+
+
+@query("""
+SELECT a.ord AS ord_a, b.ord AS ord_b,
+  0.8 * (100.0 * (1.0 - bit_count(xor(a.image_fingerprint[1], b.image_fingerprint[1])) / 64.0::DOUBLE)) + 0.2 * (100.0 * (1.0 -
+  (abs(a.image_fingerprint[2] - b.image_fingerprint[2]) + abs(a.image_fingerprint[3] - b.image_fingerprint[3]) + abs(a.image_fingerprint[4] - b.image_fingerprint[4])) / 765.0::DOUBLE)) AS similarity
+FROM files a JOIN files b ON a.ord < b.ord AND len(a.image_fingerprint) = 4 AND len(b.image_fingerprint) = 4
+  AND bit_count(xor(a.image_fingerprint[1], b.image_fingerprint[1])) <= 8 AND NOT coalesce(a.full_hash = b.full_hash, false)
+WHERE similarity >= 90
+""")
+def image_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return matching.image_matches(table(spark, folder, "files", "ord", "full_hash", "image_fingerprint"))
+
+
+@query("""
+WITH t AS (SELECT ord, full_hash, duration, audio_fingerprint AS w, len(audio_fingerprint) AS n FROM files
+  WHERE len(audio_fingerprint) > 0 AND duration IS NOT NULL AND NOT isnan(duration)),
+p AS (SELECT a.ord AS ord_a, b.ord AS ord_b, a.w AS aw, b.w AS bw, a.n AS an, b.n AS bn, unnest(range(-8, 9)) AS s FROM t a
+  JOIN t b ON a.ord < b.ord AND abs(a.duration - b.duration) <= 3.0 AND NOT coalesce(a.full_hash = b.full_hash, false)),
+o AS (SELECT *, greatest(0, s) AS ia, greatest(0, -s) AS ib, least(an - greatest(0, s), bn - greatest(0, -s)) AS o FROM p),
+d AS (SELECT ord_a, ord_b, 100.0 * (1.0 - list_sum(list_transform(range(1, o + 1), lambda i: bit_count(xor(aw[ia + i], bw[ib + i]))))::DOUBLE / (o * 32)) AS score
+  FROM o WHERE o >= greatest(1, floor(least(an, bn) * 0.9::DOUBLE)))
+SELECT ord_a, ord_b, max(score) AS similarity FROM d GROUP BY ord_a, ord_b HAVING max(score) >= 94
+""")
+def audio_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return matching.audio_matches(table(spark, folder, "files", "ord", "full_hash", "duration", "audio_fingerprint"))
+
+
+@query("""
+WITH v AS (SELECT ord, full_hash, duration FROM files
+  WHERE len(fingerprint) > 0 AND fingerprint_version = 2 AND duration > 0 AND NOT isnan(duration))
+SELECT a.ord, count(*) AS candidates FROM v a JOIN v b ON a.ord <> b.ord AND greatest(a.duration, b.duration) / least(a.duration, b.duration) <= 1.5
+  AND greatest(a.duration, b.duration) - least(a.duration, b.duration) <= 900 AND NOT coalesce(a.full_hash = b.full_hash, false)
+WHERE a.ord % 100 = 0 GROUP BY a.ord
+""")
+def video_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    rows = matching.videos(table(spark, folder, "files", "ord", "full_hash", "duration", "fingerprint", "fingerprint_version")).drop("words")
+    pairs = matching.video_candidates(rows.where("ord % 100 = 0"), rows)
+    return pairs.groupBy(F.col("ord_a").alias("ord")).agg(F.count("*").alias("candidates"))
+
+
+@query()
+def video_search(spark: SparkSession, folder: str) -> DataFrame:
+    rows = matching.videos(table(spark, folder, "files", "ord", "full_hash", "duration", "fingerprint", "fingerprint_version"))
+    return matching.video_matches(rows.where("ord % 100 = 0"), rows, recheck=True)
+
+
+# Names
+
+
+@query()
+def title_normalize(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "files", "ord", "raw_name").withColumn("name", normalized_name("raw_name"))
+    return files.select("ord", "name.core_title", "name.year", "name.episode", F.array_join("name.flags", "|").alias("flags"), "name.source")
+
+
+@query()
+def contextual_names(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "files", "ord", "raw_name", "path")
+    return files.select("ord", contextual_name(F.col("raw_name"), F.col("path")).alias("name"))
+
+
+@query("""
+SELECT (row_number() OVER (ORDER BY raw_name) - 1) // 150 AS batch, raw_name AS name
+FROM (SELECT DISTINCT raw_name FROM files WHERE raw_name IS NOT NULL)
+""")
+def name_batches(spark: SparkSession, folder: str) -> DataFrame:
+    return naming.name_batches(table(spark, folder, "files", "raw_name").withColumnRenamed("raw_name", "name"))
+
+
+@query("""
+SELECT f.ord, n.core_title, n.year, n.episode FROM files f JOIN name_cache n ON n.raw_name = f.raw_name
+WHERE n.provider = 'fallback' AND n.prompt_hash = '9b1d40c2e7aa'
+""")
+def stored_name_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    names = naming.stored_names(table(spark, folder, "name_cache"), provider="fallback", prompt_hash="9b1d40c2e7aa")
+    files = table(spark, folder, "files", "ord", "raw_name")
+    return files.join(names, "raw_name").select("ord", "core_title", "year", "episode")
+
+
+def _titled(spark: SparkSession, folder: str) -> DataFrame:
+    names = table(spark, folder, "name_cache", "raw_name", "core_title", "year", "episode")
+    return table(spark, folder, "files", "ord", "path", "raw_name").join(names, "raw_name", "left")
+
+
+ACCEPTED_SQL = """SELECT "left", "right", similarity, level FROM video_matches WHERE "left" <> "right" AND similarity >= 85 AND NOT isnan(similarity)"""
+CONFIRMED_SQL = f"""
+SELECT path FROM files WHERE full_hash IN (SELECT full_hash FROM files WHERE full_hash IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+UNION SELECT "left" FROM ({ACCEPTED_SQL}) UNION SELECT "right" FROM ({ACCEPTED_SQL})
+"""
+
+
+def _accepted(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "video_matches", "left", "right", "similarity", "level").where("`left` <> `right` and similarity >= 85 and not isnan(similarity)")
+
+
+def _confirmed(spark: SparkSession, folder: str) -> DataFrame:
+    matches = _accepted(spark, folder)
+    same = exact.collided(table(spark, folder, "files", "path", "full_hash"), "full_hash").select("path")
+    return same.union(matches.select("left")).union(matches.select("right")).distinct()
+
+
+@query(CONFIRMED_SQL)
+def confirmed_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return _confirmed(spark, folder)
+
+
+@query(f"""
+WITH t AS (SELECT f.ord, f.path, n.core_title, lower(trim(n.core_title, ' ')) AS title, n.year, n.episode
+  FROM files f JOIN name_cache n ON n.raw_name = f.raw_name WHERE f.path NOT IN ({CONFIRMED_SQL}))
+SELECT 'name:' || title || '|' || coalesce(year::VARCHAR, 'None') || '|' || coalesce(episode::VARCHAR, 'None') AS key, 100.0::DOUBLE AS similarity,
+  arg_min(core_title, ord) AS title, year, episode, count(*) AS files
+FROM t WHERE title <> '' GROUP BY t.title, year, episode HAVING count(*) > 1
+""")
+def name_hints_exact(spark: SparkSession, folder: str) -> DataFrame:
+    return naming.exact_hints(_titled(spark, folder), _confirmed(spark, folder))
+
+
+@query()
+def name_hints_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
+    names = table(spark, folder, "name_cache", "name_id", "core_title", "year", "episode")
+    return naming.fuzzy_hints(naming.name_keys(names.where("name_id % 100 = 0")), naming.name_keys(names))
+
+
+# Clusters and folders
+
+CLUSTERS_SQL = f"""
+WITH RECURSIVE m AS ({ACCEPTED_SQL}),
+i AS (SELECT m.* FROM m WHERE "left" IN (SELECT path FROM files) AND "right" IN (SELECT path FROM files)),
+x AS (SELECT path, min(path) OVER (PARTITION BY full_hash) AS first, count(*) OVER (PARTITION BY full_hash) AS n FROM files WHERE full_hash IS NOT NULL),
+e AS (SELECT first AS a, path AS b FROM x WHERE n > 1 UNION SELECT "left", "right" FROM i),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(node, other) AS (SELECT a, a FROM l UNION SELECT r.node, l.b FROM reach r JOIN l ON l.a = r.other),
+parts AS (SELECT node AS path, min(other) AS component FROM reach GROUP BY node),
+evidence AS (SELECT component, count(DISTINCT level) AS kinds, min(level) AS kind, min(similarity) AS least FROM i JOIN parts ON parts.path = i."left" GROUP BY component),
+c AS (SELECT path, component, CASE WHEN kinds IS NULL THEN 'exact' WHEN kinds > 1 THEN 'content' ELSE kind END AS level, coalesce(least, 100.0) AS confidence FROM parts LEFT JOIN evidence USING (component)),
+n AS (SELECT f.path, f.root, CASE WHEN lower(trim(n.core_title, ' ')) <> '' THEN 'name:' || lower(trim(n.core_title, ' ')) || '|' || coalesce(year::VARCHAR, 'None') || '|' || coalesce(episode::VARCHAR, 'None') END AS name_id
+  FROM files f LEFT JOIN name_cache n ON n.raw_name = f.raw_name),
+clusters AS (SELECT n.path, n.root, CASE WHEN c.path IS NOT NULL THEN c.level || ':' || c.component WHEN name_id IS NOT NULL THEN name_id ELSE 'path:' || n.path END AS cluster_id,
+  CASE WHEN c.path IS NOT NULL THEN c.level WHEN name_id IS NOT NULL THEN 'name' ELSE 'path' END AS level,
+  CASE WHEN c.path IS NOT NULL THEN c.confidence WHEN name_id IS NOT NULL THEN 70.0 ELSE 0.0 END::DOUBLE AS confidence
+  FROM n LEFT JOIN c ON c.path = n.path)
+"""
+
+
+def _clusters(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "files", "path", "root", "full_hash")
+    same = exact.collided(files, "full_hash").select(F.col("full_hash").alias("hash_value"), "path")
+    return clusters.assignments(files, same, _accepted(spark, folder), _titled(spark, folder))
+
+
+@query(CLUSTERS_SQL + "SELECT * FROM clusters")
+def file_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return _clusters(spark, folder)
+
+
+OVERLAP_SQL = CLUSTERS_SQL + """,
+s AS (SELECT DISTINCT root, cluster_id AS id FROM clusters),
+u AS (SELECT DISTINCT root, CASE WHEN level IN ('name', 'path') THEN 'unconfirmed:' || path ELSE cluster_id END AS id FROM clusters),
+sp AS (SELECT a.root AS "left", b.root AS "right", count(*) AS shared FROM s a JOIN s b ON a.id = b.id AND a.root < b.root GROUP BY ALL),
+up AS (SELECT a.root AS "left", b.root AS "right", count(*) AS shared FROM u a JOIN u b ON a.id = b.id AND a.root < b.root GROUP BY ALL),
+sn AS (SELECT root, count(*) AS n FROM s GROUP BY root), un AS (SELECT root, count(*) AS n FROM u GROUP BY root),
+o AS (SELECT sp."left", sp."right", coalesce(up.shared, 0) AS content_shared, ul.n AS content_left, ur.n AS content_right,
+  sp.shared AS name_shared, sl.n AS name_left, sr.n AS name_right FROM sp LEFT JOIN up ON up."left" = sp."left" AND up."right" = sp."right"
+  JOIN sn sl ON sl.root = sp."left" JOIN sn sr ON sr.root = sp."right" JOIN un ul ON ul.root = sp."left" JOIN un ur ON ur.root = sp."right"),
+pairs AS (SELECT *, 100.0 * content_shared / (content_left + content_right - content_shared)::DOUBLE AS content_similarity,
+  100.0 * name_shared / (name_left + name_right - name_shared)::DOUBLE AS name_similarity FROM o)
+"""
+
+
+@query(OVERLAP_SQL + "SELECT * FROM pairs WHERE content_similarity >= 1 OR name_similarity >= 1")
+def folder_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.folder_pairs(_clusters(spark, folder), 1.0)
+
+
+@query(OVERLAP_SQL + """
+SELECT p."left", p."right", c.path FROM pairs p JOIN clusters c ON c.root = p."left"
+WHERE (content_similarity >= 1 OR name_similarity >= 1) AND NOT EXISTS (SELECT 1 FROM clusters o WHERE o.root = p."right" AND o.cluster_id = c.cluster_id)
+""")
+def folder_left_only(spark: SparkSession, folder: str) -> DataFrame:
+    found = _clusters(spark, folder)
+    return clusters.one_sided(found, clusters.folder_pairs(found, 1.0), "left")
+
+
+@query(OVERLAP_SQL + """
+SELECT p."left", p."right", a.cluster_id, a.level, a.level NOT IN ('name', 'path') AS content_backed, a.files AS left_files, b.files AS right_files
+FROM pairs p JOIN (SELECT root, cluster_id, level, count(*) AS files FROM clusters GROUP BY ALL) a ON a.root = p."left"
+JOIN (SELECT root, cluster_id, count(*) AS files FROM clusters GROUP BY ALL) b ON b.root = p."right" AND b.cluster_id = a.cluster_id
+WHERE content_similarity >= 1 OR name_similarity >= 1
+""")
+def folder_matched(spark: SparkSession, folder: str) -> DataFrame:
+    found = _clusters(spark, folder)
+    return clusters.matched_clusters(found, clusters.folder_pairs(found, 1.0))
+
+
+# The store
+
+
+@query("""
+SELECT count(*) AS files, count(full_hash) AS hashed, count(duration) AS with_duration, count(fingerprint) AS video_fingerprints,
+  count(image_fingerprint) AS image_fingerprints, count(audio_fingerprint) AS audio_fingerprints,
+  count(*) FILTER (fingerprint IS NOT NULL AND fingerprint_version = 2) AS current_video_fingerprints FROM files
+""")
+def cache_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return store.statistics(table(spark, folder, "files"))
+
+
+@query("SELECT expected_hash_algorithm AS algorithm, count(*) AS n FROM operations WHERE expected_hash_algorithm IS NOT NULL GROUP BY 1")
+def hash_algo_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return store.counts_by(table(spark, folder, "operations").withColumnRenamed("expected_hash_algorithm", "algorithm"), "algorithm")
+
+
+@query("SELECT provider, model, prompt_hash, count(*) AS n FROM name_cache GROUP BY ALL")
+def provider_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return store.counts_by(table(spark, folder, "name_cache"), "provider", "model", "prompt_hash")
+
+
+@query("""
+WITH scanned AS (SELECT path, size + (CASE WHEN ord % 7 = 0 THEN 1 ELSE 0 END) AS size, mtime + (CASE WHEN ord % 11 = 0 THEN 60 ELSE 0 END) AS mtime FROM files),
+j AS (SELECT s.path, s.size = f.size AND abs(s.mtime - f.mtime) <= 1e-6 AS reused, f.full_hash, f.duration, f.fingerprint, f.fingerprint_version FROM scanned s JOIN files f ON f.path = s.path)
+SELECT path, reused, CASE WHEN reused THEN full_hash END AS full_hash, CASE WHEN reused THEN duration END AS duration,
+  coalesce(reused AND fingerprint_version = 2 AND fingerprint IS NOT NULL, false) AS has_video FROM j
+""")
+def incremental_reuse(spark: SparkSession, folder: str) -> DataFrame:
+    stored = table(spark, folder, "files", "ord", "path", "size", "mtime", "raw_name", "full_hash", "duration", "fingerprint", "fingerprint_version")
+    scanned = stored.select("path", (F.col("size") + F.when(F.col("ord") % 7 == 0, 1).otherwise(0)).alias("size"), (F.col("mtime") + F.when(F.col("ord") % 11 == 0, 60).otherwise(0)).alias("mtime"), "raw_name")
+    found = store.hydrated(scanned, stored)
+    return found.select("path", "reused", "full_hash", "duration", F.col("fingerprint").isNotNull().alias("has_video"))
+
+
+@query("""
+WITH up AS (SELECT raw_name, name_id, 'refreshed: ' || core_title AS core_title FROM name_cache WHERE provider = 'remote'
+  UNION ALL SELECT DISTINCT i.raw_name, NULL, NULL FROM incoming_files i WHERE i.raw_name NOT IN (SELECT raw_name FROM name_cache))
+SELECT raw_name, name_id, core_title FROM name_cache WHERE raw_name NOT IN (SELECT raw_name FROM up) UNION ALL SELECT * FROM up
+""")
+def name_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    names = table(spark, folder, "name_cache", "raw_name", "name_id", "core_title", "provider")
+    again = names.where("provider = 'remote'").select("raw_name", "name_id", F.concat(F.lit("refreshed: "), "core_title").alias("core_title"))
+    fresh = table(spark, folder, "incoming_files", "raw_name").distinct().join(names, "raw_name", "left_anti")
+    return store.upserted(names.drop("provider"), again.unionByName(fresh, allowMissingColumns=True), "raw_name")
+
+
+@query("""
+SELECT path, full_hash, CASE WHEN b THEN NULL ELSE duration END AS duration, CASE WHEN b THEN NULL ELSE fingerprint_version END AS fingerprint_version
+FROM (SELECT *, root = (SELECT root FROM roots ORDER BY position LIMIT 1) AS b FROM files)
+""")
+def cache_invalidation(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "files", "path", "root", "full_hash", "duration", "fingerprint_version")
+    first = table(spark, folder, "roots").orderBy("position").limit(1).select("root")
+    return store.cleared(files, files.join(F.broadcast(first), "root", "left_semi"), "video").drop("root")
+
+
+# Thresholds
+
+SCORES_SQL = """(SELECT duration_delta <= 1.0 AS expected, similarity, similarity AS raw_similarity, duration_delta <= 3.0 AS eligible
+  FROM video_matches WHERE similarity IS NOT NULL AND NOT isnan(similarity))"""
+
+
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "video_matches", "similarity", "duration_delta").where("similarity is not null and not isnan(similarity)")
+    return rows.select((F.col("duration_delta") <= 1.0).alias("expected"), "similarity", F.col("similarity").alias("raw_similarity"), (F.col("duration_delta") <= 3.0).alias("eligible"))
+
+
+@query(f"""
+SELECT 85.0::DOUBLE AS threshold, *, 5 * fp + fn AS weighted_errors FROM (SELECT count(*) FILTER (expected AND similarity >= 85) AS tp, count(*) FILTER (NOT expected AND similarity >= 85) AS fp,
+  count(*) FILTER (NOT expected AND similarity < 85) AS tn, count(*) FILTER (expected AND similarity < 85) AS fn FROM {SCORES_SQL})
+""")
+def threshold_confusion(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.evaluate_threshold(_scores(spark, folder), 85.0)
+
+
+@query(f"""
+WITH s AS {SCORES_SQL}, e AS (SELECT similarity AS mark, count(*) FILTER (expected) AS p, count(*) FILTER (NOT expected) AS n FROM s GROUP BY 1),
+c AS (SELECT DISTINCT mark FROM (SELECT greatest(0, least(100, similarity)) AS mark FROM s UNION ALL SELECT least(100, greatest(0, least(100, similarity)) + 0.01::DOUBLE) FROM s
+  UNION ALL SELECT unnest([0.0::DOUBLE, 100, 85]))),
+k AS (SELECT c.mark, coalesce(sum(p) FILTER (e.mark >= c.mark), 0)::BIGINT AS tp, coalesce(sum(n) FILTER (e.mark >= c.mark), 0)::BIGINT AS fp,
+  coalesce(sum(n) FILTER (e.mark < c.mark), 0)::BIGINT AS tn, coalesce(sum(p) FILTER (e.mark < c.mark), 0)::BIGINT AS fn FROM c, e GROUP BY c.mark)
+SELECT round(mark, 2) AS threshold, tp, fp, tn, fn, 5 * fp + fn AS weighted_errors FROM k ORDER BY 5 * fp + fn, fp, fn, abs(round(mark, 2) - 85), -round(mark, 2) LIMIT 1
+""")
+def threshold_recommend(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.recommend_threshold(_scores(spark, folder), 85.0)
+
+
+@query(f"""
+SELECT count(*) FILTER (expected) AS positives, count(*) FILTER (NOT expected) AS negatives, min(similarity) FILTER (expected) AS min_positive,
+  max(similarity) FILTER (NOT expected) AS max_negative, min(raw_similarity) FILTER (expected) AS min_raw_positive, max(raw_similarity) FILTER (NOT expected) AS max_raw_negative,
+  count(*) FILTER (expected AND NOT eligible) AS ineligible_positives, count(*) FILTER (NOT expected AND NOT eligible) AS ineligible_negatives,
+  count(*) FILTER (expected AND similarity >= 85) AS tp, count(*) FILTER (NOT expected AND similarity >= 85) AS fp,
+  count(*) FILTER (NOT expected AND similarity < 85) AS tn, count(*) FILTER (expected AND similarity < 85) AS fn FROM {SCORES_SQL}
+""")
+def score_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.summarize(_scores(spark, folder), 85.0)
+
+
+# The journal
+
+LATEST_SQL = "(SELECT DISTINCT ON (operation_id) * FROM operations ORDER BY operation_id, logged_at DESC, finished_at DESC NULLS LAST, status DESC)"
+
+
+def _operations(spark: SparkSession, folder: str) -> DataFrame:
+    return journal.latest(table(spark, folder, "operations"))
+
+
+@query(f"SELECT operation_id, action, status, source, destination, requested_at, finished_at, group_id FROM {LATEST_SQL}")
+def journal_latest(spark: SparkSession, folder: str) -> DataFrame:
+    return _operations(spark, folder).select("operation_id", "action", "status", "source", "destination", "requested_at", "finished_at", "group_id")
+
+
+@query(f"SELECT operation_id, action, status, requested_at FROM {LATEST_SQL} ORDER BY requested_at DESC, operation_id LIMIT 500")
+def recent_operations(spark: SparkSession, folder: str) -> DataFrame:
+    return journal.recent(_operations(spark, folder)).select("operation_id", "action", "status", "requested_at")
+
+
+@query(f"""
+SELECT group_id, arg_max(action, (requested_at, operation_id)) AS action, arg_max(status, (requested_at, operation_id)) AS status
+FROM {LATEST_SQL} WHERE group_id IS NOT NULL GROUP BY group_id
+""")
+def latest_decision(spark: SparkSession, folder: str) -> DataFrame:
+    return journal.decisions(_operations(spark, folder))
+
+
+BATCHES_SQL = f"""o AS {LATEST_SQL},
+moves AS (SELECT *, coalesce(group_id, 'none') AS batch_id FROM o WHERE action = 'move'),
+batches AS (SELECT batch_id, min(requested_at) AS created_at, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'requested') THEN 'running' WHEN bool_and(status = 'skipped') THEN 'rolled back' ELSE 'completed' END AS status FROM moves GROUP BY 1)"""
+
+
+def _batches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    moves = _operations(spark, folder).where("action = 'move'").withColumn("batch_id", F.coalesce("group_id", F.lit("none")))
+    has = lambda s: F.max(F.col("status") == s)
+    status = F.when(has("failed"), "failed").when(has("requested"), "running").when(F.min(F.col("status") == "skipped"), "rolled back").otherwise("completed")
+    return moves.groupBy("batch_id").agg(F.min("requested_at").alias("created_at"), status.alias("status")), moves
+
+
+@query(f"""
+WITH {BATCHES_SQL} SELECT b.batch_id, b.created_at, b.status, count(*) AS moves FROM batches b JOIN moves m ON m.batch_id = b.batch_id AND m.status = 'completed'
+WHERE b.status IN ('completed', 'running', 'failed') GROUP BY ALL
+""")
+def undoable_batches(spark: SparkSession, folder: str) -> DataFrame:
+    return journal.undoable_batches(*_batches(spark, folder))
+
+
+@query(f"""
+WITH {BATCHES_SQL} SELECT b.batch_id, b.created_at, b.status, count(*) AS moves FROM batches b JOIN moves m ON m.batch_id = b.batch_id AND m.status = 'completed'
+WHERE b.status IN ('completed', 'running', 'failed') GROUP BY ALL ORDER BY created_at DESC, batch_id LIMIT 1
+""")
+def latest_undoable(spark: SparkSession, folder: str) -> DataFrame:
+    return journal.latest_undoable(*_batches(spark, folder))
+
+
+@query(f"WITH {BATCHES_SQL} SELECT batch_id, operation_id, row_number() OVER (PARTITION BY batch_id ORDER BY requested_at, operation_id) - 1 AS sequence FROM moves")
+def move_sequence(spark: SparkSession, folder: str) -> DataFrame:
+    return journal.sequenced(_batches(spark, folder)[1], "batch_id", "requested_at", "operation_id").select("batch_id", "operation_id", "sequence")
+
+
+@query(f"""
+SELECT operation_id, row_number() OVER (PARTITION BY coalesce(group_id, 'none'), source ORDER BY requested_at, operation_id) > 1 AS skipped FROM {LATEST_SQL}
+""")
+def repeated_sources(spark: SparkSession, folder: str) -> DataFrame:
+    jobs = _operations(spark, folder).withColumn("batch_id", F.coalesce("group_id", F.lit("none")))
+    return journal.repeated_sources(jobs, "batch_id", "requested_at", "operation_id").select("operation_id", "skipped")
+
+
+@query("""
+WITH k AS (SELECT *, min(ord) OVER (PARTITION BY raw_name) AS keeper_ord FROM files)
+SELECT f.raw_name, f.keeper_ord, f.ord, coalesce(f.size = g.size AND f.full_hash = g.full_hash, false) AS matches
+FROM k f JOIN files g ON g.ord = f.keeper_ord WHERE f.ord <> f.keeper_ord
+""")
+def keeper_identity(spark: SparkSession, folder: str) -> DataFrame:
+    return journal.keeper_checks(table(spark, folder, "files", "ord", "raw_name", "size", "full_hash"), "raw_name")
+
+
+@query(f"""
+SELECT action, status, count(*) AS operations, count(finished_at) AS finished, count(*) FILTER (reversible <> 0) AS reversible,
+  round(sum(coalesce(finished_at - requested_at, 0)), 3) AS seconds FROM {LATEST_SQL} GROUP BY ALL
+""")
+def outcome_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return journal.outcome_rates(_operations(spark, folder)).withColumn("seconds", F.round("seconds", 3))
+
+
+# Plans
+
+@query("""
+WITH m AS (SELECT path AS source, '/library/' || string_split(path, '/')[3] || '/' || string_split(path, '/')[-1] AS destination, size FROM files),
+w AS (SELECT destination, count(*) AS wanted FROM m GROUP BY 1), e AS (SELECT DISTINCT destination FROM operations WHERE destination IS NOT NULL)
+SELECT source, m.destination, size, CASE WHEN source = m.destination THEN 'already in place' WHEN e.destination IS NOT NULL OR wanted > 1 THEN 'conflict' ELSE 'ready' END AS status
+FROM m JOIN w ON w.destination = m.destination LEFT JOIN e ON e.destination = m.destination
+""")
+def move_plan(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "files", "path", "size", "mtime")
+    folders = files.select(paths.parent(F.col("path")).alias("folder")).distinct()
+    mappings = folders.select("folder", F.lit("/library").alias("final_root"), F.split("folder", "/")[2].alias("destination"))
+    existing = table(spark, folder, "operations", "destination").where("destination is not null").select(F.col("destination").alias("path"))
+    return planning.move_plan(files, mappings, existing).drop("mtime")
+
+
+@query("""
+SELECT name_id, CASE WHEN v <> '' AND NOT regexp_matches(v, '[<>:"/\\\\|?*\\x00-\\x1f]') THEN v END AS folder
+FROM (SELECT name_id, regexp_replace(trim(raw_name, ' '), '[. ]+$', '') AS v FROM name_cache)
+""")
+def folder_names(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "name_cache", "name_id", "raw_name").select("name_id", paths.folder_name(F.col("raw_name")).alias("folder"))
+
+
+@query("""
+SELECT operation_id, destination, sha1(action || chr(0) || source) AS digest,
+  'operation:' || substr(sha256('operation' || chr(0) || source), 1, 16) AS item_id, 'custom-' || substr(sha1(action || chr(0) || status), 1, 8) AS preset
+FROM (SELECT DISTINCT operation_id, action, status, source, destination FROM operations)
+""")
+def derived_ids(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "operations", "operation_id", "action", "status", "source", "destination").distinct()
+    return rows.select(
+        "operation_id", "destination", F.sha1(F.concat_ws("\0", "action", "source")).alias("digest"),
+        paths.group_id(F.lit("operation"), F.array("source")).alias("item_id"), paths.preset_id(F.lit("custom"), F.array("action", "status")).alias("preset"),
+    )
+
+
+@query("""
+SELECT ord, '/quarantine/' || string_split(root, '/')[-1] || '-' || substr(sha256(lower(root)), 1, 8) || '/' ||
+  CASE WHEN starts_with(path, root || '/') THEN substr(path, length(root) + 2) ELSE string_split(path, '/')[-1] END AS aside,
+  regexp_replace(path, '\\.[^./]*$', '') || '.x265-slow.mkv' AS encoded FROM files
+""")
+def quarantine_paths(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "files", "ord", "root", "path")
+    return files.select("ord", paths.quarantine_path(F.lit("/quarantine"), F.col("root"), F.col("path")).alias("aside"), paths.output_path(F.col("path"), F.lit("x265-slow")).alias("encoded"))
+
+
+# Review, compression and probes
+
+
+@query("""
+SELECT path, size, duration FROM files WHERE regexp_extract(lower(path), '[^/](\\.[^./]+)$', 1) IN ('.mkv', '.mp4')
+  AND size / 1048576.0 >= 100 AND size / 1048576.0 <= 2000 AND coalesce(duration, 0) / 60.0 >= 10 AND coalesce(duration, 0) / 60.0 <= 60
+""")
+def compression_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return review.compression_filter(table(spark, folder, "files", "path", "size", "duration"), {".mkv", ".mp4"}, 100, 2000, 10, 60)
+
+
+def _items(spark: SparkSession, folder: str) -> DataFrame:
+    groups = exact.exact_groups(table(spark, folder, "files", "ord", "path", "size", "full_hash"))
+    matches = _accepted(spark, folder).distinct()
+    pairs = clusters.folder_pairs(_clusters(spark, folder), 1.0)
+    hints = naming.exact_hints(_titled(spark, folder), _confirmed(spark, folder))
+    two = F.concat_ws("|", F.least("left", "right"), F.greatest("left", "right"))
+    return review.review_items([
+        review.item("exact", groups, F.array_join("paths", "|"), F.col("similarity"), F.col("hash_value"), F.desc("size")),
+        *(review.item(level, matches.where(F.col("level") == level), two, F.col("similarity"), F.lit(level), F.desc("similarity")) for level in clusters.MEDIA),
+        review.item("folder", pairs, two, F.greatest("content_similarity", "name_similarity"), F.lit("clusters in common"), F.desc("content_similarity")),
+        review.item("name", hints, F.col("key"), F.col("similarity"), F.col("title"), F.desc("similarity")),
+    ])
+
+
+COUNTS_SQL = OVERLAP_SQL + f""",
+hints AS (SELECT 1 FROM (SELECT lower(trim(n.core_title, ' ')) AS title, n.year, n.episode FROM files f JOIN name_cache n ON n.raw_name = f.raw_name
+  WHERE f.path NOT IN ({CONFIRMED_SQL})) WHERE title <> '' GROUP BY title, year, episode HAVING count(*) > 1),
+n AS (SELECT 'exact' AS category, count(*) AS n FROM (SELECT 1 FROM files WHERE full_hash IS NOT NULL GROUP BY full_hash HAVING count(*) > 1)
+  UNION ALL SELECT v, (SELECT count(*) FROM (SELECT DISTINCT * FROM ({ACCEPTED_SQL})) WHERE level = v) FROM (SELECT unnest(['video', 'image', 'audio']) AS v)
+  UNION ALL SELECT 'folder', count(*) FROM pairs WHERE content_similarity >= 1 OR name_similarity >= 1
+  UNION ALL SELECT 'name', count(*) FROM hints)
+"""
+
+
+@query(COUNTS_SQL.replace("\nn AS (SELECT 'exact'", "\nkinds AS (SELECT 'exact'") + "SELECT category, n FROM kinds UNION ALL SELECT 'all', sum(n)::BIGINT FROM kinds")
+def category_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return review.category_counts(_items(spark, folder))
+
+
+@query()
+def review_items(spark: SparkSession, folder: str) -> DataFrame:
+    return _items(spark, folder)
+
+
+@query("""
+SELECT ord, 'matroska' AS container, CASE WHEN isnan(duration) THEN NULL ELSE duration END AS duration, size * 8 AS bit_rate, 2 AS streams, (ord % 3)::INT AS chapters,
+  CASE WHEN ord % 4 = 0 THEN NULL ELSE 24000.0::DOUBLE / (1000 + ord % 4) END AS frame_rate, ord % 2 = 0 AS has_default
+FROM files
+""")
+def probe_reports(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "files", "ord", "size", "duration")
+    number = F.when(~F.isnan("duration"), F.col("duration").cast("string"))
+    rate = F.concat(F.lit("24000/"), F.when(F.col("ord") % 4 == 0, F.lit(0)).otherwise(1000 + F.col("ord") % 4).cast("string"))
+    video = F.struct(F.lit("0").alias("index"), F.lit("video").alias("codec_type"), number.alias("duration"), rate.alias("avg_frame_rate"), F.struct((F.col("ord") % 2 == 0).cast("int").alias("default")).alias("disposition"))
+    audio = F.struct(F.lit("1").alias("index"), F.lit("audio").alias("codec_type"), F.lit(None).cast("string").alias("duration"), F.lit(None).cast("string").alias("avg_frame_rate"), F.struct(F.lit(0).alias("default")).alias("disposition"))
+    chapters = F.transform(F.slice(F.array(F.lit("1"), F.lit("2")), F.lit(1), (F.col("ord") % 3).cast("int")), lambda i: F.struct(i.alias("id")))
+    report = F.to_json(F.struct(F.struct(F.lit("matroska").alias("format_name"), (F.col("size") * 8).cast("string").alias("bit_rate")).alias("format"), F.array(video, audio).alias("streams"), chapters.alias("chapters")))
+    read = files.select("ord", media.probe(report).alias("p"))
+    first = F.element_at(media.streams_of(F.col("p.streams"), "video"), 1)
+    return read.select("ord", "p.container", "p.duration", "p.bit_rate", F.size("p.streams").alias("streams"), "p.chapters", first["frame_rate"].alias("frame_rate"), first["default"].alias("has_default"))
+
+
+@query("""
+SELECT operation_id, expected_size - (length(source) * 1000) AS saved_bytes, CASE WHEN expected_size > 0 THEN 100.0::DOUBLE * (expected_size - length(source) * 1000) / expected_size ELSE 0.0 END AS savings_percent
+FROM (SELECT DISTINCT operation_id, source, expected_size FROM operations WHERE expected_size IS NOT NULL)
+""")
+def encode_savings(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "operations", "operation_id", "source", "expected_size").where("expected_size is not null").distinct()
+    saved, percent = media.savings(F.col("expected_size"), F.length("source") * 1000)
+    return rows.select("operation_id", saved.alias("saved_bytes"), percent.alias("savings_percent"))
+
+
+@query()
+def shown_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "files", "ord", "size", "duration")
+    return files.select("ord", media.human_size(F.col("size")).alias("size"), media.clock(F.col("duration")).alias("length"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
