@@ -267,11 +267,12 @@ def fitted(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS
         F.sum(F.when(F.col("abusive") > 0, 1).otherwise(-1)).alias("lean"), F.count("*").alias("votes")
     ).where("lean <> 0")
     votes = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    texts = docs.where("text is not null").join(votes, "doc_id").groupBy("doc_id").agg(
+    # the votes are at most sample_docs short rows
+    texts = docs.where("text is not null").join(F.broadcast(votes), "doc_id").groupBy("doc_id").agg(
         F.max("text").alias("text"), F.max((F.col("lean") > 0).cast("int")).alias("label"), F.max(F.abs("lean")).alias("votes")
     )
     rows = texts.select(F.col("doc_id").alias("doc"), "text", "label", "votes")
-    return rows.coalesce(1).mapInArrow(_trained, "feature long, weight double")
+    return rows.repartition(1).mapInArrow(_trained, "feature long, weight double")
 
 
 def _scored(hashes: np.ndarray, weights: np.ndarray, bias: float):
