@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
@@ -24,41 +25,71 @@ NOT_EPISODES = (360, 480, 540, 720, 1080, 1440, 2160, 4320)
 _MARK = "\u0001"
 
 
+def whole(words: str) -> str:
+    """A pattern for whole words: letters, numbers and the underscore belong to words, marks and joiners do not."""
+    return rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{words})(?![\p{{L}}\p{{N}}_])"
+
+
+
 def _number(digits: Column) -> Column:
     """Full-width digits count as digits."""
     return F.translate(digits, "０１２３４５６７８９", "0123456789").try_cast("int")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often it is read."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _episode_place(parts: Column, year: Column) -> Column:
+    """Number of the last place in ``parts`` (text, match, number, text, ...) that can be an episode; null if none can."""
+    places = F.filter(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor((F.size(parts) - 1) / 3).cast("int"))),
+        lambda i: (F.size(parts) > i * 3 - 1) & let(
+            _number(F.get(parts, i * 3 - 1)), lambda n: ~F.coalesce(n.isin(*NOT_EPISODES) | n.eqNullSafe(F.coalesce(year, F.lit(-1))), F.lit(False))
+        ),
+    )
+    return F.when(F.size(places) > 0, F.element_at(places, -1))
+
+
+def _without_episode(spaced: Column, parts: Column, place: Column) -> Column:
+    """The text with its episode cut out: other matches stay, their numbers apart from the text do not."""
+    kept = F.transform(parts, lambda x, i: F.when(i == place * 3 - 2, " ").when(i % 3 == 2, "").otherwise(x))
+    return F.when(place.isNull(), spaced).otherwise(F.array_join(kept, ""))
+
+
+def _title(text: Column) -> Column:
+    for pattern in (BRACKETED, whole(QUALITY_WORDS), YEAR, r"[-–—|]+", r"(?U)\s+"):
+        text = F.regexp_replace(text, pattern, " ")
+    return F.trim(text)
+
+
 def normalized_name(raw: str | Column) -> Column:
     """``struct<core_title, year, episode, flags, source>`` of a raw name; null for null."""
     raw = F.col(raw) if isinstance(raw, str) else raw
-    spaced = F.translate(raw, "_.", "  ")
-    flags = F.filter(F.array(*(F.when(spaced.rlike(rf"(?iU)\b{w}\b"), F.lit(w)) for w in FLAG_WORDS)), lambda x: x.isNotNull())
-    year = _number(F.regexp_extract(spaced, YEAR, 1))
-    # text, match and number of every episode-like place, in turn
-    parts = F.split(F.regexp_replace(spaced, EPISODE, f"{_MARK}$0{_MARK}$1{_MARK}"), _MARK)
-    places = F.filter(
-        F.transform(F.sequence(F.lit(1), F.floor((F.size(parts) - 1) / 3).cast("int")), lambda i: F.when(F.size(parts) > 1, i)),
-        lambda i: i.isNotNull()
-        & ~F.coalesce(_number(parts[i * 3 - 1]).isin(*NOT_EPISODES), F.lit(False))
-        & ~F.coalesce(_number(parts[i * 3 - 1]) == year, F.lit(False)),
+
+    def fields(spaced: Column, year: Column, parts: Column, place: Column) -> Column:
+        flags = F.filter(F.array(*(F.when(spaced.rlike(whole(w)), F.lit(w)) for w in FLAG_WORDS)), lambda x: x.isNotNull())
+        title = let(_title(_without_episode(spaced, parts, place)), lambda t: F.when(t == "", raw).otherwise(t))
+        episode = F.when(place.isNotNull(), _number(F.get(parts, place * 3 - 1)))
+        return F.struct(title.alias("core_title"), year.alias("year"), episode.alias("episode"), flags.alias("flags"), F.lit("fallback").alias("source"))
+
+    def marked(spaced: Column) -> Column:
+        return F.split(F.regexp_replace(spaced, EPISODE, f"{_MARK}$0{_MARK}$1{_MARK}"), _MARK)
+
+    found = let(
+        F.translate(raw, "_.", "  "),
+        lambda w: let(
+            _number(F.regexp_extract(w, YEAR, 1)),
+            lambda y: let(marked(w), lambda p: let(_episode_place(p, y), lambda k: fields(w, y, p, k))),
+        ),
     )
-    place = F.when(F.size(places) > 0, F.element_at(places, -1))
-    kept = F.transform(parts, lambda x, i: F.when((i % 3 == 2) | (i == place * 3 - 2), F.when(i == place * 3 - 2, F.lit(" ")).otherwise("")).otherwise(x))
-    title = F.when(place.isNull(), spaced).otherwise(F.array_join(kept, ""))
-    for pattern in (BRACKETED, rf"(?iU)\b(?:{QUALITY_WORDS})\b", YEAR, r"[-–—|]+", r"(?U)\s+"):
-        title = F.regexp_replace(title, pattern, " ")
-    title = F.trim(title)
-    fields = [
-        F.when(title == "", raw).otherwise(title).alias("core_title"), year.alias("year"),
-        F.when(place.isNotNull(), _number(parts[place * 3 - 1])).alias("episode"), flags.alias("flags"), F.lit("fallback").alias("source"),
-    ]
-    return F.when(raw.isNotNull(), F.struct(*fields))
+    return F.when(raw.isNotNull(), found)
 
 
 def contextual_name(raw: Column, path: Column) -> Column:
     """The raw name, with its folder before it where nothing but generic words, quality words and digits is left."""
-    steps = (BRACKETED, rf"(?iU)\b(?:{QUALITY_WORDS})\b", rf"(?iU)\b(?:{GENERIC_WORDS})\b", r"(?U)\d+|[^\w]+")
+    steps = (BRACKETED, whole(QUALITY_WORDS), whole(GENERIC_WORDS), r"(?U)\d+|[^\p{L}\p{N}_]+")
     left = reduce(lambda text, pattern: F.regexp_replace(text, pattern, " "), steps, raw)
     folder = F.trim(F.coalesce(F.element_at(F.split(path, "/"), -2), F.lit("")))
     bare = (F.trim(left) == "") | F.trim(left).rlike("^[ _]+$")
