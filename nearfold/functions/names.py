@@ -49,7 +49,7 @@ def _episode_place(parts: Column, year: Column) -> Column:
             _number(F.get(parts, i * 3 - 1)), lambda n: ~F.coalesce(n.isin(*NOT_EPISODES) | n.eqNullSafe(F.coalesce(year, F.lit(-1))), F.lit(False))
         ),
     )
-    return F.when(F.size(places) > 0, F.element_at(places, -1))
+    return F.when(F.size(places) > 0, F.try_element_at(places, F.lit(-1)))
 
 
 def _without_episode(spaced: Column, parts: Column, place: Column) -> Column:
@@ -91,7 +91,7 @@ def contextual_name(raw: Column, path: Column) -> Column:
     """The raw name, with its folder before it where nothing but generic words, quality words and digits is left."""
     steps = (BRACKETED, whole(QUALITY_WORDS), whole(GENERIC_WORDS), r"(?U)\d+|[^\p{L}\p{N}_]+")
     left = reduce(lambda text, pattern: F.regexp_replace(text, pattern, " "), steps, raw)
-    folder = F.trim(F.coalesce(F.element_at(F.split(path, "/"), -2), F.lit("")))
+    folder = F.trim(F.coalesce(F.try_element_at(F.split(path, "/"), F.lit(-2)), F.lit("")))
     bare = (F.trim(left) == "") | F.trim(left).rlike("^[ _]+$")
     return F.when(bare & (folder != ""), F.concat(folder, F.lit(" - "), raw)).otherwise(raw)
 

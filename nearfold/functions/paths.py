@@ -48,7 +48,7 @@ def final_name(folder: Column) -> Column:
 
 def suggested_destination(relative: Column, title: Column) -> Column:
     """Where a source folder's files go in the title: nowhere deeper if its leaf only repeats the title."""
-    leaf = F.element_at(F.filter(F.split(relative, "/"), lambda x: (x != "") & ~x.rlike(WRAPPER_FOLDER)), -1)
+    leaf = F.try_element_at(F.filter(F.split(relative, "/"), lambda x: (x != "") & ~x.rlike(WRAPPER_FOLDER)), F.lit(-1))
     compact = lambda x: F.regexp_replace(title_key(normalized_name(x)["core_title"]), r"(?U)[^\p{L}\p{N}]", "")
     same = compact(leaf) == compact(title)
     ends = (compact(title) != "") & compact(leaf).endswith(compact(title))
