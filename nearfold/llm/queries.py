@@ -77,7 +77,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
 P3_SQL = """
 WITH RECURSIVE accepted AS (
   SELECT DISTINCT "left" AS a, "right" AS b FROM video_matches
-  WHERE "left" <> "right" AND similarity >= 85 AND NOT isnan(similarity)
+  WHERE "left" <> "right" AND similarity >= 85 AND similarity::VARCHAR <> 'nan'
 ), links AS (SELECT a, b FROM accepted UNION SELECT b, a FROM accepted),
 reach(member, other) AS (
   SELECT a, a FROM links UNION SELECT r.member, l.b FROM reach r JOIN links l ON l.a = r.other
