@@ -1,7 +1,7 @@
 """Items of uneven length into containers of one capacity, by linear grouping.
 
 What is planned is the histogram of lengths, at most one row per length up to the capacity, whatever
-the number of items. Lengths above an eighth of the capacity are large: sorted downwards they are
+the number of items. Lengths above a quarter of the capacity are large: sorted downwards they are
 cut into groups of equal cardinality, each rounded up to its largest; for these few sizes container
 configurations are optimised (cutting-stock program by column generation). The actual items then
 take the places of their group by rank, so a container is never fuller than planned. Small items go
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from ..runtime import parts_for, stage
 
 #: Groups that large lengths are rounded to, and the share of the capacity above which a length is large.
-GROUPS, LARGE_SHARE = 40, 8
+GROUPS, LARGE_SHARE = 80, 4
 #: Items that are ranked by one task.
 ROWS_PER_SALT = 1 << 20
 
