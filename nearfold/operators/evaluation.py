@@ -48,9 +48,10 @@ def recommend_threshold(scores: DataFrame, current: float) -> DataFrame:
     before = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     totals = sums.select("band", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
     below = banded.withColumns({"pb": F.sum("pos").over(upto) - F.sum("pos").over(same), "nb": F.sum("neg").over(upto) - F.sum("neg").over(same)}).where("mark")
-    everything = events.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("P"), F.coalesce(F.sum("neg"), F.lit(0)).alias("N"))
-    counted = below.join(totals, "band").crossJoin(F.broadcast(everything)).select(
-        "at", (F.col("P") - F.col("p0") - F.col("pb")).alias("tp"), (F.col("N") - F.col("n0") - F.col("nb")).alias("fp"),
+    everything = events.agg(F.coalesce(F.sum("pos"), F.lit(0)), F.coalesce(F.sum("neg"), F.lit(0)))
+    positives, negatives = everything.first()
+    counted = below.join(totals, "band").select(
+        "at", (F.lit(positives) - F.col("p0") - F.col("pb")).alias("tp"), (F.lit(negatives) - F.col("n0") - F.col("nb")).alias("fp"),
         (F.col("n0") + F.col("nb")).alias("tn"), (F.col("p0") + F.col("pb")).alias("fn"),
     )
     shown = F.round("at", 2)

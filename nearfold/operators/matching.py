@@ -19,6 +19,7 @@ from ..functions.similarity import (
     sequence_scores,
     sequence_similarity,
 )
+from ..runtime import slots
 
 IMAGE_THRESHOLD, VIDEO_THRESHOLD, AUDIO_THRESHOLD = 90.0, 85.0, 94.0
 AUDIO_SECONDS = 3.0
@@ -31,8 +32,13 @@ def differs(left: str, right: str) -> Column:
     return ~F.coalesce(F.col(left) == F.col(right), F.lit(False))
 
 
+def sides_of(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both frames with their side appended to every column name."""
+    return left.toDF(*(f"{c}_a" for c in left.columns)), right.toDF(*(f"{c}_b" for c in right.columns))
+
+
 def sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return df.toDF(*(f"{c}_a" for c in df.columns)), df.toDF(*(f"{c}_b" for c in df.columns))
+    return sides_of(df, df)
 
 
 def block_widths(bits: int, distance: int) -> list[tuple[int, int]]:
@@ -67,11 +73,16 @@ def image_matches(files: DataFrame, threshold: float = IMAGE_THRESHOLD) -> DataF
     return pairs.select("ord_a", "ord_b", score.alias("similarity")).where(F.col("similarity") >= threshold).distinct()
 
 
-def banded(left: DataFrame, right: DataFrame, band: Column, exact: Column) -> DataFrame:
-    """Pairs of rows whose bands are neighbours and that satisfy ``exact``; ``band`` reads column ``duration``."""
-    left = left.withColumn("band", band).toDF(*(f"{c}_a" for c in [*left.columns, "band"]))
-    near = right.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).toDF(*(f"{c}_b" for c in [*right.columns, "band"]))
-    return left.join(near, (F.col("band_a") == F.col("band_b")) & exact).drop("band_a", "band_b")
+def banded(left: DataFrame, right: DataFrame, band: Column, exact: Column, salts: int = 1) -> DataFrame:
+    """Pairs of rows whose bands are neighbours and that satisfy ``exact``; ``band`` reads column ``duration``.
+
+    Few or hot bands are cut into ``salts`` parts by the right rows; each left row goes to every part.
+    """
+    left = left.withColumns({"band": F.explode(F.array(band - 1, band, band + 1))}).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    near = right.withColumns({"band": band, "salt": F.pmod(F.xxhash64("ord"), F.lit(salts)).cast("int")})
+    (a, b), keys = sides_of(left, near), ("band", "salt")
+    same = (F.col("band_a") == F.col("band_b")) & (F.col("salt_a") == F.col("salt_b"))
+    return a.join(b, same & exact).drop(*(f"{k}_{s}" for k in keys for s in "ab"))
 
 
 def audio_matches(files: DataFrame, threshold: float = AUDIO_THRESHOLD, seconds: float = AUDIO_SECONDS) -> DataFrame:
@@ -97,7 +108,8 @@ def videos(files: DataFrame) -> DataFrame:
 def video_candidates(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs of a query video and any other video of compatible duration, byte-identical ones left out."""
     exact = durations_compatible(F.col("duration_a"), F.col("duration_b")) & (F.col("ord_a") != F.col("ord_b")) & differs("full_hash_a", "full_hash_b")
-    return banded(queries, rows, video_band(F.col("duration")), exact)
+    # there are only some ten bands of videos, and most videos are in one of them
+    return banded(queries, rows, video_band(F.col("duration")), exact, slots(rows.sparkSession))
 
 
 def score_bound(lv: np.ndarray, lo: np.ndarray, rv: np.ndarray, ro: np.ndarray) -> np.ndarray:

@@ -95,8 +95,9 @@ def exact_prune_counts(spark: SparkSession, folder: str) -> DataFrame:
     contents = _contents(spark, folder)
     hashed = exact.hashed_contents(contents)
     same = exact.collided(hashed, "full_hash", "full_hash_algo")
-    counts = [contents.agg(F.count("*").alias("contents")), exact.collided(contents, "size").agg(F.count("*").alias("same_size")), hashed.agg(F.count("*").alias("same_partial")), same.agg(F.count("*").alias("same_content"))]
-    return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).crossJoin(counts[3])
+    parts = {"contents": contents, "same_size": exact.collided(contents, "size"), "same_partial": hashed, "same_content": same}
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in parts.items()]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3]).agg(*(F.max(F.when(F.col("part") == name, F.col("n"))).alias(name) for name in parts))
 
 
 # Sources and media types
