@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +53,33 @@ def name_batches(names: DataFrame, size: int = BATCH) -> DataFrame:
     return placed.join(starts, "part").select(F.floor((F.col("start") + F.col("at")) / F.lit(size)).alias("batch"), "name")
 
 
+def asked_of_model(asked: DataFrame, client: Callable[[list[tuple[int, str]], bool], str]) -> DataFrame:
+    """``batch, reply`` from a model for each batch of ``asked`` (batch, id, name).
+
+    ``client(rows, strict)`` gets at most ``BATCH`` (id, name) and answers with text; one that fails is
+    asked once more with ``strict`` off, and a batch that fails again has a null reply, so ``coerced``
+    falls back on the rules. Never called unless a client is given.
+    """
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            replies = []
+            for ids, names in zip(frame["ids"], frame["names"]):
+                reply = None
+                for strict in (True, False):
+                    try:
+                        reply = client(list(zip(map(int, ids), names)), strict)
+                        break
+                    except Exception:  # noqa: BLE001 - whatever the client raises, the rules take over
+                        continue
+                replies.append(reply)
+            yield pd.DataFrame({"batch": frame["batch"], "reply": replies})
+
+    rows = F.sort_array(F.collect_list(F.struct("id", "name")))  # a batch is bounded
+    grouped = asked.groupBy("batch").agg(rows.alias("rows")).select("batch", F.col("rows.id").alias("ids"), F.col("rows.name").alias("names"))
+    return grouped.mapInPandas(ask, f"batch {asked.schema['batch'].dataType.simpleString()}, reply string")
+
+
 def coerced(replies: DataFrame, asked: DataFrame) -> DataFrame:
     """``id, name, core_title, year, episode, source`` from model replies, one row per name asked.
 

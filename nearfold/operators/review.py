@@ -49,6 +49,12 @@ def compression_filter(videos: DataFrame, extensions: set[str], min_mib: float =
     return kept.where(minutes <= max_minutes) if max_minutes > 0 else kept
 
 
+def compression_summary(videos: DataFrame, checked: DataFrame) -> DataFrame:
+    """``loaded, checked, bytes``: videos listed, videos ticked (path), and the bytes of these."""
+    ticked = videos.join(checked.select("path").distinct().withColumn("ticked", F.lit(1)), "path", "left")
+    return ticked.agg(F.count("*").alias("loaded"), F.count("ticked").alias("checked"), F.coalesce(F.sum(F.when(F.col("ticked") == 1, F.col("size"))), F.lit(0)).alias("bytes"))
+
+
 def output_checks(outputs: DataFrame) -> DataFrame:
     """``outputs`` with ``problems`` and ``smaller``: what speaks against an encoded file.
 
