@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from .abuse import THRESHOLD, scored_documents, source_rates
 from .components import connected_groups
-from .encoding import token_counts, token_ids
 from .fingerprints import alike_pairs
 from .history import refused_rows
 from .layouts import layout_groups
 from .lookalike import lookalike_pairs
-from .packing import packed_items
+
+# encoding, packing and abuse are imported where they are used: their libraries take up the driver's memory
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,22 +46,31 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     columns = ("ord", "full_hash", "duration", "fingerprint", "fingerprint_version")
-    return refused_rows(table(spark, folder, "files", *columns), table(spark, folder, "incoming_files", *columns, "batch_no"))
+    return refused_rows(table(spark, folder, "files", *columns), table(spark, folder, "incoming_files", *columns))
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    from .encoding import token_ids
+
     return token_ids(table(spark, folder, "documents", "doc_id", "text"))
 
 
 def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    from .encoding import token_counts
+    from .packing import packed_items
+
     return packed_items(token_counts(table(spark, folder, "documents", "doc_id", "text")), "doc_id", "tokens")
 
 
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
+    from .abuse import scored_documents
+
     return scored_documents(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "labels", "doc_id", "abusive"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .abuse import THRESHOLD
+
     return _scores(spark, folder).where(F.col("score") >= THRESHOLD).select("doc_id")
 
 
@@ -71,6 +79,8 @@ def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    from .abuse import source_rates
+
     return source_rates(_scores(spark, folder))
 
 

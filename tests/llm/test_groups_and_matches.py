@@ -167,12 +167,6 @@ def test_alike_pairs_equal_brute_force(spark, make_files, medium):
     assert alike_pairs(make_files(rows).where("false"), medium).count() == 0
 
 
-def incoming(make_files, rows):
-    from pyspark.sql import functions as F
-
-    return make_files(rows).withColumn("batch_no", F.floor(F.col("ord") % 1000 / 20).cast("int"))
-
-
 def sequential(old, new):
     accepted, out = [dict(r, ord=i) for i, r in enumerate(old)], set()
 
@@ -201,13 +195,13 @@ def test_refused_rows_equal_one_by_one(spark, make_files, step):
     rows = [r for r in make_media(rng, 5) if "fingerprint" in r] + [{"full_hash": None}, {"full_hash": "lone"}, {"full_hash": "lone"}]
     rng.shuffle(rows)
     old, new = rows[:60], [dict(r, ord=1000 + i) for i, r in enumerate(rows[60:] + rows[60:75])]
-    got = [tuple(r) for r in refused_rows(make_files(old), incoming(make_files, new), step_rows=step).collect()]
+    got = [tuple(r) for r in refused_rows(make_files(old), make_files(new), step_rows=step).collect()]
     want = sequential(old, new)
     assert len(got) == len(set(got)) and set(got) == want and {h for *_, h in want} == {"exact", "near"}
 
 
 def test_refused_rows_of_empty_tables(spark, make_files):
-    new = incoming(make_files, [{"ord": 1000, "full_hash": "h"}, {"ord": 1001, "full_hash": "h"}, {"ord": 1002}])
+    new = make_files([{"ord": 1000, "full_hash": "h"}, {"ord": 1001, "full_hash": "h"}, {"ord": 1002}])
     none = make_files([{}]).where("false")
     assert [tuple(r) for r in refused_rows(none, new).collect()] == [(1000, 1001, "exact")]
     assert refused_rows(make_files([{"full_hash": "h"}]), new.where("false")).count() == 0
