@@ -101,6 +101,44 @@ def sequence_scores(lv: np.ndarray, lo: np.ndarray, rv: np.ndarray, ro: np.ndarr
     return scores
 
 
+def score_bound(lv: np.ndarray, lo: np.ndarray, rv: np.ndarray, ro: np.ndarray) -> np.ndarray:
+    """An upper bound of the sequence score: every left frame takes its nearest right frame, in any order."""
+    bound = np.zeros(len(lo) - 1)
+    shapes, which = np.unique(np.stack([np.diff(lo), np.diff(ro)], 1), axis=0, return_inverse=True)
+    for kind, (n, m) in enumerate(shapes):
+        if not min(n, m):
+            continue
+        some = np.flatnonzero(which.ravel() == kind)
+        if n < m:  # the shorter side chooses
+            a, b = lv[lo[some][:, None] + np.arange(n)], rv[ro[some][:, None] + np.arange(m)]
+        else:
+            a, b = rv[ro[some][:, None] + np.arange(m)], lv[lo[some][:, None] + np.arange(n)]
+        near = np.sort(np.bitwise_count(a[:, :, None] ^ b[:, None, :]).min(2), axis=1).cumsum(1)
+        shorter = int(min(n, m))
+        counts = np.arange(max(1, int(np.ceil(shorter * COVERAGE))), shorter + 1)
+        scores = 100.0 * (1.0 - near[:, counts - 1] / (64.0 * counts)) - (1.0 - counts / shorter) * COVERAGE_PENALTY
+        bound[some] = scores.max(1) + 1e-9
+    return bound
+
+
+def alike_sequences(lv: np.ndarray, lo: np.ndarray, rv: np.ndarray, ro: np.ndarray, least: float) -> np.ndarray:
+    """Whether each pair of sequences scores at least ``least``; the exact score only where the bound leaves it open."""
+    good = np.zeros(len(lo) - 1, bool)
+    for at in range(0, len(good), 8192):
+        a, b = lo[at : at + 8193], ro[at : at + 8193]
+        open_ = np.flatnonzero(score_bound(lv, a, rv, b) >= least)
+        left, right = (_kept(v, o, open_) for v, o in ((lv, a), (rv, b)))
+        good[at + open_] = sequence_scores(*left, *right) >= least
+    return good
+
+
+def _kept(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some rows of a ragged array as one of their own."""
+    sizes = np.diff(offsets)[rows]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return values[np.arange(ends[-1]) + np.repeat(offsets[rows] - ends[:-1], sizes)], ends
+
+
 def audio_scores(lv: np.ndarray, lo: np.ndarray, rv: np.ndarray, ro: np.ndarray) -> np.ndarray:
     """Best bit similarity of each pair of 32-bit word sequences over shifts that keep 90 % of the shorter."""
     ll, rl = np.diff(lo), np.diff(ro)

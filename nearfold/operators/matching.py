@@ -10,12 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import (
-    COVERAGE,
-    COVERAGE_PENALTY,
     audio_similarity,
     durations_compatible,
     flat,
     image_similarity,
+    score_bound,
     sequence_scores,
     sequence_similarity,
 )
@@ -112,26 +111,6 @@ def video_candidates(queries: DataFrame, rows: DataFrame) -> DataFrame:
     return banded(queries, rows, video_band(F.col("duration")), exact, slots(rows.sparkSession))
 
 
-def score_bound(lv: np.ndarray, lo: np.ndarray, rv: np.ndarray, ro: np.ndarray) -> np.ndarray:
-    """An upper bound of the sequence score: every left frame takes its nearest right frame, in any order."""
-    bound = np.zeros(len(lo) - 1)
-    shapes, which = np.unique(np.stack([np.diff(lo), np.diff(ro)], 1), axis=0, return_inverse=True)
-    for kind, (n, m) in enumerate(shapes):
-        if not min(n, m):
-            continue
-        some = np.flatnonzero(which.ravel() == kind)
-        if n < m:  # the shorter side chooses
-            a, b = lv[lo[some][:, None] + np.arange(n)], rv[ro[some][:, None] + np.arange(m)]
-        else:
-            a, b = rv[ro[some][:, None] + np.arange(m)], lv[lo[some][:, None] + np.arange(n)]
-        near = np.sort(np.bitwise_count(a[:, :, None] ^ b[:, None, :]).min(2), axis=1).cumsum(1)
-        shorter = int(min(n, m))
-        counts = np.arange(max(1, int(np.ceil(shorter * COVERAGE))), shorter + 1)
-        scores = 100.0 * (1.0 - near[:, counts - 1] / (64.0 * counts)) - (1.0 - counts / shorter) * COVERAGE_PENALTY
-        bound[some] = scores.max(1) + 1e-9
-    return bound
-
-
 def scored_from(least: float):
     """Scores pairs (ord_a, ord_b, delta, words_a, words_b) and keeps those of at least ``least``; hopeless pairs skip the exact score."""
 

@@ -82,13 +82,15 @@ def test_video_matches_and_recheck(spark, make_files):
 def test_bound_is_never_too_low(spark):
     import numpy as np
 
-    from nearfold.functions.similarity import sequence_scores
+    from nearfold.functions.similarity import alike_sequences, score_bound, sequence_scores
 
     rng = random.Random(5)
     left = [[rng.getrandbits(63) & rng.getrandbits(63) for _ in range(rng.randrange(1, 16))] for _ in range(200)]
     right = [[w ^ (1 << rng.randrange(60)) if rng.random() < 0.7 else rng.getrandbits(63) for w in a][: rng.randrange(1, 16)] for a in left]
     ragged = [(np.array([w for r in x for w in r], np.uint64), np.cumsum([0, *map(len, x)])) for x in (left, right)]
-    assert (matching.score_bound(*ragged[0], *ragged[1]) + 1e-6 >= sequence_scores(*ragged[0], *ragged[1])).all()
+    exact = sequence_scores(*ragged[0], *ragged[1])
+    assert (score_bound(*ragged[0], *ragged[1]) + 1e-6 >= exact).all()
+    assert (alike_sequences(*ragged[0], *ragged[1], 85.0) == (exact >= 85)).all() and (exact >= 85).any()
 
 
 def test_clusters_and_folder_goldens(spark):
