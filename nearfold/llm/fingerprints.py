@@ -22,11 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import (
+    alike_sequences,
     audio_scores,
     durations_compatible,
     flat,
     image_similarity,
-    sequence_scores,
 )
 from ..runtime import stage
 from .combinations import combination_pairs
@@ -66,25 +66,29 @@ def with_class_key(rows: DataFrame, words: str) -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64(words), "h2": F.xxhash64(F.lit(1), F.reverse(words))})
 
 
-def verified(kind, least: float):
+def verified(alike, least: float):
     """Keeps the pairs ``a, b`` whose words (columns 2 and 3) score at least ``least``."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = kind(*flat(batch.column(2)), *flat(batch.column(3))) >= least
+            good = alike(*flat(batch.column(2)), *flat(batch.column(3)), least)
             yield batch.select([0, 1]).filter(pa.array(good))
 
     return check
 
 
+def _alike_tracks(lv: np.ndarray, lo: np.ndarray, rv: np.ndarray, ro: np.ndarray, least: float) -> np.ndarray:
+    return audio_scores(lv, lo, rv, ro) >= least
+
+
 def _scored_pairs(pairs: DataFrame, classes: DataFrame, medium: str) -> DataFrame:
     words = classes.select(F.col("id"), F.col("words"))
     both = pairs.join(words.toDF("a", "words_a"), "a").join(words.toDF("b", "words_b"), "b")
     both = both.select("a", "b", "words_a", "words_b")
     if medium == "image":
         return both.where(image_similarity(F.col("words_a"), F.col("words_b")) >= IMAGE_LEAST).select("a", "b")
-    kind, least = (sequence_scores, VIDEO_LEAST) if medium == "video" else (audio_scores, AUDIO_LEAST)
-    return both.mapInArrow(verified(kind, least), "a long, b long")
+    alike, least = (alike_sequences, VIDEO_LEAST) if medium == "video" else (_alike_tracks, AUDIO_LEAST)
+    return both.mapInArrow(verified(alike, least), "a long, b long")
 
 
 def _candidates(classes: DataFrame, medium: str) -> DataFrame:
