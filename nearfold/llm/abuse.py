@@ -21,8 +21,8 @@ scored; without labels of both kinds nothing is learnt and every score is 0; tex
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ from .lookalike import skeleton
 SAMPLE_DOCS = 20_000
 #: Words of a segment, and how far the windows of a longer one move.
 WINDOW, STEP = 12, 4
+#: Distinct words that a task remembers the codes of.
+WORDS_KEPT = 1 << 20
 #: FTRL-proximal: learning rate, smoothing, L1 and L2; passes over the sample per fit; segments per update.
 ALPHA, BETA, L1, L2, PASSES, UPDATE = 0.3, 1.0, 0.3, 2.0, 2, 64
 #: Parts of the sample, each judged by a model of the others; what a positive document's segments weigh together at first.
@@ -53,6 +55,7 @@ SPELT = str.maketrans("013457@$!", "oieastasi")
 _APART = regex.compile(r"(?<![\p{L}\p{N}])(?:\p{L}[ .\-_·]){3,}\p{L}(?![\p{L}\p{N}])")
 _SEGMENTS = regex.compile(r"[\r\n]+|(?<=[.!?…])[\"'”»“)\]]*\s+")
 _WORDS = regex.compile(r"[*#@$_|%+]*[\p{L}\p{N}](?:[\p{L}\p{N}\p{M}*#@$_|%+]|['’!](?=\p{L}))*|[\"'„“”‚‘’«»]")
+_MARKS = regex.compile(r"\p{Mn}+")
 _REPEATS = regex.compile(r"(.)\1+")
 _QUOTES = "\"'„“”‚‘’«»"
 
@@ -78,67 +81,85 @@ class Features:
 
     def __init__(self):
         self.seen: dict[str, int] = {}
-        self.plain, self.loose = [], []
-
-    def _code(self, word: str) -> int:
-        code = self.seen.get(word)
-        if code is None:
-            if len(self.seen) >= 1 << 20:
-                self.seen.clear()
-                self.plain, self.loose = [], []
-            code = self.seen[word] = len(self.plain)
-            plain, loose = spelt(word)
-            self.plain.append(xxhash.xxh64_intdigest(plain))
-            self.loose.append(xxhash.xxh64_intdigest("~" + loose))
-        return code
+        self.codes = np.zeros((2, 1024), np.uint64)
+
+    def _learn(self, word: str) -> None:
+        self.seen[word] = at = len(self.seen)
+        if at == self.codes.shape[1]:
+            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)], axis=1)
+        plain, loose = spelt(word)
+        self.codes[:, at] = xxhash.xxh64_intdigest(plain), xxhash.xxh64_intdigest("~" + loose)
 
     def segments(self, text: str | None) -> list[list[str]]:
         if not text:
             return []
-        plain = text if text.isascii() else "".join(c for c in skeleton(text) if not unicodedata.combining(c))
+        plain = text if text.isascii() else _MARKS.sub("", skeleton(text))
         plain = _APART.sub(lambda m: regex.sub(r"[ .\-_·]", "", m[0]), plain.casefold())
-        out = []
-        for part in _SEGMENTS.split(plain):
-            words = _WORDS.findall(part) if part else []
-            if len(words) <= WINDOW:
-                if words:
-                    out.append(words)
-            else:
-                out.extend(words[i : i + WINDOW] for i in range(0, len(words) - WINDOW + STEP, STEP))
-        return out
+        return [words for part in _SEGMENTS.split(plain) if part and (words := _WORDS.findall(part))]
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Features (32 bits), the segment of each, and the text of each segment."""
+    def __call__(self, texts: list[str | None]) -> "Occurrences":
         cut = [self.segments(t) for t in texts]
         owner = np.repeat(np.arange(len(texts)), [len(x) for x in cut])
         rows = [s for x in cut for s in x]
-        if len(self.seen) + sum(map(len, rows)) >= 1 << 20:  # no clearing between a batch's words
-            fresh = {w for s in rows for w in s}
-            if len(self.seen) + len(fresh) >= 1 << 20:
-                self.seen.clear()
-                self.plain, self.loose = [], []
-        codes = np.array([self._code(w) for s in rows for w in s], np.int64)
-        row = np.repeat(np.arange(len(rows)), [len(s) for s in rows])
-        plain = np.array(self.plain, np.uint64)[codes] if len(codes) else np.zeros(0, np.uint64)
-        loose = np.array(self.loose, np.uint64)[codes] if len(codes) else np.zeros(0, np.uint64)
-        found, where = [plain, loose], [row, row]
-        # runs of two and three words, and pairs with one or two words between; a segment's edges count as words
+        lengths = np.array([len(s) for s in rows], np.int64)
+        words = [w for s in rows for w in s]
+        fresh = set(words).difference(self.seen)
+        if len(self.seen) + len(fresh) >= WORDS_KEPT:
+            self.seen.clear()
+            fresh = set(words)
+        for word in sorted(fresh):
+            self._learn(word)
+        codes = np.array([self.seen[w] for w in words], np.int64)
+        plain, loose = self.codes[:, codes]
+        row = np.repeat(np.arange(len(rows)), lengths)
+        begins = np.cumsum(lengths) - lengths
+        place = np.arange(len(codes)) - begins[row]
+        found, where, first, last = [plain, loose], [row, row], [place, place], [place, place]
+        # runs of two and three words, and pairs with one or two words between; a segment's beginning counts as a word
         edge = np.uint64(0x5851F42D4C957F2D)
-        starts = np.flatnonzero(np.diff(row, prepend=-1)) if len(row) else np.zeros(0, np.int64)
-        padded = np.insert(plain, starts, edge)
-        prow = np.insert(row, starts, row[starts] if len(row) else row)
+        padded, prow, pplace = np.insert(plain, begins, edge), np.insert(row, begins, np.arange(len(rows))), np.insert(place, begins, -1)
         for kind, gaps in enumerate(((1,), (1, 2), (2,), (3,))):
-            last = gaps[-1]
-            if len(padded) <= last:
+            far = gaps[-1]
+            if len(padded) <= far:
                 continue
-            key = padded[:-last] * np.uint64(2 * kind + 3)
+            key = padded[:-far] * np.uint64(2 * kind + 3)
             for gap in gaps:
-                key = mixed(key + np.uint64(kind)) + padded[gap : len(padded) - last + gap]
-            same = prow[:-last] == prow[last:]
+                key = mixed(key + np.uint64(kind)) + padded[gap : len(padded) - far + gap]
+            same = prow[:-far] == prow[far:]
             found.append(key[same])
-            where.append(prow[:-last][same])
-        features = (mixed(np.concatenate(found)) >> np.uint64(32)).astype(np.uint32)
-        return features, np.concatenate(where), owner
+            where.append(prow[:-far][same])
+            first.append(np.maximum(pplace[:-far][same], 0))
+            last.append(pplace[far:][same])
+        hashes = (mixed(np.concatenate(found)) >> np.uint64(32)).astype(np.uint32)
+        return Occurrences(hashes, np.concatenate(where), np.concatenate(first), np.concatenate(last), lengths, owner)
+
+
+@dataclass
+class Occurrences:
+    """Features (32 bits) with their segment and their first and last word in it; each segment's words and text."""
+
+    features: np.ndarray
+    segment: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    lengths: np.ndarray
+    owner: np.ndarray
+
+    def windows(self, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features by window, the window of each, and the text of each window; of ``kept`` occurrences only.
+
+        A segment of up to WINDOW words is one window; a window holds the features that lie within it.
+        """
+        count = 1 + np.maximum(0, -(-(self.lengths - WINDOW) // STEP))
+        base = np.cumsum(count) - count
+        segment, first, last = (x if kept is None else x[kept] for x in (self.segment, self.first, self.last))
+        features = self.features if kept is None else self.features[kept]
+        high = np.minimum(first // STEP, count[segment] - 1)
+        low = np.maximum(0, -(-(last + 1 - WINDOW) // STEP))
+        times = np.maximum(0, high - low + 1)
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        window = np.repeat(base[segment] + low, times) + step
+        return np.repeat(features, times), window, np.repeat(self.owner, count)
 
 
 def ftrl(features: np.ndarray, offsets: np.ndarray, labels: np.ndarray, weight: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -182,7 +203,7 @@ def fit(texts: list[str], labels: np.ndarray, votes: np.ndarray, seed: int = 1)
     _, own = np.unique(np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64), return_index=True)
     texts, labels, votes = [texts[i] for i in own], labels[own], votes[own]
     nothing = np.zeros(0, np.uint32), np.zeros(0), -10.0
-    hashes, row, owner = Features()(texts)
+    hashes, row, owner = Features()(texts).windows()
     if not len(owner) or labels.min() == labels.max():
         return nothing
     order = np.argsort(row, kind="stable")
@@ -236,9 +257,8 @@ class Scorer:
         out = np.full(len(texts), -np.inf)
         if not len(self.hashes):
             return out
-        features, row, owner = self.features(texts)
-        hit = self.maybe[features & np.uint32((1 << 22) - 1)]
-        features, row = features[hit], row[hit]
+        found = self.features(texts)
+        features, row, owner = found.windows(np.flatnonzero(self.maybe[found.features & np.uint32((1 << 22) - 1)]))
         at = np.minimum(np.searchsorted(self.hashes, features), len(self.hashes) - 1)
         value = np.where(self.hashes[at] == features, self.weights[at], 0.0)
         score = np.bincount(row, value, len(owner)) + self.bias

@@ -129,7 +129,7 @@ class Encoder:
             }
         )
         self.engine.register("symbols", symbols)
-        merged = self.engine.execute(MERGE).to_arrow_table().column("ids").combine_chunks()
+        merged = self.engine.sql(MERGE).to_arrow_table().column("ids").combine_chunks()
         self.ids.append(merged.values.to_numpy()[merged.offsets[0].as_py() :].astype(np.int32))
         self.ends.extend((self.ends[-1] + np.cumsum(merged.value_lengths().to_numpy())).tolist())
 
