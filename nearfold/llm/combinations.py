@@ -10,7 +10,8 @@ the task itself extends the prefix by the remaining tokens. Words travel as pack
 
 Words that occur in very many items ("hot", such as an all-black frame) say little on their own.
 They are left out of the index for items of which at least half of the words are not hot, and kept
-for the others. A word pair is reported by its first common combination only.
+for the others; the pairs that need them are found by ``hotpairs``. A word pair is reported by its
+first common combination only.
 """
 
 from __future__ import annotations
@@ -58,16 +59,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def without_hot(values: np.ndarray, offsets: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words and their items (positions), less the hot words of items with at least as many others."""
+def dropped(values: np.ndarray, offsets: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Whether each word is a hot one of an item with at least as many others."""
     sizes = np.diff(offsets)
     item = np.repeat(np.arange(len(sizes)), sizes)
+    common = np.isin(values[offsets[0] : offsets[-1]], hot)
+    cold = np.bincount(item, ~common, len(sizes))
+    return common & (2 * cold >= sizes)[item]
+
+
+def without_hot(values: np.ndarray, offsets: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and their items (positions), less the hot words of items with at least as many others."""
+    item = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     words = values[offsets[0] : offsets[-1]]
     if not len(hot) or not len(words):
         return words, item
-    common = np.isin(words, hot)
-    cold = np.bincount(item, ~common, len(sizes))
-    kept = ~common | (2 * cold < sizes)[item]
+    kept = ~dropped(values, offsets, hot)
     return words[kept], item[kept]
 
 
@@ -171,7 +178,7 @@ def hot_words(items: DataFrame, words: int) -> np.ndarray:
 
 
 def combination_pairs(
-    items: DataFrame, *, bits: int, tolerance: int, most: int, load: float = LOAD, entries_per_task: int = ENTRIES_PER_TASK
+    items: DataFrame, *, bits: int, tolerance: int, most: int, load: float = LOAD, entries_per_task: int = ENTRIES_PER_TASK, hot: np.ndarray | None = None
 ) -> DataFrame:
     """``a, b`` (``a < b``): pairs of items that hold two words at most ``most`` bits apart.
 
@@ -184,7 +191,7 @@ def combination_pairs(
     items = items.select("id", "words")
     total = items.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
     k = combination_size(total, bits, tolerance, load)
-    hot = hot_words(items, total)
+    hot = hot_words(items, total) if hot is None else hot
     parts = parts_for(total * (tolerance + 1), entries_per_task, slots(items.sparkSession))
     entries = items.mapInArrow(packed(parts, bits, tolerance, k, hot), "owner int, lead int, words binary, ids binary")
     pairs = entries.repartitionById(parts, F.col("owner")).mapInArrow(joined(bits, tolerance, k, most), "a long, b long")

@@ -29,8 +29,9 @@ from ..functions.similarity import (
     image_similarity,
 )
 from ..runtime import stage
-from .combinations import combination_pairs
+from .combinations import combination_pairs, hot_words
 from .expansion import member_pairs
+from .hotpairs import hot_pairs, likely_sequences
 
 VIDEO_LEAST, IMAGE_LEAST, AUDIO_LEAST = 85.0, 90.0, 94.0
 #: Frames within which an alike video pair is looked for with full tolerance.
@@ -91,15 +92,26 @@ def _scored_pairs(pairs: DataFrame, classes: DataFrame, medium: str) -> DataFram
     return both.mapInArrow(verified(alike, least), "a long, b long")
 
 
-def _candidates(classes: DataFrame, medium: str) -> DataFrame:
+def _hot(classes: DataFrame) -> np.ndarray:
+    return hot_words(classes, classes.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0)
+
+
+def _hot_pairs(classes: DataFrame, medium: str, hot: np.ndarray) -> DataFrame | None:
+    """Alike pairs that ``_candidates`` may lack because a hot word is left out of its index."""
+    if medium == "video":
+        return hot_pairs(classes, hot, most=VIDEO_BITS, alike=alike_sequences, least=VIDEO_LEAST, likely=likely_sequences(VIDEO_LEAST))
+    return hot_pairs(classes, hot, most=AUDIO_BITS, alike=_alike_tracks, least=AUDIO_LEAST)
+
+
+def _candidates(classes: DataFrame, medium: str, hot: np.ndarray | None) -> DataFrame:
     if medium == "image":
         return combination_pairs(classes.select("id", F.slice("words", 1, 1).alias("words")), bits=64, tolerance=IMAGE_BITS, most=IMAGE_BITS)
     if medium == "audio":
-        return combination_pairs(classes, bits=32, tolerance=AUDIO_BITS, most=AUDIO_BITS)
-    pairs = combination_pairs(classes, bits=64, tolerance=VIDEO_CERTAIN, most=VIDEO_BITS)
+        return combination_pairs(classes, bits=32, tolerance=AUDIO_BITS, most=AUDIO_BITS, hot=hot)
+    pairs = combination_pairs(classes, bits=64, tolerance=VIDEO_CERTAIN, most=VIDEO_BITS, hot=hot)
     short = classes.where(F.size("words") < SHORT_FRAMES)
     if short.limit(1).count():
-        found = combination_pairs(classes, bits=64, tolerance=VIDEO_BITS, most=VIDEO_BITS)
+        found = combination_pairs(classes, bits=64, tolerance=VIDEO_BITS, most=VIDEO_BITS, hot=hot)
         ids = short.select("id")
         pairs = pairs.union(found.join(ids.toDF("a"), "a", "left_semi")).union(
             found.join(ids.toDF("b"), "b", "left_semi").select("a", "b")
@@ -124,7 +136,10 @@ def alike_pairs(files: DataFrame, medium: str) -> DataFrame:
     """``ord_a, ord_b`` of the rows of ``files`` alike in ``medium`` ('video', 'image' or 'audio')."""
     rows = with_class_key(_rows_of(files, medium), "words")
     classes = stage(classes_of(rows, "words"), f"{medium}-classes")
-    pairs = _scored_pairs(_candidates(classes, medium), classes, medium)
+    hot = _hot(classes) if medium != "image" else None  # the one word of an image is never left out
+    pairs = _scored_pairs(_candidates(classes, medium, hot), classes, medium)
+    if medium != "image" and (more := _hot_pairs(classes, medium, hot)) is not None:
+        pairs = pairs.union(more).distinct()
     inner = classes.where("mixed").select(F.col("id").alias("a"), F.col("id").alias("b"))
     pairs = stage(pairs.union(inner), f"{medium}-pairs")
     used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()

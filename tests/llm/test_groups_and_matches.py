@@ -167,6 +167,32 @@ def test_alike_pairs_equal_brute_force(spark, make_files, medium):
     assert alike_pairs(make_files(rows).where("false"), medium).count() == 0
 
 
+def hot_media(rng, n=60):
+    """Items that share hot words; partners agree on these only and are too far apart in the others to be found by them."""
+    shared, silence = [rng.getrandbits(64) for _ in range(7)], [rng.getrandbits(32) for _ in range(5)]
+    rows = []
+    for i in range(n):
+        video, audio = [rng.getrandbits(64) for _ in range(8)], [rng.getrandbits(32) for _ in range(5)]
+        for copy in range(2 if i % 2 else 1):
+            words = [flipped(rng, w, 12) for w in video] if copy else video
+            tracks = [flipped(rng, w, 3, 32) for w in audio] if copy else audio
+            rows.append({"fingerprint": [signed(w) for w in shared + words], "fingerprint_version": 2, "duration": 500.0, "audio_fingerprint": silence + tracks})
+    # a frame near a hot one, in an item that never held it
+    rows.append({"fingerprint": [signed(w) for w in [flipped(rng, shared[0], 3)] + [flipped(rng, w, 10) for w in shared[1:]]] + rows[0]["fingerprint"][7:], "fingerprint_version": 2, "duration": 500.0})
+    return rows
+
+
+@pytest.mark.parametrize("medium", ["video", "audio"])
+def test_pairs_that_share_only_hot_words(spark, make_files, monkeypatch, medium):
+    from nearfold.llm import combinations
+
+    monkeypatch.setattr(combinations, "HOT_ITEMS", 20)
+    rows = hot_media(random.Random(5))
+    got = [(r.ord_a, r.ord_b) for r in alike_pairs(make_files(rows), medium).collect()]
+    want = brute_media(rows, medium)
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 30
+
+
 def sequential(old, new):
     accepted, out = [dict(r, ord=i) for i, r in enumerate(old)], set()
 
