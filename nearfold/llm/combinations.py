@@ -30,7 +30,7 @@ from ..runtime import parts_for, ship_package, slots
 
 #: Words per combination value that the choice of k aims at, at most.
 LOAD = 4.0
-#: Index entries (a word under one prefix token) that one task takes in: 16 bytes each, about 60 at the peak.
+#: Index entries (a word under one prefix token) that one task takes in: 12 bytes each sent, about 60 at the peak.
 ENTRIES_PER_TASK = 1 << 21
 #: A word is hot when more items than this hold it; the list of hot words stays below 2**20 in any case.
 HOT_ITEMS = 1000
@@ -78,6 +78,17 @@ def without_hot(values: np.ndarray, offsets: np.ndarray, hot: np.ndarray) -> tup
     return words[kept], item[kept]
 
 
+def packed_ids(ids: np.ndarray) -> tuple[int, bytes]:
+    """Ids as differences from their smallest, in 32 bits where they fit."""
+    low = int(ids.min())
+    near = (ids - low).astype(np.uint64)
+    return low, near.astype(np.uint32 if near.max() < 1 << 32 else np.uint64).tobytes()
+
+
+def unpacked_ids(low: int, ids: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(ids, np.uint32 if len(ids) == 4 * count else np.uint64).astype(np.int64) + low
+
+
 def packed(parts: int, bits: int, tolerance: int, k: int, hot: np.ndarray):
     """Batches of (id, words) to binary columns per (owner of the prefix token, place of the token)."""
     edges = block_edges(bits, k + tolerance)
@@ -86,18 +97,18 @@ def packed(parts: int, bits: int, tolerance: int, k: int, hot: np.ndarray):
         for batch in batches:
             words, item = without_hot(*flat(batch.column(1)), hot)
             ids = np.asarray(batch.column(0))[item]
-            out: list[tuple[int, int, bytes, bytes]] = []
+            out: list[tuple[int, int, bytes, int, bytes]] = []
             for lead in range(tolerance + 1):
                 owner = mixed(block(words, edges, lead) * np.uint64(64) + np.uint64(lead)) % np.uint64(parts)
                 order = np.argsort(owner, kind="stable")
                 cuts = np.flatnonzero(np.diff(owner[order])) + 1
                 for some in np.split(order, cuts):
                     if len(some):
-                        out.append((int(owner[some[0]]), lead, words[some].tobytes(), ids[some].tobytes()))
+                        out.append((int(owner[some[0]]), lead, words[some].tobytes(), *packed_ids(ids[some])))
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
-                    ["owner", "lead", "words", "ids"],
+                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()))],
+                    ["owner", "lead", "words", "low", "ids"],
                 )
 
     return pack
@@ -145,13 +156,13 @@ def joined(bits: int, tolerance: int, k: int, most: int):
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[int, list[bytes]] = {}
-        ids: dict[int, list[bytes]] = {}
+        ids: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for lead, w, i in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
+            for lead, w, low, i in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4))):
                 words.setdefault(lead, []).append(w)
-                ids.setdefault(lead, []).append(i)
+                ids.setdefault(lead, []).append(unpacked_ids(low, i, len(w) // 8))
         for lead in sorted(words):
-            w, i = np.frombuffer(b"".join(words.pop(lead)), np.uint64), np.frombuffer(b"".join(ids.pop(lead)), np.int64)
+            w, i = np.frombuffer(b"".join(words.pop(lead)), np.uint64), np.concatenate(ids.pop(lead))
             waiting, held = [], 0
             for pairs in close_words(w, i, lead, bits, tolerance, k, most):
                 waiting.append(pairs)
@@ -193,6 +204,6 @@ def combination_pairs(
     k = combination_size(total, bits, tolerance, load)
     hot = hot_words(items, total) if hot is None else hot
     parts = parts_for(total * (tolerance + 1), entries_per_task, slots(items.sparkSession))
-    entries = items.mapInArrow(packed(parts, bits, tolerance, k, hot), "owner int, lead int, words binary, ids binary")
+    entries = items.mapInArrow(packed(parts, bits, tolerance, k, hot), "owner int, lead int, words binary, low long, ids binary")
     pairs = entries.repartitionById(parts, F.col("owner")).mapInArrow(joined(bits, tolerance, k, most), "a long, b long")
     return pairs.distinct()

@@ -6,10 +6,9 @@ never pair up), so a large group of byte-identical copies costs no pairs.
 
 Defined results: null and empty fingerprints, and those that hold a null word, have no similarity;
 null, NaN and non-positive durations never agree; repeated rows are rows of their own; scores are
-compared unrounded. Every pair of alike images and audio tracks is found for certain. Alike videos
-share at least one frame within 9 bits; the join is certain to find pairs with a frame within 4
-bits, and finds frames of 5 to 9 bits with a chance of 0.9 down to 0.3 each. Videos of fewer than
-``SHORT_FRAMES`` frames have few such chances, so they are joined once more with tolerance 9.
+compared unrounded. Every alike pair is found for certain, whatever the size of the table: alike
+videos share at least one frame within 9 bits, alike audio tracks a word within 1, and the joins
+miss no words within these.
 """
 
 from __future__ import annotations
@@ -34,12 +33,8 @@ from .expansion import member_pairs
 from .hotpairs import hot_pairs, likely_sequences
 
 VIDEO_LEAST, IMAGE_LEAST, AUDIO_LEAST = 85.0, 90.0, 94.0
-#: Frames within which an alike video pair is looked for with full tolerance.
-SHORT_FRAMES = 8
 #: Bits a video frame, an image and an audio word of an alike pair may differ in at the thresholds above.
 VIDEO_BITS, IMAGE_BITS, AUDIO_BITS = 9, 8, 1
-#: Bits within which finding a frame is certain.
-VIDEO_CERTAIN = 4
 AUDIO_SECONDS = 3.0
 
 
@@ -108,15 +103,7 @@ def _candidates(classes: DataFrame, medium: str, hot: np.ndarray | None) -> Data
         return combination_pairs(classes.select("id", F.slice("words", 1, 1).alias("words")), bits=64, tolerance=IMAGE_BITS, most=IMAGE_BITS)
     if medium == "audio":
         return combination_pairs(classes, bits=32, tolerance=AUDIO_BITS, most=AUDIO_BITS, hot=hot)
-    pairs = combination_pairs(classes, bits=64, tolerance=VIDEO_CERTAIN, most=VIDEO_BITS, hot=hot)
-    short = classes.where(F.size("words") < SHORT_FRAMES)
-    if short.limit(1).count():
-        found = combination_pairs(classes, bits=64, tolerance=VIDEO_BITS, most=VIDEO_BITS, hot=hot)
-        ids = short.select("id")
-        pairs = pairs.union(found.join(ids.toDF("a"), "a", "left_semi")).union(
-            found.join(ids.toDF("b"), "b", "left_semi").select("a", "b")
-        ).distinct()
-    return pairs
+    return combination_pairs(classes, bits=64, tolerance=VIDEO_BITS, most=VIDEO_BITS, hot=hot)
 
 
 def _rows_of(files: DataFrame, medium: str) -> DataFrame:

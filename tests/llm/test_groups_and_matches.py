@@ -193,6 +193,19 @@ def test_pairs_that_share_only_hot_words(spark, make_files, monkeypatch, medium)
     assert len(got) == len(set(got)) and set(got) == want and len(want) >= 30
 
 
+@pytest.mark.parametrize("k", [3, 4])
+def test_videos_at_the_edge_are_found_at_any_combination_size(spark, make_files, monkeypatch, k):
+    from nearfold.llm import combinations
+
+    monkeypatch.setattr(combinations, "combination_size", lambda *_: k)
+    rng, rows = random.Random(k), []
+    for _ in range(40):
+        words = [rng.getrandbits(64) for _ in range(8)]
+        rows += [{"fingerprint": [signed(w) for w in x], "fingerprint_version": 2, "duration": 500.0} for x in (words, [flipped(rng, w, 9) for w in words])]
+    got = {(r.ord_a, r.ord_b) for r in alike_pairs(make_files(rows), "video").collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(40)}
+
+
 def sequential(old, new):
     accepted, out = [dict(r, ord=i) for i, r in enumerate(old)], set()
 
