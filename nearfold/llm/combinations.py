@@ -34,6 +34,8 @@ LOAD = 4.0
 ENTRIES_PER_TASK = 1 << 21
 #: A word is hot when more items than this hold it; the list of hot words stays below 2**20 in any case.
 HOT_ITEMS = 1000
+#: Widest combination whose fresh values are marked in a table before sorting.
+TABLE_BITS = 24
 
 
 def combination_size(words: int, bits: int, tolerance: int, load: float = LOAD) -> int:
@@ -114,8 +116,13 @@ def packed(parts: int, bits: int, tolerance: int, k: int, hot: np.ndarray):
     return pack
 
 
-def close_words(words: np.ndarray, ids: np.ndarray, lead: int, bits: int, tolerance: int, k: int, most: int) -> Iterator[np.ndarray]:
-    """Pairs of ids with words at most ``most`` bits apart that share a combination led by block ``lead``."""
+def close_words(
+    words: np.ndarray, ids: np.ndarray, lead: int, bits: int, tolerance: int, k: int, most: int, fresh: np.ndarray | None = None
+) -> Iterator[np.ndarray]:
+    """Pairs of ids with words at most ``most`` bits apart that share a combination led by block ``lead``.
+
+    With ``fresh`` (a truth value per word) only pairs of which a side is fresh.
+    """
     edges = block_edges(bits, k + tolerance)
     place = np.uint64(max(1, int(len(words) - 1).bit_length()))
     room = 64 - int(place)
@@ -128,7 +135,12 @@ def close_words(words: np.ndarray, ids: np.ndarray, lead: int, bits: int, tolera
             width += edges[i + 1] - edges[i]
         if width > room:
             key = mixed(key) >> place
-        both = np.sort((key << place) | np.arange(len(words), dtype=np.uint64))
+        both = (key << place) | np.arange(len(words), dtype=np.uint64)
+        if fresh is not None and width <= min(room, TABLE_BITS):  # others can only meet what is fresh
+            table = np.zeros(1 << width, bool)
+            table[key[fresh]] = True
+            both = both[table[key]]
+        both = np.sort(both)
         key, at = both >> place, (both & mask).astype(np.int64)
         skipped = [
             np.uint64(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i]) for i in range(combo[-1]) if i not in combo
@@ -140,6 +152,8 @@ def close_words(words: np.ndarray, ids: np.ndarray, lead: int, bits: int, tolera
                 a, b = at[some], at[some + gap]
                 differing = words[a] ^ words[b]
                 found = np.bitwise_count(differing) <= most
+                if fresh is not None:
+                    found &= fresh[a] | fresh[b]
                 a, b, differing = a[found], b[found], differing[found]
                 first = ids[a] != ids[b]
                 for other in skipped:

@@ -1,16 +1,16 @@
 """New batches against everything accepted before, without working through that history again.
 
-The history is three tables in the shared folder, each cut into buckets by a hash: full hashes with
-the smallest accepted ord, minwise band keys, and signatures (the fingerprints with their durations).
-A batch is sent to the buckets its own keys fall into; the task of a bucket opens that bucket's
-files only. Alike candidates are verified against the signatures, the rows to refuse come out, and
-the keys of the accepted rows are appended as further files of their buckets.
-
-Band keys: a fingerprint's tokens are the pairs of blocks of each of its words (words in 6 blocks,
-15 pairs). One hash spreads the tokens over ``BANDS`` bands, and the smallest hash of each band is
-the key, so two fingerprints share a band's key with the chance of the Jaccard similarity of their
-token sets. Alike sequences of comparable length have a similarity of 0.03 and more there. Words
-that very many fingerprints hold give no tokens (see combinations.py).
+The history is tables in the shared folder, each cut into buckets by a hash: full hashes with the
+smallest accepted ord, entries of frames under the tokens of their prefix (see combinations.py), and
+signatures (the fingerprints with their durations). A batch is sent to the buckets its own keys fall
+into; the task of a bucket opens that bucket's files only. Alike candidates are verified against the
+signatures, the rows to refuse come out, and the entries of the accepted rows are appended as
+further files of their buckets.
+
+Alike fingerprints of any length share a frame within 9 bits, and frames so close share a
+combination of tokens, so no alike pair is missed. A prefix token has few values, so a batch of some
+size meets every bucket of the entries: it reads the index whole, though it never shuffles it. Words
+that very many fingerprints hold have no entries in fingerprints with enough others.
 
 Within a batch rows count in the order of ord: a row is refused if an accepted row before it repeats
 it. Rows with the same hash, fingerprint and duration are one unit; units are decided in one task,
@@ -37,94 +37,15 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import DURATION_DELTA, DURATION_RATIO, alike_sequences, flat
 from ..runtime import parts_for, ship_package, slots, stage, staged_path, unstage
-from .combinations import block, block_edges, hot_words, mixed, without_hot
-from .fingerprints import VIDEO_LEAST, usable, with_class_key
-
-BANDS = 128
-BLOCKS = 6
-#: Band keys that one bucket of the history should hold, about: 8 bytes each.
-KEYS_PER_BUCKET = 1 << 22
-#: Keys of a block, the least that a probe reads: half a megabyte.
-BLOCK_KEYS = 1 << 16
+from .combinations import close_words, combination_size, hot_words, packed, unpacked_ids
+from .fingerprints import VIDEO_BITS, VIDEO_LEAST, usable, with_class_key
+
+#: Entries (a frame under one prefix token) that one bucket of the history should hold, about: 12 bytes each.
+ENTRIES_PER_BUCKET = 1 << 21
 #: Rows of a batch that are decided in one step, at most.
 STEP_ROWS = 200_000
 
 
-def band_keys(values: np.ndarray, offsets: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Items (positions) and keys of a batch of word lists."""
-    words, item = without_hot(values, offsets, hot)
-    least = np.full((len(offsets) - 1) * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    edges = block_edges(64, BLOCKS)
-    blocks = [block(words, edges, i) for i in range(BLOCKS)]
-    base = item * BANDS
-    for i in range(BLOCKS):
-        for j in range(i + 1, BLOCKS):
-            token = mixed(((blocks[i] << np.uint64(12)) | blocks[j]) * np.uint64(64) + np.uint64(i * BLOCKS + j))
-            np.minimum.at(least, base + (token >> np.uint64(57)).astype(np.int64), token)
-    at = np.flatnonzero(least != np.iinfo(np.uint64).max)
-    return at // BANDS, least[at]
-
-
-def _keyed(buckets: int, hot: np.ndarray):
-    """Batches (id, words) to packed columns per bucket: 32 bits of each key and the id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            item, keys = band_keys(*flat(batch.column(1)), hot)
-            ids = np.asarray(batch.column(0))[item]
-            bucket = ((keys & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            out = []
-            for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                if len(some):
-                    low, near = _packed_ids(ids[some])
-                    out.append((int(bucket[some[0]]), low, _short(keys[some]).tobytes(), near))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
-                    ["bucket", "low", "keys", "ids"],
-                )
-
-    return run
-
-
-def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket's packed columns to blocks of ``BLOCK_KEYS`` keys in ascending order, with their first and last key."""
-    got: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
-    for batch in batches:
-        for bucket in set(batch.column("bucket").to_pylist()):
-            got[bucket].append(_unpacked(batch.filter(pc.equal(batch.column("bucket"), bucket))))
-    for bucket, parts in got.items():
-        keys, ids = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], ids[order]
-        for at in range(0, len(keys), BLOCK_KEYS):
-            k, i = keys[at : at + BLOCK_KEYS], ids[at : at + BLOCK_KEYS]
-            row = (bucket, int(k[0]), int(k[-1]), *_packed_ids(i), k.tobytes())
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["bucket", "first", "last", "low", "ids", "keys"])
-
-
-def _packed_ids(ids: np.ndarray) -> tuple[int, bytes]:
-    """Ids as differences from their smallest, in 32 bits where they fit."""
-    low = int(ids.min())
-    near = (ids - low).astype(np.uint64)
-    return low, near.astype(np.uint32 if near.max() < 1 << 32 else np.uint64).tobytes()
-
-
-def _short(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(24)).astype(np.uint32)
-
-
-def _unpacked(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    keys, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-    for low, k, i in zip(*(table.column(c).to_pylist() for c in ("low", "keys", "ids"))):
-        keys.append(np.frombuffer(k, np.uint32))
-        kind = np.uint32 if len(i) == len(k) else np.uint64
-        ids.append(np.frombuffer(i, kind).astype(np.int64) + low)
-    return np.concatenate(keys), np.concatenate(ids)
-
-
 def _files(path: str, bucket: int) -> Iterator[pq.ParquetFile]:
     """The files of one bucket of a history table."""
     where = "file:///" + path[5:].lstrip("/") if path.startswith("file:") else path
@@ -140,54 +61,44 @@ def _opened(path: str, bucket: int, columns: list[str]) -> Iterator[pa.Table]:
         yield file.read(columns=columns)
 
 
-def _blocks(path: str, bucket: int, probe: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys and ids of those blocks of a bucket that any of the sorted probe keys may be in; other row groups are not read."""
-    for file in _files(path, bucket):
-        for group in range(file.num_row_groups):
-            ends = file.read_row_group(group, columns=["first", "last"])
-            low = np.searchsorted(probe, ends.column("first").to_numpy(), "left")
-            hit = np.flatnonzero(low < np.searchsorted(probe, ends.column("last").to_numpy(), "right"))
-            if len(hit):
-                rows = file.read_row_group(group, columns=["low", "keys", "ids"])
-                for i in hit:
-                    yield _unpacked(rows.slice(int(i), 1))
-
-
-def _matches(keys: np.ndarray, ids: np.ndarray, probe: np.ndarray, probe_ids: np.ndarray) -> np.ndarray:
-    """Distinct (probe id, id) of equal keys; ``keys`` sorted."""
-    low, high = np.searchsorted(keys, probe, "left"), np.searchsorted(keys, probe, "right")
-    counts = high - low
-    some = np.repeat(probe_ids, counts)
-    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
-    return np.unique(np.stack([some, ids[at]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-
-
-def _probed(path: str):
-    """The batch's keys of one bucket to (probe, other, old): candidates in the history and in the batch itself."""
+def _met(path: str, k: int):
+    """The batch's entries of one bucket to (probe, other, old): candidates in the history and in the batch itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        got: dict[int, list[pa.RecordBatch | pa.Table]] = defaultdict(list)
         for batch in batches:
-            for bucket in set(batch.column("bucket").to_pylist()):
-                got[bucket].append(_unpacked(batch.filter(pc.equal(batch.column("bucket"), bucket))))
+            for bucket in set(batch.column("owner").to_pylist()):
+                got[bucket].append(batch.filter(pc.equal(batch.column("owner"), bucket)))
         for bucket, parts in got.items():
-            probe, probe_ids = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(probe, kind="stable")
-            probe, probe_ids = probe[order], probe_ids[order]
-            waiting = []
-            for keys, ids in _blocks(path, bucket, probe):
-                low, high = np.searchsorted(probe, keys[0], "left"), np.searchsorted(probe, keys[-1], "right")
-                waiting.append(_matches(keys, ids, probe[low:high], probe_ids[low:high]))
-            if waiting:
-                found = np.unique(np.concatenate(waiting), axis=0)
-                yield _candidates(found[:, 0], found[:, 1], True)
-            found = _matches(probe, probe_ids, probe, probe_ids)
-            found = found[found[:, 1] < found[:, 0]]
-            yield _candidates(found[:, 0], found[:, 1], False)
+            words: dict[int, list[np.ndarray]] = defaultdict(list)
+            ids: dict[int, list[np.ndarray]] = defaultdict(list)
+            fresh = set()
+            for old, part in [(False, p) for p in parts] + [(True, t) for t in _opened(path, bucket, ["lead", "words", "low", "ids"])]:
+                for lead, w, low, i in zip(*(part.column(c).to_pylist() for c in ("lead", "words", "low", "ids"))):
+                    if not old:
+                        fresh.add(lead)
+                    elif lead not in fresh:
+                        continue
+                    words[lead].append(np.frombuffer(w, np.uint64))
+                    ids[lead].append(unpacked_ids(low, i, len(w) // 8) * 2 + (not old))
+            for lead in sorted(words):
+                w, i = np.concatenate(words.pop(lead)), np.concatenate(ids.pop(lead))
+                for pairs in close_words(w, i, lead, 64, VIDEO_BITS, k, VIDEO_BITS, i % 2 == 1):
+                    pairs = np.unique(pairs, axis=0)
+                    yield from _sorted_out(pairs[:, 0], pairs[:, 1])
 
     return run
 
 
+def _sorted_out(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of ids times two, odd for the batch, to candidates: the batch's id first, the later one within the batch."""
+    probe, other = np.where(a % 2 == 1, a, b), np.where(a % 2 == 1, b, a)
+    old = other % 2 == 0
+    probe, other = probe >> 1, other >> 1
+    yield _candidates(probe[old], other[old], True)
+    yield _candidates(np.maximum(probe, other)[~old], np.minimum(probe, other)[~old], False)
+
+
 def _candidates(probe: np.ndarray, other: np.ndarray, old: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(probe), pa.array(other), pa.array(np.full(len(probe), old))], ["probe", "other", "old"])
 
@@ -251,6 +162,7 @@ def _known(path: str):
     return run
 
 
+CANDIDATES = "probe long, other long, old boolean"
 DECIDED = "unit long, full_hash string, exact long, old long, near long, accepted boolean"
 
 
@@ -279,8 +191,8 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class History:
     """Accepted rows of one collection, kept in ``path`` below the shared folder."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int, hot: np.ndarray):
-        self.spark, self.path, self.buckets, self.hot = spark, path, buckets, hot
+    def __init__(self, spark: SparkSession, path: str, buckets: int, hot: np.ndarray, k: int):
+        self.spark, self.path, self.buckets, self.hot, self.k = spark, path, buckets, hot, k
 
     @classmethod
     def create(cls, rows: DataFrame, path: str | None = None) -> History:
@@ -291,8 +203,8 @@ class History:
         classes = stage(cls._classes(units), "history-classes")
         total = classes.agg(F.count("*"), F.sum(F.size("words").cast("long"))).first()
         hot = hot_words(classes.select("words"), total[1] or 0)
-        buckets = parts_for((total[0] or 0) * BANDS, KEYS_PER_BUCKET, slots(spark))
-        made = cls(spark, path or staged_path(spark, "history"), buckets, hot)
+        buckets = parts_for((total[1] or 0) * (VIDEO_BITS + 1), ENTRIES_PER_BUCKET, slots(spark))
+        made = cls(spark, path or staged_path(spark, "history"), buckets, hot, combination_size(total[1] or 0, 64, VIDEO_BITS))
         made.append(units, classes)
         unstage(units)
         unstage(classes)
@@ -320,19 +232,21 @@ class History:
         hashes = units.where("full_hash is not null").groupBy("full_hash").agg(F.min("unit").alias("ord"))
         self._write(hashes.select(self._bucket("full_hash"), "full_hash", "ord"), "hashes")
         classes = classes or self._classes(units)
-        keys = classes.select("cls", "words").mapInArrow(_keyed(self.buckets, self.hot), "bucket int, low long, keys binary, ids binary")
-        packed = keys.repartitionById(self.buckets, F.col("bucket")).mapInArrow(_sorted_blocks, "bucket int, first long, last long, low long, ids binary, keys binary")
-        self._save(packed, "keys")
+        entries = self._entries(classes).repartitionById(self.buckets, F.col("owner"))
+        self._save(entries.withColumnRenamed("owner", "bucket"), "entries")
         members = units.where("words is not null").groupBy("h1", "h2", "duration").agg(F.min("unit").alias("ord"))
         signatures = members.join(classes, ["h1", "h2"]).select(self._bucket("cls"), "cls", "ord", "duration", "words")
         self._write(signatures, "signatures")
 
+    def _entries(self, classes: DataFrame) -> DataFrame:
+        pack = packed(self.buckets, 64, VIDEO_BITS, self.k, self.hot)
+        return classes.select("cls", "words").mapInArrow(pack, "owner int, lead int, words binary, low long, ids binary")
+
     def _write(self, df: DataFrame, name: str) -> None:
         self._save(df.repartitionById(self.buckets, F.col("bucket")), name)
 
     def _save(self, df: DataFrame, name: str) -> None:
-        small_groups = {"parquet.block.size": str(1 << 20), "parquet.block.size.row.check.min": "1"} if name == "keys" else {}
-        df.write.mode("append").options(compression="zstd", **small_groups).partitionBy("bucket").parquet(f"{self.path}/{name}")
+        df.write.mode("append").options(compression="zstd").partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     def take_in(self, batch: DataFrame) -> DataFrame:
         """Refused rows of ``batch`` as ``seen_ord, new_ord, how``; all others are accepted and appended."""
@@ -382,9 +296,8 @@ class History:
     def _alike(self, units: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Per unit the smallest alike ord of the history, and alike pairs of units within the batch."""
         classes = stage(self._classes(units), "batch-classes")
-        keys = classes.select("cls", "words").mapInArrow(_keyed(self.buckets, self.hot), "bucket int, low long, keys binary, ids binary")
-        probed = keys.repartitionById(self.buckets, F.col("bucket")).mapInArrow(_probed(f"{self.path}/keys"), "probe long, other long, old boolean")
-        candidates = stage(probed.distinct(), "batch-candidates")
+        met = self._entries(classes).repartitionById(self.buckets, F.col("owner")).mapInArrow(_met(f"{self.path}/entries", self.k), CANDIDATES)
+        candidates = stage(met.distinct(), "batch-candidates")
         members = units.where("words is not null").join(classes.select("h1", "h2", "cls"), ["h1", "h2"]).select("cls", "unit", "duration")
         asked = candidates.where("old").join(members, F.col("probe") == F.col("cls")).join(
             classes.select(F.col("cls").alias("probe"), "words"), "probe"

@@ -90,21 +90,27 @@ def _ragged(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[
     return values[np.arange(ends[-1]) + np.repeat(offsets[rows] - ends[:-1], sizes)], ends
 
 
-def checked_cell(alike, least: float, likely: Likely | None):
-    """One cell's rows (g, i, j, salt, id, lost, words) to its alike pairs of which a side lost the hot word."""
+def checked_cell(alike, least: float, likely: Likely | None, odd_only: bool = False):
+    """One cell's rows (g, i, j, salt, id, lost, words) to its alike pairs of which a side lost the hot word, and one id is odd if asked."""
 
     def run(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
         ids, lost, salt = (cell.column(c).to_numpy() for c in ("id", "lost", "salt"))
         values, offsets = flat(cell.column("words").chunk(0))
         i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        odd = ids % 2 == 1
+        order = np.argsort(~odd, kind="stable")  # odd ids share tiles, so that tiles without any are skipped
         out = [np.zeros((0, 2), np.int64)]
-        rights = list(_by_length(values, offsets, np.flatnonzero(salt == j)))
-        for left, a in _by_length(values, offsets, np.flatnonzero(salt == i)):
+        rights = list(_by_length(values, offsets, order[salt[order] == j]))
+        for left, a in _by_length(values, offsets, order[salt[order] == i]):
             for right, b in rights:
                 open_ = lost[left][:, None] | lost[right]
                 open_ &= ids[left][:, None] < ids[right] if i == j else ids[left][:, None] != ids[right]
-                if likely is not None and open_.any():
+                if odd_only:
+                    open_ &= odd[left][:, None] | odd[right]
+                if not open_.any():
+                    continue
+                if likely is not None:
                     open_ &= likely(a, b)
                 x, y = np.nonzero(open_)
                 if len(x):
@@ -118,18 +124,26 @@ def checked_cell(alike, least: float, likely: Likely | None):
     return run
 
 
-def hot_pairs(items: DataFrame, hot: np.ndarray, *, most: int, alike, least: float, likely: Likely | None = None) -> DataFrame | None:
-    """``a, b`` (``a < b``): alike pairs with words within ``most`` bits of which one is hot and was left out of the index.
+def near_rows(items: DataFrame, hot: np.ndarray, most: int) -> DataFrame:
+    """``g, id, lost, words`` of the items with a word within ``most`` bits of hot word ``g``."""
+    words = items.schema["words"].dataType.simpleString()
+    return items.select("id", "words").mapInArrow(near_hot(hot, most), f"g int, id long, lost boolean, words {words}")
 
-    None where no word is hot. ``alike`` takes two ragged arrays and ``least`` to a truth value per pair.
-    """
-    if not len(hot):
-        return None
-    near = items.select("id", "words").mapInArrow(near_hot(hot, most), f"g int, id long, lost boolean, words {items.schema['words'].dataType.simpleString()}")
+
+def pairs_of_near(near: DataFrame, *, alike, least: float, likely: Likely | None = None, odd_only: bool = False) -> DataFrame:
+    """``a, b`` (``a < b``): alike pairs among the rows near to one hot word of which a side lost it."""
     sizes = near.groupBy("g").agg(F.count("*").alias("n"), F.count_if("lost").alias("gone")).where("gone > 0")
     salts = F.greatest(F.ceil(F.col("n") / CELL_ITEMS), F.least(F.lit(LEAST_SALTS), F.ceil(F.col("n") / SMALL_SALT))).cast("int")
     placed = near.join(F.broadcast(sizes.select("g", salts.alias("salts"))), "g").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
         "g", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "id", "lost", "words"
     )
-    return cells.groupBy("g", "i", "j").applyInArrow(checked_cell(alike, least, likely), "a long, b long").distinct()
+    return cells.groupBy("g", "i", "j").applyInArrow(checked_cell(alike, least, likely, odd_only), "a long, b long").distinct()
+
+
+def hot_pairs(items: DataFrame, hot: np.ndarray, *, most: int, alike, least: float, likely: Likely | None = None) -> DataFrame | None:
+    """``a, b`` (``a < b``): alike pairs with words within ``most`` bits of which one is hot and was left out of the index.
+
+    None where no word is hot. ``alike`` takes two ragged arrays and ``least`` to a truth value per pair.
+    """
+    return pairs_of_near(near_rows(items, hot, most), alike=alike, least=least, likely=likely) if len(hot) else None

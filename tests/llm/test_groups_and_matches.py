@@ -228,6 +228,28 @@ def sequential(old, new):
     return out
 
 
+def refused(make_files, old, new):
+    new = [dict(r, ord=1000 + i) for i, r in enumerate(new)]
+    got = [tuple(r) for r in refused_rows(make_files(old), make_files(new)).collect()]
+    want = sequential(old, new)
+    assert len(got) == len(set(got)) and set(got) == want
+    return want
+
+
+@pytest.mark.parametrize("frames", [1, 2, 15])
+def test_refused_rows_at_the_edge(spark, make_files, frames):
+    rng = random.Random(frames)
+    words = [[rng.getrandbits(64) for _ in range(frames)] for _ in range(40)]
+    media = [[{"fingerprint": [signed(flipped(rng, w, bits)) for w in f], "fingerprint_version": 2, "duration": 500.0} for f in words] for bits in (0, 9)]
+    assert len(refused(make_files, *media)) == 40
+
+
+def test_refused_rows_with_the_noise_of_pairs(spark, make_files):
+    rows = [r for r in make_media(random.Random(31)) if "fingerprint" in r]
+    random.Random(1).shuffle(rows)
+    refused(make_files, rows[:100], rows[100:])
+
+
 @pytest.mark.parametrize("step", [200_000, 40])
 def test_refused_rows_equal_one_by_one(spark, make_files, step):
     rng = random.Random(21)
