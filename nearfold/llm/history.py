@@ -10,7 +10,8 @@ further files of their buckets.
 Alike fingerprints of any length share a frame within 9 bits, and frames so close share a
 combination of tokens, so no alike pair is missed. A prefix token has few values, so a batch of some
 size meets every bucket of the entries: it reads the index whole, though it never shuffles it. Words
-that very many fingerprints hold have no entries in fingerprints with enough others.
+that very many fingerprints hold have no entries in fingerprints with enough others; the rows near
+such a word are kept in a table of their own, and a batch's are compared with them (see hotpairs.py).
 
 Within a batch rows count in the order of ord: a row is refused if an accepted row before it repeats
 it. Rows with the same hash, fingerprint and duration are one unit; units are decided in one task,
@@ -39,6 +40,7 @@ from ..functions.similarity import DURATION_DELTA, DURATION_RATIO, alike_sequenc
 from ..runtime import parts_for, ship_package, slots, stage, staged_path, unstage
 from .combinations import close_words, combination_size, hot_words, packed, unpacked_ids
 from .fingerprints import VIDEO_BITS, VIDEO_LEAST, usable, with_class_key
+from .hotpairs import likely_sequences, near_rows, pairs_of_near
 
 #: Entries (a frame under one prefix token) that one bucket of the history should hold, about: 12 bytes each.
 ENTRIES_PER_BUCKET = 1 << 21
@@ -99,6 +101,11 @@ def _sorted_out(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield _candidates(np.maximum(probe, other)[~old], np.minimum(probe, other)[~old], False)
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from _sorted_out(*(np.asarray(batch.column(i)) for i in (0, 1)))
+
+
 def _candidates(probe: np.ndarray, other: np.ndarray, old: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(probe), pa.array(other), pa.array(np.full(len(probe), old))], ["probe", "other", "old"])
 
@@ -234,6 +241,8 @@ class History:
         classes = classes or self._classes(units)
         entries = self._entries(classes).repartitionById(self.buckets, F.col("owner"))
         self._save(entries.withColumnRenamed("owner", "bucket"), "entries")
+        if len(self.hot):
+            near_rows(classes.select(F.col("cls").alias("id"), "words"), self.hot, VIDEO_BITS).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/near")
         members = units.where("words is not null").groupBy("h1", "h2", "duration").agg(F.min("unit").alias("ord"))
         signatures = members.join(classes, ["h1", "h2"]).select(self._bucket("cls"), "cls", "ord", "duration", "words")
         self._write(signatures, "signatures")
@@ -297,6 +306,11 @@ class History:
         """Per unit the smallest alike ord of the history, and alike pairs of units within the batch."""
         classes = stage(self._classes(units), "batch-classes")
         met = self._entries(classes).repartitionById(self.buckets, F.col("owner")).mapInArrow(_met(f"{self.path}/entries", self.k), CANDIDATES)
+        if len(self.hot):
+            mine = near_rows(classes.select(F.col("cls").alias("id"), "words"), self.hot, VIDEO_BITS).withColumn("id", F.col("id") * 2 + 1)
+            known = self.spark.read.schema(mine.schema).parquet(f"{self.path}/near").withColumn("id", F.col("id") * 2)
+            both = pairs_of_near(stage(mine.union(known), "batch-near"), alike=alike_sequences, least=VIDEO_LEAST, likely=likely_sequences(VIDEO_LEAST), odd_only=True)
+            met = met.union(both.mapInArrow(_split, CANDIDATES))
         candidates = stage(met.distinct(), "batch-candidates")
         members = units.where("words is not null").join(classes.select("h1", "h2", "cls"), ["h1", "h2"]).select("cls", "unit", "duration")
         asked = candidates.where("old").join(members, F.col("probe") == F.col("cls")).join(

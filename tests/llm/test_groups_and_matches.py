@@ -236,6 +236,17 @@ def refused(make_files, old, new):
     return want
 
 
+def test_refused_rows_that_share_only_hot_words(spark, make_files, monkeypatch):
+    from nearfold.llm import combinations
+
+    monkeypatch.setattr(combinations, "HOT_ITEMS", 20)
+    rng = random.Random(6)
+    shared = [rng.getrandbits(64) for _ in range(7)]
+    other = [[rng.getrandbits(64) for _ in range(8)] for _ in range(40)]
+    media = [[{"fingerprint": [signed(w) for w in shared + [flipped(rng, w, bits) for w in words]], "fingerprint_version": 2, "duration": 500.0} for words in other] for bits in (0, 12)]
+    assert len(refused(make_files, *media)) == 40
+
+
 @pytest.mark.parametrize("frames", [1, 2, 15])
 def test_refused_rows_at_the_edge(spark, make_files, frames):
     rng = random.Random(frames)
