@@ -101,7 +101,7 @@ class Engine:
 
         names = self._stage("names", titled)
         confirmed = members.select("path").union(matches.select("left")).union(matches.select("right")).distinct()
-        hints = naming.exact_hints(names, confirmed)
+        hints = naming.all_hints(names, confirmed, options.name_threshold)
         found = self._stage("clustering", lambda: clusters.assignments(files, members, matches, names))
         return Results(files, groups, video, image, audio, names, hints, found, clusters.folder_pairs(found, options.folder_threshold))
 

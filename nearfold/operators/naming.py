@@ -129,8 +129,8 @@ def fuzzy_hints(queries: DataFrame, keys: DataFrame, threshold: float = 92.0) ->
     """``left_title, right_title, year, episode, similarity`` of alike but unequal titles of one year and episode.
 
     Texts of which one's words contain the other's score 100 and are left out, as equal ones are. A
-    ratio of T % bounds how far lengths may differ, unless words are shared; titles that share no word
-    are compared only within that bound.
+    ratio of T % bounds how far the lengths of the distinct words may differ, unless words are shared;
+    titles that share no word are compared only within that bound.
     """
     a, b = (x.select("title", "year", "episode").distinct() for x in (queries, keys))
     a, b = a.toDF("left_title", "year_a", "episode_a"), b.toDF("right_title", "year_b", "episode_b")
@@ -141,3 +141,34 @@ def fuzzy_hints(queries: DataFrame, keys: DataFrame, threshold: float = 92.0) ->
     pairs = a.join(b, same & (share | close))
     scored = pairs.select("left_title", "right_title", F.col("year_a").alias("year"), F.col("episode_a").alias("episode"), token_set_ratio("left_title", "right_title").alias("similarity"))
     return scored.where((F.col("similarity") >= threshold) & (F.col("similarity") < 100))
+
+
+def all_hints(titled: DataFrame, confirmed: DataFrame, threshold: float = 92.0) -> DataFrame:
+    """Hints from equal keys and from alike ones: the columns of ``exact_hints`` and the sorted ``paths`` of the unconfirmed files.
+
+    Alike keys are compared whether or not files of them are confirmed; a hint needs two unconfirmed
+    files of the two keys together. The key seen first, by ord, is named first.
+    """
+    keyed = name_keys(titled).join(confirmed.select("path").distinct().withColumn("seen", F.lit(True)), "path", "left")
+    free = F.when(F.col("seen").isNull(), F.col("path"))
+    keys = stage(keyed.groupBy("title", "year", "episode").agg(
+        F.min("ord").alias("first"), F.sort_array(F.collect_list(free)).alias("paths"), F.min_by("core_title", F.when(free.isNotNull(), F.col("ord"))).alias("shown")
+    ), "name-keys")
+    suffix = F.concat_ws("|", _text("year"), _text("episode"))
+    equal = keys.where(F.size("paths") > 1).select(
+        F.concat(F.lit("name:"), F.col("title"), F.lit("|"), suffix).alias("key"), F.lit(100.0).alias("similarity"), F.col("shown").alias("title"), "year", "episode",
+        F.size("paths").cast("long").alias("files"), "paths",
+    )
+    near = fuzzy_hints(keys, keys, threshold).where("left_title < right_title")
+    sides = [keys.select(F.col("title").alias(f"{s}_title"), F.col("year").alias(f"{s}_year"), F.col("episode").alias(f"{s}_episode"), F.col("first").alias(f"{s}_first"), F.col("paths").alias(f"{s}_paths")) for s in ("left", "right")]
+    for name, side in zip(("left", "right"), sides):
+        same = (near[f"{name}_title"] == side[f"{name}_title"]) & near["year"].eqNullSafe(side[f"{name}_year"]) & near["episode"].eqNullSafe(side[f"{name}_episode"])
+        near = near.join(side, same).drop(side[f"{name}_title"]).drop(f"{name}_year", f"{name}_episode")
+    ahead = F.col("left_first") < F.col("right_first")
+    one, two = (F.when(c, F.col("left_title")).otherwise(F.col("right_title")) for c in (ahead, ~ahead))
+    paths = F.sort_array(F.concat("left_paths", "right_paths"))
+    alike = near.where(F.size("left_paths") + F.size("right_paths") > 1).select(
+        F.concat(F.lit("fuzzy:"), one, F.lit("|"), two, F.lit("|"), suffix).alias("key"), F.round("similarity", 2).alias("similarity"),
+        F.concat(one, F.lit(" / "), two).alias("title"), "year", "episode", F.size(paths).cast("long").alias("files"), paths.alias("paths"),
+    )
+    return equal.union(alike)

@@ -260,7 +260,8 @@ def name_hints_exact(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def name_hints_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "name_cache", "name_id", "core_title", "year", "episode")
-    return naming.fuzzy_hints(naming.name_keys(names.where("name_id % 100 = 0")), naming.name_keys(names))
+    keys = naming.name_keys(names)
+    return naming.fuzzy_hints(keys, keys).where("left_title < right_title")
 
 
 # Clusters and folders

@@ -31,6 +31,16 @@ def test_engine_run(spark, make_files):
         Engine(spark, cancelled=lambda: True).run(make_files(rows))
 
 
+def test_engine_run_gives_fuzzy_hints(spark, make_files):
+    names = ["starship voyages", "starship voyagez", "lonely planet", "lonely planes"]
+    rows = [{"path": f"/a/{n}.mkv", "raw_name": n, "full_hash": "h" if n.startswith("lonely") else None} for n in names]
+    found = Engine(spark).run(make_files(rows), options.Options()).hints.collect()
+    assert [(h.key, h.similarity, h.title, h.paths) for h in found] == [
+        ("fuzzy:starship voyages|starship voyagez|None|None", 93.75, "starship voyages / starship voyagez", ["/a/starship voyages.mkv", "/a/starship voyagez.mkv"])
+    ]
+    assert Engine(spark).run(make_files(rows), options.Options(name_threshold=95)).hints.count() == 0
+
+
 def test_options(tmp_path):
     assert options.Options().video_threshold == 85.0
     file = tmp_path / "c.json"
