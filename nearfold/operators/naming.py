@@ -135,7 +135,7 @@ def fuzzy_hints(queries: DataFrame, keys: DataFrame, threshold: float = 92.0) ->
     a, b = (x.select("title", "year", "episode").distinct() for x in (queries, keys))
     a, b = a.toDF("left_title", "year_a", "episode_a"), b.toDF("right_title", "year_b", "episode_b")
     same = F.col("year_a").eqNullSafe(F.col("year_b")) & F.col("episode_a").eqNullSafe(F.col("episode_b")) & (F.col("left_title") != F.col("right_title"))
-    la, lb = F.length("left_title"), F.length("right_title")
+    la, lb = (F.length(F.array_join(F.array_distinct(F.array_remove(F.split(t, r"\s+"), "")), " ")) for t in ("left_title", "right_title"))
     share = F.arrays_overlap(F.split("left_title", r"\s+"), F.split("right_title", r"\s+"))
     close = F.least(la, lb) * 2.0 / (la + lb) * 100.0 >= threshold
     pairs = a.join(b, same & (share | close))

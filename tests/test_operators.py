@@ -203,3 +203,8 @@ def test_review(spark):
     counts = {r.category: r.n for r in review.category_counts(items).collect()}
     assert counts == {"exact": 2, "video": 1, "image": 0, "audio": 0, "folder": 0, "name": 0, "all": 3}
     assert review.filtered(items, "video").count() == 1 and {r.title for r in review.numbered(items, "paths").collect()} == {"Exact 1", "Exact 2", "Video 1"}
+
+
+def test_fuzzy_hints_of_titles_with_repeated_words(spark):
+    keys = spark.createDataFrame([("abcdefghijklm abcdefghijklm", None, None), ("abcdefghijklmn", None, None)], "title string, year int, episode int")
+    assert [round(p.similarity) for p in naming.fuzzy_hints(keys, keys).where("left_title < right_title").collect()] == [96]
