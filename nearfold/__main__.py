@@ -108,7 +108,12 @@ def main(arguments: list[str] | None = None) -> int:
             counts_by(stored, "fingerprint_version").show(truncate=False)
         return 0
     try:
-        results = Engine(spark, lambda event: LOG.info("%s %s %s", event.stage, event.kind, event.message)).run(scanned(spark, options), options)
+        decoder = FfmpegDecoder(options.ffmpeg, options.ffprobe)
+        engine = Engine(
+            spark, lambda event: LOG.log(logging.WARNING if event.kind == "warning" else logging.INFO, "%s %s %s", event.stage, event.kind, event.message),
+            decoder=decoder if decoder.available() else None,
+        )
+        results = engine.run(scanned(spark, options), options)
     except (Cancelled, KeyboardInterrupt):
         return 130
     json_report(results).write.mode("overwrite").partitionBy("section").text(options.json_output)

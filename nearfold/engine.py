@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .operators import clusters, exact, matching, naming
 from .options import Options
 from .runtime import ship_package, stage
+from .sources.media import Decoder, refingerprinter
 
 STAGES = ("scanning", "exact", "video", "images", "audio", "names", "clustering")
 
@@ -47,10 +48,13 @@ class Engine:
     """``Engine(spark).run(files, options)``: exact groups, alike media, name hints, clusters and folder overlap.
 
     ``files`` has the columns of the files table. Fingerprints come with it, or from ``sources.media``.
+    With a ``decoder`` video pairs just below the threshold get a second pass by realignment.
     """
 
-    def __init__(self, spark: SparkSession, on_event: Callable[[Event], None] | None = None, cancelled: Callable[[], bool] | None = None):
-        self.spark, self.on_event, self.cancelled = spark, on_event or (lambda event: None), cancelled or (lambda: False)
+    def __init__(
+        self, spark: SparkSession, on_event: Callable[[Event], None] | None = None, cancelled: Callable[[], bool] | None = None, decoder: Decoder | None = None
+    ):
+        self.spark, self.on_event, self.cancelled, self.decoder = spark, on_event or (lambda event: None), cancelled or (lambda: False), decoder
 
     def _stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if self.cancelled():
@@ -85,7 +89,11 @@ class Engine:
 
         def all_videos() -> DataFrame:
             rows = matching.videos(files)
-            return matching.video_matches(rows, rows, options.video_threshold).where("ord_a < ord_b")
+            if self.decoder is None:
+                self.on_event(Event("warning", "video", "no decoder: pairs below the threshold are not realigned"))
+                return matching.video_matches(rows, rows, options.video_threshold).where("ord_a < ord_b")
+            pairs = stage(matching.video_matches(rows, rows, options.video_threshold, recheck=True).where("ord_a < ord_b"), "video-recheck")
+            return matching.realigned(pairs, files, refingerprinter(self.decoder), options.video_threshold)
 
         video = self._stage("video", lambda: named(all_videos(), "video")) if not options.skip_video else named(self._skipped("video", pair), "video")
         image = self._stage("images", lambda: named(matching.image_matches(files, options.image_threshold), "image")) if not options.skip_images else named(self._skipped("images", pair), "image")

@@ -85,6 +85,21 @@ class FakeDecoder:
         return [7, 8]
 
 
+class CutDecoder(FakeDecoder):
+    def frames(self, path, times):
+        return [np.random.default_rng(int(t)).integers(0, 255, (32, 32)) for t in times]
+
+
+def test_engine_run_realigns_cut_videos(spark, make_files):
+    longer, shorter = (media.video_words(CutDecoder(), "/v.mkv", span, start) for span, start in ((1000.0, 0.0), (900.0, 100.0)))
+    mixed = longer[:10] + shorter[10:]  # alike in some frames, so that the plain score is worth a second look
+    rows = [{"fingerprint": f, "fingerprint_version": 2, "duration": d, "raw_name": n} for f, d, n in ((mixed, 1000.0, "alpha"), (shorter, 900.0, "beta"))]
+    events = []
+    found = Engine(spark, events.append, decoder=CutDecoder()).run(make_files(rows)).video.collect()
+    assert [r.similarity for r in found] == [100.0] and not [e for e in events if e.kind == "warning"]
+    assert Engine(spark, events.append).run(make_files(rows)).video.count() == 0 and [e.stage for e in events if e.kind == "warning"] == ["video"]
+
+
 def test_fingerprints(spark):
     files = spark.createDataFrame([("/v.mkv",), ("/i.png",), ("/a.mp3",), ("/t.txt",), ("/broken.mkv",)], "path string")
     got = {r.path: r for r in media.fingerprints(files, FakeDecoder(), parts=2).collect()}
