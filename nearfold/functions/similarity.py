@@ -46,6 +46,14 @@ def image_similarity(left: Column, right: Column) -> Column:
     return F.coalesce(F.when((F.size(left) == 4) & (F.size(right) == 4), F.greatest(F.lit(0.0), score)), F.lit(0.0))
 
 
+def image_scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The same score for pairs of rows ``[phash, r, g, b]`` of two matrices of unsigned words."""
+    distance = np.bitwise_count(left[:, 0] ^ right[:, 0])
+    shade = np.abs(left[:, 1:].view(np.int64) - right[:, 1:].view(np.int64)).sum(1)
+    score = STRUCTURE * (100.0 * (1.0 - distance / 64.0)) + COLOUR * (100.0 * (1.0 - shade / 765.0))
+    return np.maximum(0.0, score)
+
+
 def durations_compatible(left: Column, right: Column, ratio: float = DURATION_RATIO, delta: float = DURATION_DELTA) -> Column:
     """Whether two video durations may belong together; false for null, NaN and durations of 0 or less."""
     low, high = F.least(left, right), F.greatest(left, right)
