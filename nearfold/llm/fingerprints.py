@@ -6,9 +6,8 @@ never pair up), so a large group of byte-identical copies costs no pairs.
 
 Defined results: null and empty fingerprints, and those that hold a null word, have no similarity;
 null, NaN and non-positive durations never agree; repeated rows are rows of their own; scores are
-compared unrounded. Every alike pair is found for certain, whatever the size of the table: alike
-videos share at least one frame within 9 bits, alike audio tracks a word within 1, and the joins
-miss no words within these.
+compared unrounded. Every alike pair is found for certain, whatever the size of the table and
+however frequent its words are (see ``alikeness``).
 """
 
 from __future__ import annotations
@@ -20,21 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import (
-    alike_sequences,
-    audio_scores,
-    durations_compatible,
-    flat,
-    image_similarity,
-)
-from ..runtime import stage
-from .combinations import combination_pairs, hot_words
+from ..functions.similarity import durations_compatible, flat
+from ..runtime import stage, unstage
+from .alikeness import AUDIO, IMAGE, VIDEO, Kind
+from .combinations import combination_pairs, frequent_words
 from .expansion import member_pairs
-from .hotpairs import hot_pairs, likely_sequences
+from .hotpairs import combined_pairs, touched_items
 
-VIDEO_LEAST, IMAGE_LEAST, AUDIO_LEAST = 85.0, 90.0, 94.0
-#: Bits a video frame, an image and an audio word of an alike pair may differ in at the thresholds above.
-VIDEO_BITS, IMAGE_BITS, AUDIO_BITS = 9, 8, 1
+KINDS = {"video": VIDEO, "image": IMAGE, "audio": AUDIO}
 AUDIO_SECONDS = 3.0
 
 
@@ -62,48 +54,43 @@ def with_class_key(rows: DataFrame, words: str) -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64(words), "h2": F.xxhash64(F.lit(1), F.reverse(words))})
 
 
-def verified(alike, least: float):
-    """Keeps the pairs ``a, b`` whose words (columns 2 and 3) score at least ``least``."""
+def verified(kind: Kind):
+    """Keeps the pairs ``a, b`` whose words (columns 2 and 3) are alike."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = alike(*flat(batch.column(2)), *flat(batch.column(3)), least)
+            good = kind.alike(*flat(batch.column(2)), *flat(batch.column(3)), kind.least)
             yield batch.select([0, 1]).filter(pa.array(good))
 
     return check
 
 
-def _alike_tracks(lv: np.ndarray, lo: np.ndarray, rv: np.ndarray, ro: np.ndarray, least: float) -> np.ndarray:
-    return audio_scores(lv, lo, rv, ro) >= least
-
-
-def _scored_pairs(pairs: DataFrame, classes: DataFrame, medium: str) -> DataFrame:
+def _scored_pairs(pairs: DataFrame, classes: DataFrame, kind: Kind) -> DataFrame:
     words = classes.select(F.col("id"), F.col("words"))
     both = pairs.join(words.toDF("a", "words_a"), "a").join(words.toDF("b", "words_b"), "b")
-    both = both.select("a", "b", "words_a", "words_b")
-    if medium == "image":
-        return both.where(image_similarity(F.col("words_a"), F.col("words_b")) >= IMAGE_LEAST).select("a", "b")
-    alike, least = (alike_sequences, VIDEO_LEAST) if medium == "video" else (_alike_tracks, AUDIO_LEAST)
-    return both.mapInArrow(verified(alike, least), "a long, b long")
-
+    return both.select("a", "b", "words_a", "words_b").mapInArrow(verified(kind), "a long, b long")
 
-def _hot(classes: DataFrame) -> np.ndarray:
-    return hot_words(classes, classes.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0)
 
-
-def _hot_pairs(classes: DataFrame, medium: str, hot: np.ndarray) -> DataFrame | None:
-    """Alike pairs that ``_candidates`` may lack because a hot word is left out of its index."""
-    if medium == "video":
-        return hot_pairs(classes, hot, most=VIDEO_BITS, alike=alike_sequences, least=VIDEO_LEAST, likely=likely_sequences(VIDEO_LEAST))
-    return hot_pairs(classes, hot, most=AUDIO_BITS, alike=_alike_tracks, least=AUDIO_LEAST)
+def alike_classes(classes: DataFrame, kind: Kind) -> DataFrame:
+    """``a, b`` (``a < b``), distinct: all alike pairs of ``classes`` (id, words; a staged table)."""
+    indexed = F.slice("words", 1, 1) if kind is IMAGE else F.col("words")
+    items = classes.select("id", "words", indexed.alias("indexed"))
+    lengths = _lengths(items)
+    hot = frequent_words(items.select(F.col("indexed").alias("words")), sum(n * c for n, c in lengths.items()))
+    looked_up = items.select("id", F.col("indexed").alias("words"))
+    pairs = combination_pairs(looked_up, kind.indexes(lengths, hot, False))
+    if not len(hot):
+        return _scored_pairs(pairs, classes, kind)
+    touched = stage(touched_items(items, hot, kind.reach, kind.bits), f"{kind.name}-touched")
+    lengths = _lengths(touched)
+    if any(kind.lost(n) for n in lengths):
+        pairs = pairs.union(combination_pairs(touched.select("id", F.col("indexed").alias("words")), kind.indexes(lengths, hot, True))).distinct()
+    more = combined_pairs(touched, lost=kind.lost, alike=kind.alike, least=kind.least, likely=kind.likely)
+    return _scored_pairs(pairs, classes, kind).union(more).distinct()
 
 
-def _candidates(classes: DataFrame, medium: str, hot: np.ndarray | None) -> DataFrame:
-    if medium == "image":
-        return combination_pairs(classes.select("id", F.slice("words", 1, 1).alias("words")), bits=64, tolerance=IMAGE_BITS, most=IMAGE_BITS)
-    if medium == "audio":
-        return combination_pairs(classes, bits=32, tolerance=AUDIO_BITS, most=AUDIO_BITS, hot=hot)
-    return combination_pairs(classes, bits=64, tolerance=VIDEO_BITS, most=VIDEO_BITS, hot=hot)
+def _lengths(items: DataFrame) -> dict[int, int]:
+    return {r.n: r.c for r in items.groupBy(F.size("indexed").alias("n")).agg(F.count("*").alias("c")).collect()}
 
 
 def _rows_of(files: DataFrame, medium: str) -> DataFrame:
@@ -123,10 +110,7 @@ def alike_pairs(files: DataFrame, medium: str) -> DataFrame:
     """``ord_a, ord_b`` of the rows of ``files`` alike in ``medium`` ('video', 'image' or 'audio')."""
     rows = with_class_key(_rows_of(files, medium), "words")
     classes = stage(classes_of(rows, "words"), f"{medium}-classes")
-    hot = _hot(classes) if medium != "image" else None  # the one word of an image is never left out
-    pairs = _scored_pairs(_candidates(classes, medium, hot), classes, medium)
-    if medium != "image" and (more := _hot_pairs(classes, medium, hot)) is not None:
-        pairs = pairs.union(more).distinct()
+    pairs = alike_classes(classes, KINDS[medium])
     inner = classes.where("mixed").select(F.col("id").alias("a"), F.col("id").alias("b"))
     pairs = stage(pairs.union(inner), f"{medium}-pairs")
     used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()

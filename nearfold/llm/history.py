@@ -1,30 +1,35 @@
 """New batches against everything accepted before, without working through that history again.
 
-The history is tables in the shared folder, each cut into buckets by a hash: full hashes with the
-smallest accepted ord, entries of frames under the tokens of their prefix (see combinations.py), and
-signatures (the fingerprints with their durations). A batch is sent to the buckets its own keys fall
-into; the task of a bucket opens that bucket's files only. Alike candidates are verified against the
-signatures, the rows to refuse come out, and the entries of the accepted rows are appended as
-further files of their buckets.
-
-Alike fingerprints of any length share a frame within 9 bits, and frames so close share a
-combination of tokens, so no alike pair is missed. A prefix token has few values, so a batch of some
-size meets every bucket of the entries: it reads the index whole, though it never shuffles it. Words
-that very many fingerprints hold have no entries in fingerprints with enough others; the rows near
-such a word are kept in a table of their own, and a batch's are compared with them (see hotpairs.py).
+The history is a store below the shared folder. Every batch that is taken in adds tables of its own:
+full hashes in buckets by their hash, and signatures (fingerprints with their duration, smallest ord
+and labels) in buckets by duration band and hash. Later batches open the files of the buckets that
+their own keys fall into: the bucket of a hash, the buckets of the duration bands a video may agree
+with. Nothing of the history is shuffled, joined or read through Spark again. The task of a bucket
+indexes it against the batch by combinations of tokens (see combinations.py), which misses no alike
+pair, and verifies what meets there and then; only (unit, smallest alike ord) leaves it.
+
+A batch becomes part of the history by its manifest, written last and moved into place: a failed
+batch leaves no trace, and taking it in again writes over what it left. Manifests list the live
+parts; ``History.open`` reads the newest. After MOST_PARTS batches parts are merged into one.
 
 Within a batch rows count in the order of ord: a row is refused if an accepted row before it repeats
-it. Rows with the same hash, fingerprint and duration are one unit; units are decided in one task,
-so more than ``STEP_ROWS`` rows are taken in several steps.
+it. Rows with the same hash, fingerprint and duration are one unit. Units that repeat nothing in the
+history are decided in one task, at most STEP_ROWS rows of a batch at a time, in chunks that grow: a
+chunk meets what was accepted before it and itself, so a large group of alike newcomers is never
+compared pair by pair.
 
 Defined results: rows with neither a hash nor a usable fingerprint are accepted; null, NaN and
 non-positive durations and fingerprints of another version or with null words are not usable; an
-empty history or batch is fine; of rows with the same ord one is taken.
+empty history or batch is fine; of rows with the same ord one is taken; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
+import math
 import posixpath
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,297 +41,437 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.similarity import DURATION_DELTA, DURATION_RATIO, alike_sequences, flat
-from ..runtime import parts_for, ship_package, slots, stage, staged_path, unstage
-from .combinations import close_words, combination_size, hot_words, packed, unpacked_ids
-from .fingerprints import VIDEO_BITS, VIDEO_LEAST, usable, with_class_key
-from .hotpairs import likely_sequences, near_rows, pairs_of_near
+from ..functions.similarity import DURATION_DELTA, DURATION_RATIO, flat
+from ..runtime import parts_for, ship_package, stage, staged_path, unstage
+from .alikeness import VIDEO
+from .combinations import close_items, family, frequent_words
+from .fingerprints import usable, with_class_key
+from .hotpairs import alike_rows, combined, near_words
 
-#: Entries (a frame under one prefix token) that one bucket of the history should hold, about: 12 bytes each.
-ENTRIES_PER_BUCKET = 1 << 21
-#: Rows of a batch that are decided in one step, at most.
-STEP_ROWS = 200_000
+#: Words of signatures, and hashes, that one bucket should hold, about.
+WORDS_PER_BUCKET, HASHES_PER_BUCKET = 1 << 20, 1 << 21
+#: Rows of a batch that are decided in one step, and units of the first chunk of a step.
+STEP_ROWS, FIRST_CHUNK = 200_000, 128
+#: Live parts of a history before they are merged.
+MOST_PARTS = 16
+#: Durations of one band differ by this factor at most: compatible ones lie in the same or the next band.
+BAND = math.log(DURATION_RATIO * (1 + 1e-9))
 
+SIGNATURE = "h1 long, h2 long, ord long, duration double, words array<long>, labels array<long>"
 
-def _files(path: str, bucket: int) -> Iterator[pq.ParquetFile]:
-    """The files of one bucket of a history table."""
-    where = "file:///" + path[5:].lstrip("/") if path.startswith("file:") else path
-    system, root = fs.FileSystem.from_uri(where)
-    folder = fs.FileSelector(posixpath.join(root, f"bucket={bucket}"), allow_not_found=True)
-    for info in sorted(system.get_file_info(folder), key=lambda x: x.path):
-        if info.path.endswith(".parquet"):
-            yield pq.ParquetFile(system.open_input_file(info.path))
 
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri("file:///" + path[5:].lstrip("/") if path.startswith("file:") else path)
 
-def _opened(path: str, bucket: int, columns: list[str]) -> Iterator[pa.Table]:
-    for file in _files(path, bucket):
-        yield file.read(columns=columns)
 
+def _opened(path: str, columns: list[str]) -> pa.Table | None:
+    """The Parquet files of one folder."""
+    system, root = _system(path)
+    found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    files = sorted(i.path for i in found if i.path.endswith(".parquet"))
+    tables = [pq.ParquetFile(system.open_input_file(f)).read(columns=columns) for f in files]
+    return pa.concat_tables(tables).combine_chunks() if tables else None
 
-def _met(path: str, k: int):
-    """The batch's entries of one bucket to (probe, other, old): candidates in the history and in the batch itself."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list[pa.RecordBatch | pa.Table]] = defaultdict(list)
-        for batch in batches:
-            for bucket in set(batch.column("owner").to_pylist()):
-                got[bucket].append(batch.filter(pc.equal(batch.column("owner"), bucket)))
-        for bucket, parts in got.items():
-            words: dict[int, list[np.ndarray]] = defaultdict(list)
-            ids: dict[int, list[np.ndarray]] = defaultdict(list)
-            fresh = set()
-            for old, part in [(False, p) for p in parts] + [(True, t) for t in _opened(path, bucket, ["lead", "words", "low", "ids"])]:
-                for lead, w, low, i in zip(*(part.column(c).to_pylist() for c in ("lead", "words", "low", "ids"))):
-                    if not old:
-                        fresh.add(lead)
-                    elif lead not in fresh:
-                        continue
-                    words[lead].append(np.frombuffer(w, np.uint64))
-                    ids[lead].append(unpacked_ids(low, i, len(w) // 8) * 2 + (not old))
-            for lead in sorted(words):
-                w, i = np.concatenate(words.pop(lead)), np.concatenate(ids.pop(lead))
-                for pairs in close_words(w, i, lead, 64, VIDEO_BITS, k, VIDEO_BITS, i % 2 == 1):
-                    pairs = np.unique(pairs, axis=0)
-                    yield from _sorted_out(pairs[:, 0], pairs[:, 1])
-
-    return run
 
+def _compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    return (low > 0) & (high / np.where(low > 0, low, 1) <= DURATION_RATIO) & (high - low <= DURATION_DELTA)
 
-def _sorted_out(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs of ids times two, odd for the batch, to candidates: the batch's id first, the later one within the batch."""
-    probe, other = np.where(a % 2 == 1, a, b), np.where(a % 2 == 1, b, a)
-    old = other % 2 == 0
-    probe, other = probe >> 1, other >> 1
-    yield _candidates(probe[old], other[old], True)
-    yield _candidates(np.maximum(probe, other)[~old], np.minimum(probe, other)[~old], False)
 
+def _ragged(tables: list[pa.Table]) -> tuple[np.ndarray, np.ndarray]:
+    lists = pa.chunked_array([c for t in tables for c in t.column("words").chunks], pa.list_(pa.int64())).combine_chunks()
+    values, offsets = flat(lists)
+    return values[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield from _sorted_out(*(np.asarray(batch.column(i)) for i in (0, 1)))
 
+def alike_across(tables: tuple[pa.Table, pa.Table], hot: np.ndarray, *, inside: bool = False) -> np.ndarray:
+    """Alike pairs (row of the first table, row of the second) of two tables of distinct fingerprints (words, labels).
 
-def _candidates(probe: np.ndarray, other: np.ndarray, old: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(probe), pa.array(other), pa.array(np.full(len(probe), old))], ["probe", "other", "old"])
+    With ``inside`` pairs of two rows of the first table as well, its rows counted on in the second column.
+    """
+    m = tables[0].num_rows
+    values, offsets = _ragged(list(tables))
+    sizes = np.diff(offsets)
+    labels = [x or () for t in tables for x in t.column("labels").to_pylist()]
+    touched = np.array([bool(x) for x in labels], bool)
+    first = np.arange(len(sizes)) < m
+    held: list[np.ndarray] = []
+
+    def search(rows: np.ndarray, after: bool) -> None:
+        some, ends = _kept(values, offsets, rows)
+        kinds, counts = np.unique(sizes[rows], return_counts=True)
+        for index in VIDEO.indexes(dict(zip(kinds.tolist(), counts.tolist())), hot, after):
+            got = index.entries(some, ends)
+            masks = list(family(index.words // index.keys or 1, index.bits, index.most))
+            order = np.argsort(got.key, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(got.key[order])) + 1):
+                if not len(part):
+                    continue
+                item = rows[got.row[part]]
+                fresh = first[item] if got.fresh is None else got.fresh[part]
+                side = None if inside else first[item]
+                for pairs in close_items(got.word[part], item, masks, index.most, fresh=fresh, side=side):
+                    held.append(pairs[first[pairs[:, 0]]])
+
+    search(np.arange(len(sizes)), False)
+    both = np.flatnonzero(touched)
+    if first[both].any():
+        search(both, True)
+    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *held]), axis=0)
+    good = VIDEO.alike(*_kept(values, offsets, pairs[:, 0]), *_kept(values, offsets, pairs[:, 1]), VIDEO.least)
+    out = [pairs[good]]
+    own = np.array([VIDEO.lost(n) + 1 for n in sizes.tolist()], np.int64)
+    groups: dict[int, list[int]] = defaultdict(list)
+    for size in set(own[both].tolist()):
+        for i in both.tolist():
+            if size <= min(int(own[i]), len(labels[i])):
+                for number in combined(list(labels[i]), size):
+                    groups[number].append(i)
+        for rows in (np.array(r) for r in groups.values() if len(r) > 1):
+            if (own[rows] == size).any() and first[rows].any():
+                x, y = alike_rows(values, offsets, rows, rows, np.arange(len(sizes)), own == size, VIDEO.alike, VIDEO.least, VIDEO.likely, first)
+                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+        groups.clear()
+    pairs = np.unique(np.concatenate(out), axis=0)
+    return pairs if inside else pairs[~first[pairs[:, 1]]] - [0, m]
+
+
+def _kept(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.diff(offsets)[rows]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return values[np.arange(ends[-1]) + np.repeat(offsets[rows] - ends[:-1], sizes)], ends
+
+
+def _classes(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The distinct fingerprints of a table of signatures, and the one of each row."""
+    keys = np.stack([table.column(c).to_numpy() for c in ("h1", "h2")], 1)
+    _, first, back = np.unique(keys, axis=0, return_index=True, return_inverse=True)
+    return table.select(["words", "labels"]).take(pa.array(first)), back.ravel()
+
+
+def _rows_of(classes: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of their class, and where each class begins."""
+    return np.argsort(classes, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(classes, minlength=count))])
+
+
+def smallest_alike(probes: pa.Table, stored: pa.Table, hot: np.ndarray) -> np.ndarray:
+    """For each probe the smallest ord of an alike stored signature of compatible duration; -1 where there is none."""
+    (new, new_of), (old, old_of) = _classes(probes), _classes(stored)
+    pairs = alike_across((new, old), hot)
+    asked, asked_at = _rows_of(new_of, new.num_rows)
+    kept, kept_at = _rows_of(old_of, old.num_rows)
+    a, b = np.diff(asked_at)[pairs[:, 0]], np.diff(kept_at)[pairs[:, 1]]
+    durations = probes.column("duration").to_numpy(), stored.column("duration").to_numpy()
+    ords = stored.column("ord").to_numpy()
+    none = np.iinfo(np.int64).max
+    best = np.full(probes.num_rows, none)
+    for part in np.array_split(np.arange(len(pairs)), max(1, int((a * b).sum()) >> 22)):
+        count = (a * b)[part]
+        which = np.repeat(part, count)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        x = asked[asked_at[pairs[which, 0]] + step // np.maximum(b[which], 1)]
+        y = kept[kept_at[pairs[which, 1]] + step % np.maximum(b[which], 1)]
+        fits = _compatible(durations[0][x], durations[1][y])
+        np.minimum.at(best, x[fits], ords[y[fits]])
+    return np.where(best == none, -1, best)
+
+
+def _probed(folders: list[tuple[str, int]], probes: str, hot: np.ndarray):
+    """Numbers of buckets to (h1, h2, duration, seen): the batch's probes of the bands around one bucket against it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                folder, band = folders[number]
+                columns = ["h1", "h2", "duration", "words", "labels"]
+                asked = [t for b in (band - 1, band, band + 1) if (t := _opened(f"{probes}/band={b}", columns)) is not None]
+                stored = _opened(folder, [*columns, "ord"])
+                if not asked or stored is None:
+                    continue
+                asked = pa.concat_tables(asked).combine_chunks()
+                seen = smallest_alike(asked, stored, hot)
+                some = asked.select(["h1", "h2", "duration"]).append_column("seen", pa.array(seen)).filter(pa.array(seen >= 0))
+                yield from some.combine_chunks().to_batches()
 
-def _compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    return (low > 0) & (high / np.where(low > 0, low, 1) <= DURATION_RATIO) & (high - low <= DURATION_DELTA)
+    return run
 
 
-def _verified(path: str):
-    """Candidates (bucket, other, unit, duration, words) against the signatures of one bucket: (unit, seen)."""
+def _known(folders: list[str]):
+    """Hashes (bucket, unit, full_hash) found in a bucket's files: (unit, seen)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stored: dict[int, pa.Table] = {}
+        stored: dict[int, pa.Table | None] = {}
         for batch in batches:
             for bucket in set(batch.column("bucket").to_pylist()):
                 if bucket not in stored:
-                    files = list(_opened(path, bucket, ["cls", "ord", "duration", "words"]))
-                    stored[bucket] = pa.concat_tables(files).combine_chunks().sort_by("cls") if files else None
-                if stored[bucket] is None:
-                    continue
-                table, some = stored[bucket], batch.filter(pc.equal(batch.column("bucket"), bucket))
-                cls = table.column("cls").to_numpy()
-                wanted = np.asarray(some.column("other"))
-                low, high = np.searchsorted(cls, wanted, "left"), np.searchsorted(cls, wanted, "right")
-                counts = high - low
-                at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
-                probe = np.repeat(np.arange(len(wanted)), counts)
-                fits = _compatible(table.column("duration").to_numpy()[at], np.asarray(some.column("duration"))[probe])
-                at, probe = at[fits], probe[fits]
-                if not len(at):
+                    stored[bucket] = _opened(folders[bucket], ["full_hash", "ord"])
+                if (table := stored[bucket]) is None:
                     continue
-                # one score per candidate, not per stored duration
-                whole, first, back = np.unique(probe, return_index=True, return_inverse=True)
-                left = some.column("words").take(pa.array(whole))
-                right = table.column("words").take(pa.array(at[first])).combine_chunks()
-                alike = alike_sequences(*flat(left), *flat(right), VIDEO_LEAST)[back]
-                if alike.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [some.column("unit").take(pa.array(probe[alike])), table.column("ord").take(pa.array(at[alike])).combine_chunks()], ["unit", "seen"]
-                    )
+                some = batch.filter(pc.equal(batch.column("bucket"), bucket))
+                at = pc.index_in(some.column("full_hash"), value_set=table.column("full_hash").combine_chunks())
+                hit = pc.is_valid(at)
+                if pc.any(hit).as_py():
+                    yield pa.RecordBatch.from_arrays([some.column("unit").filter(hit), table.column("ord").take(at.filter(hit)).combine_chunks()], ["unit", "seen"])
 
     return run
 
 
-def _known(path: str):
-    """Hashes (bucket, unit, full_hash) found in one bucket of the history: (unit, seen)."""
+def _labels(hot: np.ndarray):
+    """Fills in the labels of batches of signatures: numbers of the frequent words that their words are near to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket in set(batch.column("bucket").to_pylist()):
-                some = batch.filter(pc.equal(batch.column("bucket"), bucket))
-                for table in _opened(path, bucket, ["full_hash", "ord"]):
-                    at = pc.index_in(some.column("full_hash"), value_set=table.column("full_hash").combine_chunks())
-                    hit = pc.is_valid(at)
-                    if pc.any(hit).as_py():
-                        yield pa.RecordBatch.from_arrays(
-                            [some.column("unit").filter(hit), table.column("ord").take(at.filter(hit)).combine_chunks()], ["unit", "seen"]
-                        )
+            values, offsets = flat(batch.column("words"))
+            at, which = near_words(values[offsets[0] : offsets[-1]], hot, VIDEO.reach, VIDEO.bits)
+            item = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[at]
+            order = np.lexsort((which, item))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(item, minlength=batch.num_rows))])
+            labels = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(which[order].astype(np.int64)))
+            yield batch.set_column(batch.schema.get_field_index("labels"), "labels", labels)
 
     return run
 
 
-CANDIDATES = "probe long, other long, old boolean"
-DECIDED = "unit long, full_hash string, exact long, old long, near long, accepted boolean"
-
-
-def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units (unit, full_hash, exact, old, others) in the order of ord, with what they repeat in the batch and whether they are accepted."""
-    units = [b for b in batches if b.num_rows]
-    if not units:
-        return
-    table = pa.Table.from_batches(units).sort_by("unit").combine_chunks()
-    taken: set[int] = set()
-    hashes: set[str] = set()
-    accepted, near = [], []
-    for unit, full_hash, exact, old, others in zip(*(c.to_pylist() for c in table.columns)):
-        before = [x for x in others or () if x in taken]
-        good = exact is None and old is None and not before and full_hash not in hashes
-        if good:
-            taken.add(unit)
-            if full_hash is not None:
-                hashes.add(full_hash)
-        accepted.append(good)
-        near.append(min(before, default=None))
-    known = [table.column(c).combine_chunks() for c in ("unit", "full_hash", "exact", "old")]
-    yield pa.RecordBatch.from_arrays([*known, pa.array(near, pa.int64()), pa.array(accepted)], ["unit", "full_hash", "exact", "old", "near", "accepted"])
+DECIDED = "unit long, near long, accepted boolean"
+
+
+def _decided(hot: np.ndarray, first_chunk: int):
+    """Open units (unit, full_hash, h1, h2, duration, words, labels) in the order of ord to what they repeat among themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        table = pa.Table.from_batches(got).combine_chunks().sort_by("unit").combine_chunks()
+        units, hashes = table.column("unit").to_numpy(), table.column("full_hash").to_pylist()
+        with_words = np.flatnonzero(pc.is_valid(table.column("words")).to_numpy())
+        classes, of = _classes(table.take(pa.array(with_words)))
+        cls = np.full(len(units), -1)
+        cls[with_words] = of
+        durations = table.column("duration").to_numpy()
+        taken: set[str] = set()
+        standing: dict[int, list[int]] = defaultdict(list)  # accepted units by class
+        alike: dict[int, list[int]] = defaultdict(list)
+        accepted, near = np.zeros(len(units), bool), np.full(len(units), -1)
+        done, size = 0, first_chunk
+        while done < len(units):
+            chunk = np.arange(done, min(len(units), done + size))
+            fresh = np.unique(cls[chunk][cls[chunk] >= 0])
+            before = np.setdiff1d(np.array([c for c in standing if standing[c]], np.int64), fresh)
+            # classes alike to one accepted before are settled without being compared with each other, unless durations part them
+            ahead = {c: [c] for c in fresh.tolist()}
+            old = np.union1d(before, np.array([c for c in fresh.tolist() if standing.get(c)], np.int64))
+            for x, y in alike_across((classes.take(pa.array(fresh)), classes.take(pa.array(old))), hot).tolist() if len(old) else ():
+                ahead[int(fresh[x])].append(int(old[y]))
+
+            def repeated(i: int, known: list[int]) -> int:
+                some = [u for c in known for u in standing.get(c, ())]
+                fits = [u for u in some if _compatible(durations[u], durations[i])]
+                return int(min((units[u] for u in fits), default=-1))
+
+            open_ = []
+            for i in chunk.tolist():
+                if cls[i] < 0 or (seen := repeated(i, ahead[int(cls[i])])) < 0:
+                    open_.append(i)
+                elif hashes[i] is None or hashes[i] not in taken:
+                    near[i] = seen
+            rest = np.unique([cls[i] for i in open_ if cls[i] >= 0]).astype(np.int64)
+            alike.clear()
+            if len(rest) > 1:
+                some = classes.take(pa.array(rest))
+                for x, y in alike_across((some, some.slice(0, 0)), hot, inside=True).tolist():
+                    alike[int(rest[x])].append(int(rest[y]))
+                    alike[int(rest[y])].append(int(rest[x]))
+            for i in open_:
+                if hashes[i] is not None and hashes[i] in taken:
+                    continue
+                c = int(cls[i])
+                # what was accepted before this chunk has been looked at
+                if c >= 0 and (seen := repeated(i, [c, *alike[c]])) >= 0:
+                    near[i] = seen
+                    continue
+                accepted[i] = True
+                if hashes[i] is not None:
+                    taken.add(hashes[i])
+                if c >= 0:
+                    standing[c].append(i)
+            done += len(chunk)
+            size *= 2
+        yield pa.RecordBatch.from_arrays([pa.array(units), pa.array(near, mask=near < 0), pa.array(accepted)], ["unit", "near", "accepted"])
+
+    return run
 
 
 class History:
     """Accepted rows of one collection, kept in ``path`` below the shared folder."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int, hot: np.ndarray, k: int):
-        self.spark, self.path, self.buckets, self.hot, self.k = spark, path, buckets, hot, k
+    def __init__(self, spark: SparkSession, path: str, state: dict):
+        self.spark, self.path, self.state = spark, path, state
+        self.hot = np.array(state["frequent"], dtype=np.uint64)
+        ship_package(spark)
 
     @classmethod
     def create(cls, rows: DataFrame, path: str | None = None) -> History:
         """A history in which all of ``rows`` are accepted."""
         spark = rows.sparkSession
-        ship_package(spark)
         units = stage(cls._units(rows), "history-units")
-        classes = stage(cls._classes(units), "history-classes")
-        total = classes.agg(F.count("*"), F.sum(F.size("words").cast("long"))).first()
-        hot = hot_words(classes.select("words"), total[1] or 0)
-        buckets = parts_for((total[1] or 0) * (VIDEO_BITS + 1), ENTRIES_PER_BUCKET, slots(spark))
-        made = cls(spark, path or staged_path(spark, "history"), buckets, hot, combination_size(total[1] or 0, 64, VIDEO_BITS))
-        made.append(units, classes)
+        prints = units.where("words is not null").groupBy("h1", "h2").agg(F.first("words").alias("words"))
+        total = units.agg(F.sum(F.size("words").cast("long")).alias("n")).first().n or 0
+        hot = frequent_words(prints, total)
+        made = cls(spark, path or staged_path(spark, "history"), {"number": 0, "parts": [], "frequent": [int(w) for w in hot]})
+        made.append(units)
         unstage(units)
-        unstage(classes)
         return made
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> History:
+        """The history kept in ``path``, as its newest manifest says."""
+        system, root = _system(path)
+        found = system.get_file_info(fs.FileSelector(posixpath.join(root, "manifests"), allow_not_found=True))
+        names = sorted(i.path for i in found if i.path.endswith(".json"))
+        if not names:
+            raise FileNotFoundError(f"no history in {path}")
+        with system.open_input_stream(names[-1]) as file:
+            return cls(spark, path, json.loads(file.read()))
+
+    def _commit(self, state: dict) -> None:
+        system, root = _system(self.path)
+        folder = posixpath.join(root, "manifests")
+        system.create_dir(folder, recursive=True)
+        waiting = posixpath.join(folder, f"{uuid.uuid4().hex}.waiting")
+        with system.open_output_stream(waiting) as file:
+            file.write(json.dumps(state).encode())
+        system.move(waiting, posixpath.join(folder, f"{state['number']:012d}.json"))
+        self.state = state
+
     @staticmethod
-    def _units(rows: DataFrame) -> DataFrame:
-        """``unit`` (smallest ord), full_hash, h1, h2, duration, words: rows that are alike in all of these."""
+    def _keyed(rows: DataFrame) -> DataFrame:
         good = usable("fingerprint") & F.expr("fingerprint_version = 2 and duration > 0 and not isnan(duration)")
         kept = rows.where("ord is not null").select(
             "ord", "full_hash", F.when(good, F.col("fingerprint")).alias("words"), F.when(good, F.col("duration")).alias("duration")
-        ).where("full_hash is not null or words is not null")
-        return with_class_key(kept, "words").groupBy("full_hash", "h1", "h2", "duration").agg(F.min("ord").alias("unit"), F.first("words").alias("words"))
+        )
+        return with_class_key(kept.where("full_hash is not null or words is not null"), "words")
 
-    @staticmethod
-    def _classes(units: DataFrame) -> DataFrame:
-        """``cls, words``: one row per distinct usable fingerprint."""
-        return units.where("words is not null").groupBy("h1", "h2").agg(F.min("unit").alias("cls"), F.first("words").alias("words"))
+    @classmethod
+    def _units(cls, rows: DataFrame) -> DataFrame:
+        """``unit`` (smallest ord), full_hash, h1, h2, duration, words: rows that are alike in all of these."""
+        return cls._keyed(rows).groupBy("full_hash", "h1", "h2", "duration").agg(F.min("ord").alias("unit"), F.first("words").alias("words"))
 
-    def _bucket(self, column: str):
-        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int").alias("bucket")
+    def _signatures(self, units: DataFrame) -> DataFrame:
+        """Signatures of units with words, one row per fingerprint and duration, with their band."""
+        rows = units.where("words is not null").groupBy("h1", "h2", "duration").agg(F.min("unit").alias("ord"), F.first("words").alias("words"))
+        rows = rows.select("h1", "h2", "ord", "duration", "words", F.lit(None).cast("array<long>").alias("labels")).mapInArrow(_labels(self.hot), SIGNATURE)
+        return rows.withColumn("band", _band())
 
-    def append(self, units: DataFrame, classes: DataFrame | None = None) -> None:
-        """Make the units of accepted rows part of the history; ``classes`` are theirs where known."""
+    def append(self, units: DataFrame) -> None:
+        """Make the units of accepted rows part of the history."""
         hashes = units.where("full_hash is not null").groupBy("full_hash").agg(F.min("unit").alias("ord"))
-        self._write(hashes.select(self._bucket("full_hash"), "full_hash", "ord"), "hashes")
-        classes = classes or self._classes(units)
-        entries = self._entries(classes).repartitionById(self.buckets, F.col("owner"))
-        self._save(entries.withColumnRenamed("owner", "bucket"), "entries")
-        if len(self.hot):
-            near_rows(classes.select(F.col("cls").alias("id"), "words"), self.hot, VIDEO_BITS).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/near")
-        members = units.where("words is not null").groupBy("h1", "h2", "duration").agg(F.min("unit").alias("ord"))
-        signatures = members.join(classes, ["h1", "h2"]).select(self._bucket("cls"), "cls", "ord", "duration", "words")
-        self._write(signatures, "signatures")
-
-    def _entries(self, classes: DataFrame) -> DataFrame:
-        pack = packed(self.buckets, 64, VIDEO_BITS, self.k, self.hot)
-        return classes.select("cls", "words").mapInArrow(pack, "owner int, lead int, words binary, low long, ids binary")
-
-    def _write(self, df: DataFrame, name: str) -> None:
-        self._save(df.repartitionById(self.buckets, F.col("bucket")), name)
-
-    def _save(self, df: DataFrame, name: str) -> None:
-        df.write.mode("append").options(compression="zstd").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        self._write(hashes, self._signatures(units), units)
+
+    def _write(self, hashes: DataFrame, signatures: DataFrame, sized: DataFrame, merged: bool = False) -> None:
+        counts = sized.groupBy(F.when(F.col("words").isNotNull(), _band()).alias("band")).agg(F.count("*").alias("n"), F.sum(F.size("words").cast("long")).alias("w")).collect()
+        number = self.state["number"] + 1
+        buckets = parts_for(sum(r.n for r in counts), HASHES_PER_BUCKET)
+        bands = dict(sorted((r.band, parts_for(r.w, WORDS_PER_BUCKET)) for r in counts if r.band is not None))
+        hashes = hashes.select("full_hash", "ord", F.pmod(F.xxhash64("full_hash"), F.lit(buckets)).cast("int").alias("bucket"))
+        self._save(hashes.repartitionById(buckets, F.col("bucket")), f"hashes/number={number}", "bucket")
+        if bands:  # at most one row per duration band: a hundred or so
+            firsts = dict(zip(bands, itertools.accumulate([0, *bands.values()])))
+            place = F.create_map(*(F.lit(x) for b in bands for x in (b, firsts[b])))[F.col("band")]
+            cuts = F.create_map(*(F.lit(x) for b in bands for x in (b, bands[b])))[F.col("band")]
+            placed = signatures.drop("band").withColumn("band", _band()).withColumn("bucket", (place + F.pmod(F.xxhash64("h1"), cuts)).cast("int")).drop("band")
+            self._save(placed.repartitionById(sum(bands.values()), F.col("bucket")), f"signatures/number={number}", "bucket")
+        part = {"number": number, "hashes": buckets, "bands": list(bands.items())}
+        kept = [] if merged else self.state["parts"]
+        self._commit({**self.state, "number": number, "parts": [*kept, part]})
+
+    def _save(self, df: DataFrame, name: str, by: str) -> None:
+        df.write.mode("overwrite").options(compression="zstd").partitionBy(by).parquet(f"{self.path}/{name}")
+
+    def _read(self, kind: str, numbers: list[int], fields: str) -> DataFrame:
+        reader = self.spark.read.schema(fields).option("basePath", f"{self.path}/{kind}")
+        return reader.parquet(*(f"{self.path}/{kind}/number={n}" for n in numbers)) if numbers else self.spark.createDataFrame([], fields)
+
+    def compact(self) -> None:
+        """Merge all live parts into one, with buckets for the size it has now; what they were is deleted afterwards."""
+        old = self.state["parts"]
+        hashes = self._read("hashes", [p["number"] for p in old], "full_hash string, ord long")
+        signatures = self._read("signatures", [p["number"] for p in old if p["bands"]], SIGNATURE)
+        sized = signatures.select("words", "duration").unionByName(hashes.select(F.lit(None).cast("array<long>").alias("words"), F.lit(None).cast("double").alias("duration")))
+        self._write(hashes.groupBy("full_hash").agg(F.min("ord").alias("ord")), signatures.withColumn("band", _band()), sized, merged=True)
+        system, root = _system(self.path)
+        for part in old:
+            for kind in ("hashes", "signatures"):
+                folder = posixpath.join(root, kind, f"number={part['number']}")
+                if system.get_file_info(folder).type == fs.FileType.Directory:
+                    system.delete_dir(folder)
 
     def take_in(self, batch: DataFrame) -> DataFrame:
         """Refused rows of ``batch`` as ``seen_ord, new_ord, how``; all others are accepted and appended."""
         units = stage(self._units(batch), "batch-units")
         refused = stage(self._refused(batch, units), "refused")
         unstage(units)
+        if len(self.state["parts"]) > MOST_PARTS:
+            self.compact()
         return refused
 
     def _refused(self, batch: DataFrame, units: DataFrame) -> DataFrame:
-        exact = self._seen_hashes(units)
-        near, inside = self._alike(units)
-        pairs = inside.groupBy("later").agg(F.collect_set("earlier").alias("others")).withColumnRenamed("later", "unit")
-        ask = units.select("unit", "full_hash").join(exact, "unit", "left").join(near, "unit", "left").join(pairs, "unit", "left")
-        info = stage(ask.select("unit", "full_hash", "exact", "old", "others").repartition(1).mapInArrow(_decided, DECIDED), "batch-decided")
-        accepted = stage(units.join(info.where("accepted").select("unit"), "unit", "left_semi"), "accepted-units")
+        asked = stage(units.join(self._seen_hashes(units), "unit", "left"), "batch-asked")
+        signatures = stage(self._signatures(asked.where("exact is null")), "batch-signatures")
+        seen = self._seen_signatures(signatures)
+        known = asked.join(seen, ["h1", "h2", "duration"], "left")
+        known = stage(known.withColumn("old", F.when(F.col("exact").isNull() & F.col("words").isNotNull(), F.col("old"))), "batch-known")
+        labels = signatures.select("h1", "h2", "duration", "labels")
+        open_ = known.where("exact is null and old is null").join(labels, ["h1", "h2", "duration"], "left")
+        open_ = open_.select("unit", "full_hash", "h1", "h2", "duration", "words", "labels").repartition(1)
+        info = stage(open_.mapInArrow(_decided(self.hot, FIRST_CHUNK), DECIDED), "batch-decided")
+        accepted = stage(known.join(info.where("accepted").select("unit"), "unit", "left_semi").select(units.columns), "accepted-units")
         self.append(accepted)
-        unstage(accepted)
-        hashes = info.where("accepted and full_hash is not null").select("full_hash", F.col("unit").alias("new_exact"))
-        keyed = self._keyed_rows(batch).join(
-            self._keyed_units(units).join(info.select("unit", "exact", "old", "near", "accepted"), "unit"), ["own", "h1", "h2", "span"]
-        )
+        hashes = accepted.where("full_hash is not null").groupBy("full_hash").agg(F.min("unit").alias("new_exact"))
+        told = known.join(info, "unit", "left").select(*_unit_key(), "unit", "exact", "old", "near", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+        keyed = self._keyed(batch).select("ord", "full_hash", *_unit_key()).dropDuplicates(["ord"]).join(told, ["own", "h1", "h2", "span"])
         rows = keyed.join(hashes, "full_hash", "left").where("not accepted or ord <> unit")
-        earlier = F.when(F.col("new_exact") < F.col("ord"), F.col("new_exact"))
-        by_hash = F.least("exact", earlier)
+        by_hash = F.least("exact", F.when(F.col("new_exact") < F.col("ord"), F.col("new_exact")))
         by_words = F.least("old", "near", F.when(F.col("accepted"), F.col("unit")))
-        return rows.select(
+        found = rows.select(
             F.coalesce(by_hash, by_words).alias("seen_ord"), F.col("ord").alias("new_ord"),
             F.when(by_hash.isNotNull(), "exact").otherwise("near").alias("how"),
         )
-
-    @staticmethod
-    def _keyed_units(units: DataFrame) -> DataFrame:
-        return units.select(*_unit_key(), "unit")
-
-    @staticmethod
-    def _keyed_rows(batch: DataFrame) -> DataFrame:
-        good = usable("fingerprint") & F.expr("fingerprint_version = 2 and duration > 0 and not isnan(duration)")
-        rows = batch.select("ord", "full_hash", F.when(good, F.col("fingerprint")).alias("words"), F.when(good, F.col("duration")).alias("duration"))
-        rows = rows.where("ord is not null and (full_hash is not null or words is not null)")
-        return with_class_key(rows, "words").select("ord", "full_hash", *_unit_key()).dropDuplicates(["ord"])
+        found = stage(found, "batch-found")
+        for df in (asked, signatures, known, info, accepted):
+            unstage(df)
+        return found
 
     def _seen_hashes(self, units: DataFrame) -> DataFrame:
-        asked = units.where("full_hash is not null").select(self._bucket("full_hash"), "unit", "full_hash")
-        found = asked.repartitionById(self.buckets, F.col("bucket")).mapInArrow(_known(f"{self.path}/hashes"), "unit long, seen long")
+        """``unit, exact``: the smallest accepted ord of each unit's hash, from the buckets the hashes fall into."""
+        parts = self.state["parts"]
+        firsts = [0, *itertools.accumulate(p["hashes"] for p in parts)]
+        folders = [f"{self.path}/hashes/number={p['number']}/bucket={b}" for p in parts for b in range(p["hashes"])]
+        buckets = F.array(*((F.pmod(F.xxhash64("full_hash"), F.lit(p["hashes"])) + F.lit(at)).cast("int") for p, at in zip(parts, firsts)))
+        asked = units.where("full_hash is not null").select(F.explode(buckets).alias("bucket"), "unit", "full_hash")
+        found = asked.repartitionById(firsts[-1], F.col("bucket")).mapInArrow(_known(folders), "unit long, seen long")
         return found.groupBy("unit").agg(F.min("seen").alias("exact"))
 
-    def _alike(self, units: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Per unit the smallest alike ord of the history, and alike pairs of units within the batch."""
-        classes = stage(self._classes(units), "batch-classes")
-        met = self._entries(classes).repartitionById(self.buckets, F.col("owner")).mapInArrow(_met(f"{self.path}/entries", self.k), CANDIDATES)
-        if len(self.hot):
-            mine = near_rows(classes.select(F.col("cls").alias("id"), "words"), self.hot, VIDEO_BITS).withColumn("id", F.col("id") * 2 + 1)
-            known = self.spark.read.schema(mine.schema).parquet(f"{self.path}/near").withColumn("id", F.col("id") * 2)
-            both = pairs_of_near(stage(mine.union(known), "batch-near"), alike=alike_sequences, least=VIDEO_LEAST, likely=likely_sequences(VIDEO_LEAST), odd_only=True)
-            met = met.union(both.mapInArrow(_split, CANDIDATES))
-        candidates = stage(met.distinct(), "batch-candidates")
-        members = units.where("words is not null").join(classes.select("h1", "h2", "cls"), ["h1", "h2"]).select("cls", "unit", "duration")
-        asked = candidates.where("old").join(members, F.col("probe") == F.col("cls")).join(
-            classes.select(F.col("cls").alias("probe"), "words"), "probe"
-        ).select(self._bucket("other"), "other", "unit", "duration", "words")
-        found = asked.repartitionById(self.buckets, F.col("bucket")).mapInArrow(_verified(f"{self.path}/signatures"), "unit long, seen long")
-        old = found.groupBy("unit").agg(F.min("seen").alias("old"))
-        words = classes.select("cls", "words")
-        pairs = candidates.where("not old").select("probe", "other")
-        pairs = pairs.join(words.toDF("probe", "words_a"), "probe").join(words.toDF("other", "words_b"), "other").select("probe", "other", "words_a", "words_b")
-        pairs = pairs.mapInArrow(_alike_words, "probe long, other long").union(classes.select("cls", "cls"))
-        a, b = members.toDF("probe", "unit_a", "duration_a"), members.toDF("other", "unit_b", "duration_b")
-        inside = pairs.join(a, "probe").join(b, "other").where("unit_a <> unit_b").where(
-            F.expr(f"greatest(duration_a, duration_b) / least(duration_a, duration_b) <= {DURATION_RATIO} and abs(duration_a - duration_b) <= {DURATION_DELTA}")
-        )
-        return old, inside.select(F.greatest("unit_a", "unit_b").alias("later"), F.least("unit_a", "unit_b").alias("earlier"))
+    def _seen_signatures(self, signatures: DataFrame) -> DataFrame:
+        """``h1, h2, duration, old``: the smallest accepted ord alike to each signature, from the buckets of the bands around its own."""
+        probes = staged_path(self.spark, "probes")
+        signatures.repartition(1).write.option("compression", "zstd").partitionBy("band").parquet(probes)
+        wanted = {r.band for r in signatures.select("band").distinct().collect()}
+        folders: list[tuple[str, int]] = []
+        for part in self.state["parts"]:
+            at = 0
+            for band, cuts in part["bands"]:
+                if wanted & {band - 1, band, band + 1}:
+                    folders += [(f"{self.path}/signatures/number={part['number']}/bucket={at + i}", band) for i in range(cuts)]
+                at += cuts
+        fields = "h1 long, h2 long, duration double, seen long"
+        numbers = self.spark.range(0, len(folders), 1, max(1, len(folders)))
+        found = numbers.mapInArrow(_probed(folders, probes, self.hot), fields)
+        return found.groupBy("h1", "h2", "duration").agg(F.min("seen").alias("old"))
+
+
+def _band():
+    return F.greatest(F.lit(-99), F.least(F.lit(99), F.floor(F.log("duration") / F.lit(BAND)))).cast("int")
 
 
 def _unit_key() -> list:
@@ -337,12 +482,6 @@ def _unit_key() -> list:
     ]
 
 
-def _alike_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = alike_sequences(*flat(batch.column(2)), *flat(batch.column(3)), VIDEO_LEAST)
-        yield batch.select([0, 1]).filter(pa.array(good))
-
-
 def refused_rows(files: DataFrame, incoming: DataFrame, *, step_rows: int = STEP_ROWS) -> DataFrame:
     """``seen_ord, new_ord, how`` of all rows of ``incoming`` that repeat ``files`` or an accepted row before them.
 

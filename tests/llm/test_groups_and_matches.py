@@ -1,14 +1,18 @@
+import itertools
 import random
 
 import numpy as np
 import pytest
 
 from nearfold.functions.similarity import audio_scores, sequence_scores
-from nearfold.llm.combinations import combination_pairs, combination_size
+from nearfold.llm import combinations
+from nearfold.llm.alikeness import AUDIO, VIDEO
+from nearfold.llm.combinations import Entries, Index, combination_pairs, covering_family, family, groups_of, subset_family
 from nearfold.llm.components import connected_groups, roots_of
 from nearfold.llm.expansion import member_pairs
 from nearfold.llm.fingerprints import alike_pairs
-from nearfold.llm.history import refused_rows
+from nearfold.llm.history import History, refused_rows
+from nearfold.llm.hotpairs import combined, near_words
 
 
 def smallest(edges):
@@ -62,37 +66,71 @@ def flipped(rng, word, bits, width=64):
     return word
 
 
-@pytest.mark.parametrize("bits,tolerance,most,load", [(64, 4, 4, 4.0), (64, 4, 4, 0.0001), (64, 8, 8, 4.0), (32, 1, 1, 0.01), (64, 9, 9, 1e9)])
-def test_combinations_miss_nothing_within_tolerance(spark, bits, tolerance, most, load):
-    rng = random.Random(bits + tolerance)
+def every_word(values, offsets):
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    return Entries(np.zeros(len(row), np.int64), values[offsets[0] : offsets[-1]], row)
+
+
+@pytest.mark.parametrize("width,tolerance", [(16, 1), (16, 2), (12, 3), (11, 4), (10, 5)])
+def test_families_leave_a_combination_whole(width, tolerance):
+    families = [subset_family(3, width, tolerance, k) for k in (1, 2, 3)] + [covering_family(3, width, tolerance)]
+    for masks in families:
+        for damaged in itertools.combinations(range(3, 3 + width), tolerance):
+            harm = sum(1 << i for i in damaged)
+            assert any(not m & harm for m in masks)
+
+
+@pytest.mark.parametrize("words", [10, 10**5, 10**7, 10**10])
+@pytest.mark.parametrize("bits,tolerance", [(64, 9), (64, 8), (64, 11), (32, 1), (32, 2)])
+def test_the_chosen_family_leaves_a_combination_whole(words, bits, tolerance):
+    rng = random.Random(tolerance)
+    masks = family(words, bits, tolerance)
+    for _ in range(2000):
+        harm = sum(1 << i for i in rng.sample(range(bits), tolerance))
+        assert any(not m & harm for m in masks)
+    groups = groups_of(masks, words, 1 << 22)
+    assert sorted(m for g, _, _ in groups for m in g) == sorted(masks) and all(not shared & ~m for g, shared, _ in groups for m in g)
+
+
+@pytest.mark.parametrize("bits,most,words,per_task", [(64, 4, 10, 1 << 22), (64, 4, 10**7, 1 << 22), (64, 8, 10**6, 1 << 22), (32, 1, 10**6, 1 << 19), (64, 9, 300, 1 << 22)])
+def test_combinations_miss_nothing_within_tolerance(spark, bits, most, words, per_task):
+    rng = random.Random(bits + most)
     items = []
     for i in range(60):
         base = rng.getrandbits(bits)
         items += [(2 * i, [base, rng.getrandbits(bits)]), (2 * i + 1, [rng.getrandbits(bits), flipped(rng, base, rng.randrange(most + 2), bits)])]
     df = spark.createDataFrame([(i, [signed(w) for w in ws]) for i, ws in items], "id long, words array<long>")
     want = {(a, b) for a, x in items for b, y in items if a < b and any((v ^ w).bit_count() <= most for v in x for w in y)}
-    found = combination_pairs(df, bits=bits, tolerance=tolerance, most=most, load=load, entries_per_task=100)
-    rows = found.collect()
+    rows = combination_pairs(df, [Index(every_word, bits, most, words)], per_task=per_task).collect()
     assert {(r.a, r.b) for r in rows} == want and len(rows) == len(want)
-    assert found.sparkSession and combination_pairs(df.where("false"), bits=bits, tolerance=tolerance, most=most).count() == 0
+    assert combination_pairs(df.where("false"), [Index(every_word, bits, most, words)]).count() == 0
 
 
-def test_combination_size_grows_with_the_words():
-    sizes = [combination_size(n, 64, 4) for n in (100, 10**6, 10**8, 10**10)]
-    assert sizes == sorted(sizes) and sizes[0] == 1 and sizes[-1] > sizes[1]
+def test_more_words_get_longer_combinations():
+    sizes = [min(m.bit_count() for m in family(n, 64, 4)) for n in (100, 10**6, 10**8, 10**10)]
+    assert sizes == sorted(sizes) and sizes[-1] > sizes[0]
 
 
-def test_hot_words_alone_make_no_pairs(spark, monkeypatch):
-    from nearfold.llm import combinations
+@pytest.mark.parametrize("few", [1, 64])
+def test_near_words(monkeypatch, few):
+    from nearfold.llm import hotpairs
+
+    monkeypatch.setattr(hotpairs, "FEW_WORDS", few)
+    rng = random.Random(4)
+    hot = [rng.getrandbits(64) for _ in range(5)] + [0, 1]
+    words = hot[:2] + [flipped(rng, rng.choice(hot), rng.randrange(16)) for _ in range(80)] + [rng.getrandbits(64) for _ in range(20)] + hot[:1]
+    at, which = near_words(np.array(words, np.uint64), np.array(hot, np.uint64), 11, 64)
+    want = [(i, j) for i, w in enumerate(words) for j, h in enumerate(hot) if (w ^ h).bit_count() <= 11]
+    assert list(zip(at.tolist(), which.tolist())) == want
+
+
+def test_combined_labels_count_as_often_as_they_come():
+    assert combined([1, 1, 1, 1], 2) == combined([1, 1], 2) and len(combined([1, 1, 2], 2)) == 2 and not combined([1], 2)
 
-    monkeypatch.setattr(combinations, "HOT_ITEMS", 20)
-    rng = random.Random(9)
-    items = [(i, [0, *(signed(rng.getrandbits(64)) for _ in range(3))]) for i in range(50)] + [(90 + i, [0, 0, signed(rng.getrandbits(64))]) for i in range(2)]
-    items += [(100, [0, 1 << 40, 2 << 40, 3 << 40]), (101, [0, 1 << 40, 7, 9])]
-    df = spark.createDataFrame(items, "id long, words array<long>")
-    got = {(r.a, r.b) for r in combination_pairs(df, bits=64, tolerance=4, most=9).collect()}
-    # 90 and 91 keep their hot words; those of 100 and 101 lie within a bit or two of them
-    assert got == {(a, b) for a in (90, 91, 100, 101) for b in (90, 91, 100, 101) if a < b}
+
+def test_distances():
+    assert VIDEO.distance(15, 0, True) == 9 and VIDEO.distance(15, 0, False) == 8 and VIDEO.distance(15, 2) == 11 and AUDIO.distance(25, 0) == 1
+    assert all(VIDEO.distance(n, VIDEO.lost(n)) <= VIDEO.reach for n in range(1, 200)) and VIDEO.lost(1) == 0 and VIDEO.lost(15) == 2
 
 
 def test_member_pairs_salted(spark):
@@ -184,8 +222,6 @@ def hot_media(rng, n=60):
 
 @pytest.mark.parametrize("medium", ["video", "audio"])
 def test_pairs_that_share_only_hot_words(spark, make_files, monkeypatch, medium):
-    from nearfold.llm import combinations
-
     monkeypatch.setattr(combinations, "HOT_ITEMS", 20)
     rows = hot_media(random.Random(5))
     got = [(r.ord_a, r.ord_b) for r in alike_pairs(make_files(rows), medium).collect()]
@@ -193,19 +229,67 @@ def test_pairs_that_share_only_hot_words(spark, make_files, monkeypatch, medium)
     assert len(got) == len(set(got)) and set(got) == want and len(want) >= 30
 
 
-@pytest.mark.parametrize("k", [3, 4])
-def test_videos_at_the_edge_are_found_at_any_combination_size(spark, make_files, monkeypatch, k):
-    from nearfold.llm import combinations
-
-    monkeypatch.setattr(combinations, "combination_size", lambda *_: k)
-    rng, rows = random.Random(k), []
+@pytest.mark.parametrize("words", [10, 10**7, 10**10])
+def test_videos_at_the_edge_are_found_with_any_family(spark, make_files, monkeypatch, words):
+    monkeypatch.setattr(combinations, "family", lambda _, bits, tolerance: family(words, bits, tolerance))
+    rng, rows = random.Random(words), []
     for _ in range(40):
-        words = [rng.getrandbits(64) for _ in range(8)]
-        rows += [{"fingerprint": [signed(w) for w in x], "fingerprint_version": 2, "duration": 500.0} for x in (words, [flipped(rng, w, 9) for w in words])]
+        frames = [rng.getrandbits(64) for _ in range(8)]
+        rows += [{"fingerprint": [signed(w) for w in x], "fingerprint_version": 2, "duration": 500.0} for x in (frames, [flipped(rng, w, 9) for w in frames])]
     got = {(r.ord_a, r.ord_b) for r in alike_pairs(make_files(rows), "video").collect()}
     assert got == {(2 * i, 2 * i + 1) for i in range(40)}
 
 
+def odd_lengths(rng):
+    """Videos cut, extended and very unlike in length, at the edge of the score."""
+    rows = []
+    for f in range(30):
+        base = [rng.getrandbits(64) for _ in range(rng.choice([1, 2, 3, 5, 15, 15, 24, 40]))]
+        for bits in (0, 9, 8, 6):
+            words = [flipped(rng, w, bits) for w in base]
+            for _ in range(rng.randrange(4)):
+                if rng.random() < 0.5 and len(words) > 1:
+                    words.pop(rng.randrange(len(words)))
+                else:
+                    words.insert(rng.randrange(len(words) + 1), rng.getrandbits(64))
+            rows.append({"fingerprint": [signed(w) for w in words], "fingerprint_version": 2, "duration": 500.0})
+    return rows
+
+
+def test_videos_of_odd_lengths(spark, make_files):
+    rows = odd_lengths(random.Random(8))
+    got = {(r.ord_a, r.ord_b) for r in alike_pairs(make_files(rows), "video").collect()}
+    assert got == brute_media(rows, "video") and len(got) > 50
+
+
+def black_frames(rng, n=200):
+    """Videos of which most hold some of three frequent frames, exact or a few bits off, up to nothing else."""
+    frequent, rows = [0, rng.getrandbits(64), rng.getrandbits(64)], []
+    for i in range(n):
+        base = [rng.getrandbits(64) for _ in range(rng.choice([1, 3, 6, 10, 15, 15, 15]))]
+        for at in rng.sample(range(len(base)), min(len(base), rng.choice([0, 1, 1, 2, 3, 5]))):
+            base[at] = rng.choice(frequent)
+        for bits in (0, rng.choice([9, 10, 11, 12]))[: 1 + i % 2]:
+            words = [flipped(rng, w, bits if w not in frequent else rng.choice([0, 0, 1, 4])) for w in base]
+            rows.append({"fingerprint": [signed(w) for w in words], "fingerprint_version": 2, "duration": 500.0 + rng.choice([0, 0, 400])})
+    return rows
+
+
+def test_videos_with_frequent_frames(spark, make_files, monkeypatch):
+    monkeypatch.setattr(combinations, "HOT_ITEMS", 20)
+    rows = black_frames(random.Random(12))
+    got = {(r.ord_a, r.ord_b) for r in alike_pairs(make_files(rows), "video").collect()}
+    assert got == brute_media(rows, "video") and len(got) > 50
+
+
+def test_images_of_one_frequent_word(spark, make_files, monkeypatch):
+    monkeypatch.setattr(combinations, "HOT_ITEMS", 20)
+    rng = random.Random(3)
+    rows = [{"image_fingerprint": [signed(flipped(rng, 5, rng.choice([0, 0, 0, 2, 9]))), *(rng.randrange(256) for _ in range(3))]} for _ in range(80)]
+    got = {(r.ord_a, r.ord_b) for r in alike_pairs(make_files(rows), "image").collect()}
+    assert got == brute_media(rows, "image") and len(got) > 50
+
+
 def sequential(old, new):
     accepted, out = [dict(r, ord=i) for i, r in enumerate(old)], set()
 
@@ -237,8 +321,6 @@ def refused(make_files, old, new):
 
 
 def test_refused_rows_that_share_only_hot_words(spark, make_files, monkeypatch):
-    from nearfold.llm import combinations
-
     monkeypatch.setattr(combinations, "HOT_ITEMS", 20)
     rng = random.Random(6)
     shared = [rng.getrandbits(64) for _ in range(7)]
@@ -277,3 +359,58 @@ def test_refused_rows_of_empty_tables(spark, make_files):
     none = make_files([{}]).where("false")
     assert [tuple(r) for r in refused_rows(none, new).collect()] == [(1000, 1001, "exact")]
     assert refused_rows(make_files([{"full_hash": "h"}]), new.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("make", [odd_lengths, black_frames])
+@pytest.mark.parametrize("chunk", [1000, 10])
+def test_refused_rows_of_hard_videos(spark, make_files, monkeypatch, make, chunk):
+    from nearfold.llm import history
+
+    monkeypatch.setattr(combinations, "HOT_ITEMS", 20)
+    monkeypatch.setattr(history, "FIRST_CHUNK", chunk)
+    rng = random.Random(17)
+    rows = make(rng)
+    rng.shuffle(rows)
+    for i, row in enumerate(rows):
+        row.update(full_hash=rng.choice([None, None, f"{i % 40}"]), duration=row["duration"] * rng.choice([1, 1, 1.4, 3]))
+    half = len(rows) // 2
+    assert len(refused(make_files, rows[:half], rows[half:] + rows[half : half + 20])) > 20
+
+
+def test_a_history_is_opened_again_and_merged(spark, make_files, monkeypatch, tmp_path):
+    from nearfold.llm import history
+
+    monkeypatch.setattr(history, "MOST_PARTS", 3)
+    rows = [r for r in make_media(random.Random(41), 5) if "fingerprint" in r]
+    random.Random(2).shuffle(rows)
+    new = [dict(r, ord=1000 + i) for i, r in enumerate(rows[80:])]
+    path = f"file://{tmp_path}/store"
+    History.create(make_files(rows[:80]), path)
+    got, numbers = set(), []
+    for at in range(0, len(new), 25):
+        opened = History.open(spark, path)
+        got |= {tuple(r) for r in opened.take_in(make_files(new[at : at + 25])).collect()}
+        numbers.append(len(opened.state["parts"]))
+    assert got == sequential(rows[:80], new) and max(numbers) == 3
+    with pytest.raises(FileNotFoundError):
+        History.open(spark, f"file://{tmp_path}/none")
+
+
+def test_a_batch_that_failed_is_taken_in_again(spark, make_files, monkeypatch, tmp_path):
+    path = f"file://{tmp_path}/store"
+    History.create(make_files([{"full_hash": "a"}]), path)
+    batch = make_files([{"ord": 1000, "full_hash": "b"}, {"ord": 1001, "full_hash": "a"}])
+    with monkeypatch.context() as broken:
+        broken.setattr(History, "_commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            History.open(spark, path).take_in(batch)
+    assert [tuple(r) for r in History.open(spark, path).take_in(batch).collect()] == [(0, 1001, "exact")]
+    assert {tuple(r) for r in History.open(spark, path).take_in(batch).collect()} == {(1000, 1000, "exact"), (0, 1001, "exact")}
+
+
+def test_many_newcomers_of_one_fingerprint(spark, make_files):
+    rng = random.Random(1)
+    words = [rng.getrandbits(64) for _ in range(15)]
+    alike = [{"fingerprint": [signed(flipped(rng, w, rng.randrange(3))) for w in words], "fingerprint_version": 2, "duration": 500.0, "ord": 1000 + i} for i in range(4000)]
+    got = [tuple(r) for r in refused_rows(make_files([{"full_hash": "x"}]), make_files(alike)).collect()]
+    assert sorted(got) == [(1000, i, "near") for i in range(1001, 5000)]
