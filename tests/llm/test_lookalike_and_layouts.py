@@ -7,7 +7,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from nearfold.llm.layouts import FoldTable, layout_groups, same_sequence, streamed, words_of
+from nearfold.llm.layouts import FoldTable, folded_codes, layout_counts, layout_groups, same_sequence, streamed, words_of
 from nearfold.llm.lookalike import lookalike_pairs, skeleton
 
 
@@ -57,14 +57,15 @@ def brute(rows, looks):
 
     for key, scope, name in sorted(r for r in rows if r[0] is not None and r[2] is not None):
         parent[key] = key
-        words = words_of(name, table)
-        ordered = "".join(c for c in unicodedata.normalize("NFD", "".join(map(table.fold, unicodedata.normalize("NFD", name)))))
-        for mark in ([("s", scope, ordered), ("w", scope, tuple(sorted(words.elements())))] if ordered else [("raw", scope, name)]):
-            if mark in seen:
-                a, b = sorted((find(seen[mark]), find(key)))
-                parent[b] = a
-            else:
-                seen[mark] = key
+        for second in (False, True):
+            words = sorted(words_of(folded_codes(name, table, second)))
+            ordered = "".join(folded_codes(name, table, second))
+            for mark in ([("s", scope, ordered), ("w", scope, tuple(words))] if ordered else [("raw", scope, name)]):
+                if mark in seen:
+                    a, b = sorted((find(seen[mark]), find(key)))
+                    parent[b] = a
+                else:
+                    seen[mark] = key
     groups = defaultdict(list)
     for key in parent:
         groups[find(key)].append(key)
@@ -94,11 +95,16 @@ def test_layout_chains_join_over_both_hashes(spark):
 
 def test_streamed_hashes_follow_equality():
     texts = [n for n in NAMES if n] + ["b a", "a b", "ab", "a  b", "ab c", "a bc"]
-    hashes, table = streamed(pa.array(texts), FoldTable(False)), FoldTable(False)
+    table = FoldTable(False)
+    hashes = streamed(texts, table)[0]
+
+    def codes(text):
+        return folded_codes(text, table)
+
     for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2):
         if hashes[4, i] and hashes[4, j]:
-            assert (hashes[0, i] == hashes[0, j]) == same_sequence(a, b, table), (a[:9], b[:9])
-            assert (hashes[2, i] == hashes[2, j]) == (words_of(a, table) == words_of(b, table)), (a[:9], b[:9])
+            assert (hashes[0, i] == hashes[0, j]) == same_sequence(codes(a), codes(b)), (a[:9], b[:9])
+            assert (hashes[2, i] == hashes[2, j]) == (sorted(words_of(codes(a))) == sorted(words_of(codes(b)))), (a[:9], b[:9])
 
 
 def test_false_collisions_are_split(spark, monkeypatch):
@@ -107,16 +113,36 @@ def test_false_collisions_are_split(spark, monkeypatch):
     real = layouts.streamed
 
     def colliding(texts, table):
-        out = real(texts, table)
+        out, *rest = real(texts, table)
         out[:4, out[4] > 0] = np.uint64(7)
-        return out
+        return out, *rest
 
     rows = [(0, "", "a b"), (1, "", "c d"), (2, "", "A-B"), (3, "", "d c"), (4, "", "e")]
     table = FoldTable(False)
     batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(3)], ["key", "scope", "name"])
     monkeypatch.setattr(layouts, "streamed", colliding)
     hashed = list(layouts.hashed(False)(iter([batch])))[0].to_pylist()
-    staged = spark.createDataFrame(hashed, "key long, scope string, name string, s1 long, s2 long, w1 long, w2 long")
-    links = {kind: {r.key: r[f"first_{kind}"] for r in layouts._links(staged, kind, False).collect()} for kind in "sw"}
+    staged = spark.createDataFrame(hashed, "key long, scope string, name string, s1 long, s2 long, w1 long, w2 long, second boolean")
+    links = {kind: {r.key: r["first"] for r in layouts._links(staged, kind, False).collect()} for kind in "sw"}
     assert links["s"][2] == 0 and links["s"][1] != links["s"][0] and links["w"][3] == links["w"][1] != 0
-    assert links["s"][4] not in (0, 1) and not same_sequence("a b", "c d", table)
+    assert links["s"][4] not in (0, 1) and not same_sequence(folded_codes("a b", table), folded_codes("c d", table))
+
+
+def test_case_and_looks_together(spark):
+    alike = [
+        ["Старий Тара 01", "СТАРИЙ ТАРА 01", "старий_тара_01", "CTAPИЙ тара - 01", "Стaрий TАРА 01"],
+        ["Marble Home 2", "Μаrble HОME 2", "MARBLE ΗOME 2", "2 marble home"],
+        ["van", "VAN", "Vаn"],
+        ["nan"],
+        ["notes 49 тИРАТИГЕ", "NOTES 49 Тиратиге", "notes49тиратиге", "NOTES49ТИРАТИГЕ"],
+        ["ТАРА", "тара", "TAPA"],
+    ]
+    names = [n for group in alike for n in group]
+    df = spark.createDataFrame(list(enumerate(names)), "key long, name string").selectExpr("key", "'' as scope", "name")
+    found = grouped(layout_groups(df, looks=True))
+    want, at = {}, 0
+    for group in alike:
+        want.update({at + i: at for i in range(len(group)) if len(group) > 1})
+        at += len(group)
+    assert found == want
+    assert {r.first_key: r.copies for r in layout_counts(layout_groups(df, looks=True)).collect()} == {k: list(want.values()).count(k) for k in set(want.values())}
