@@ -80,16 +80,16 @@ def streams_of(streams: Column, kind: str) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Bytes on the KiB ladder: whole bytes, else one decimal."""
+    """Bytes on the KiB ladder: whole bytes, else one decimal, halves to the even one."""
     text = F.concat(size.cast("long").cast("string"), F.lit(" B"))
     for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        text = F.when(size >= 1024**power, F.concat(F.format_string("%.1f", size / F.lit(float(1024**power))), F.lit(f" {unit}"))).otherwise(text)
+        text = F.when(size >= 1024**power, F.concat(F.format_string("%.1f", F.bround(size / F.lit(float(1024**power)), 1)), F.lit(f" {unit}"))).otherwise(text)
     return text
 
 
 def clock(seconds: Column) -> Column:
-    """Seconds as h:mm:ss, or m:ss below an hour; null for null and NaN."""
-    whole = F.when(~F.isnan(seconds), F.round(seconds).cast("long"))
+    """Seconds as h:mm:ss, or m:ss below an hour, halves to the even second, 0:00 below none; null for null and NaN."""
+    whole = F.when(seconds.isNotNull() & ~F.isnan(seconds), F.greatest(F.lit(0), F.bround(seconds).cast("long")))
     hours, minutes, rest = F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60
     return F.when(whole >= 3600, F.format_string("%d:%02d:%02d", hours, minutes, rest)).otherwise(F.when(whole.isNotNull(), F.format_string("%d:%02d", minutes, rest)))
 

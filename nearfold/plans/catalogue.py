@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import media, paths
 from ..functions.hashing import ALGORITHM, full_hash, partial_hash
-from ..functions.names import contextual_name, normalized_name
+from ..functions.names import BRACKETED, FLAG_WORDS, GENERIC_WORDS, NOT_EPISODES, QUALITY_WORDS, contextual_name, normalized_name
 from ..operators import clusters, evaluation, exact, journal, matching, naming, planning, review, store
 from ..sources.listing import owned_by_first_root
 from ..tables import table
@@ -180,7 +180,35 @@ def video_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.groupBy(F.col("ord_a").alias("ord")).agg(F.count("*").alias("candidates"))
 
 
-@query()
+VIDEOS_SQL = """SELECT ord, full_hash, duration, fingerprint AS words FROM files
+  WHERE len(fingerprint) > 0 AND fingerprint_version = 2 AND duration > 0 AND duration::VARCHAR <> 'nan'"""
+COMPATIBLE_SQL = "greatest(a.duration, b.duration) / least(a.duration, b.duration) <= 1.5 AND greatest(a.duration, b.duration) - least(a.duration, b.duration) <= 900"
+
+
+def sequence_sql(pairs: str, bits: int) -> str:
+    """Common tables that end in ``scores`` (ord_a, ord_b, similarity) of ``pairs`` (ord_a, ord_b, aw, bw) with frames within ``bits``.
+
+    ``state[j + 1][k + 1]`` is the best total of k matches among the frames seen so far and the first j of the other side.
+    """
+    return f"""near AS (SELECT *, len(aw) AS n, len(bw) AS l, least(len(aw), len(bw)) AS s FROM ({pairs})
+  WHERE list_min(list_transform(aw, lambda x: list_min(list_transform(bw, lambda y: bit_count(xor(x, y)))))) <= {bits}),
+dp AS (SELECT ord_a, ord_b, aw, bw, n, l, s, 0 AS i, list_transform(range(0, l + 1), lambda j: list_transform(range(0, s + 1), lambda k: CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE -1e18::DOUBLE END)) AS state FROM near
+  UNION ALL SELECT ord_a, ord_b, aw, bw, n, l, s, i + 1, list_transform(range(0, l + 1), lambda j: list_transform(range(0, s + 1), lambda k:
+    CASE WHEN k = 0 THEN 0.0::DOUBLE WHEN j = 0 THEN -1e18::DOUBLE ELSE greatest(state[j + 1][k + 1],
+      list_max(list_transform(range(1, j + 1), lambda q: state[q][k] + 100.0::DOUBLE * (1.0::DOUBLE - bit_count(xor(aw[i + 1], bw[q])) / 64.0::DOUBLE)))) END)) FROM dp WHERE i < n),
+scores AS (SELECT ord_a, ord_b, greatest(0.0::DOUBLE, list_max(list_transform(range(greatest(1, ceil(s * 0.6::DOUBLE)::BIGINT), s + 1),
+  lambda m: state[l + 1][m + 1] / m - (1.0::DOUBLE - m / s::DOUBLE) * 20.0::DOUBLE))) AS similarity FROM dp WHERE i = n)"""
+
+
+_SEARCHED_SQL = f"""SELECT a.ord AS ord_a, b.ord AS ord_b, a.words AS aw, b.words AS bw FROM ({VIDEOS_SQL}) a JOIN ({VIDEOS_SQL}) b
+  ON a.ord <> b.ord AND {COMPATIBLE_SQL} AND NOT coalesce(a.full_hash = b.full_hash, false) WHERE a.ord % 100 = 0"""
+
+
+@query(f"""
+WITH RECURSIVE {sequence_sql(_SEARCHED_SQL, 22)},
+d AS (SELECT s.*, abs(a.duration - b.duration) AS delta FROM scores s JOIN files a ON a.ord = ord_a JOIN files b ON b.ord = ord_b)
+SELECT *, similarity < 85 AND delta > 0.05 AND delta <= 180 AS recheck FROM d WHERE similarity >= 85 OR similarity >= 65 AND delta > 0.05 AND delta <= 180
+""")
 def video_search(spark: SparkSession, folder: str) -> DataFrame:
     rows = matching.videos(table(spark, folder, "files", "ord", "full_hash", "duration", "fingerprint", "fingerprint_version"))
     return matching.video_matches(rows.where("ord % 100 = 0"), rows, recheck=True)
@@ -188,14 +216,49 @@ def video_search(spark: SparkSession, folder: str) -> DataFrame:
 
 # Names
 
+# DuckDB's expressions know no looking around: edges of words are taken in and put back, twice, as neighbours share one
+_EDGE, _SPACE = r"[^\p{L}\p{N}_]", r"[\t-\r\x{85}\p{Z}]"
+
+
+def _words_sql(text: str, words: str) -> str:
+    once = f"regexp_replace({text}, '(^|{_EDGE})(?i:{words})({_EDGE}|$)', '\\1 \\2', 'g')"
+    return f"regexp_replace({once}, '(^|{_EDGE})(?i:{words})({_EDGE}|$)', '\\1 \\2', 'g')"
+
+
+_NUMBER_SQL = "TRY_CAST(translate({}, '０１２３４５６７８９', '0123456789') AS INT)"
+_EPISODE_SQL = rf"(?i)(?:^|{_SPACE}|[._-])(?:e|ep|episode)?{_SPACE}*0*(\p{{Nd}}{{1,4}})(?:v\p{{Nd}}+)?(?:{_SPACE}|[._-]|$)"
+_YEAR_SQL = r"(?:^|[^\p{Nd}])((?:19|20)\p{Nd}{2})(?:[^\p{Nd}]|$)"
+TITLES_SQL = rf"""
+WITH w AS (SELECT ord, raw_name AS raw, translate(raw_name, '_.', '  ') AS spaced FROM files),
+y AS (SELECT *, {_NUMBER_SQL.format(f"regexp_extract(spaced, '{_YEAR_SQL}', 1)")} AS year,
+  string_split(regexp_replace(spaced, '{_EPISODE_SQL}', chr(1) || '\0' || chr(1) || '\1' || chr(1), 'g'), chr(1)) AS parts FROM w),
+k AS (SELECT *, list_max(list_filter(range(1, (len(parts) - 1) // 3 + 1), lambda i:
+  NOT coalesce({_NUMBER_SQL.format("parts[3 * i]")} IN ({", ".join(map(str, NOT_EPISODES))}), false)
+  AND {_NUMBER_SQL.format("parts[3 * i]")} IS DISTINCT FROM coalesce(year, -1))) AS place FROM y),
+t AS (SELECT *, CASE WHEN place IS NULL THEN spaced ELSE array_to_string(list_transform(parts, lambda x, i:
+  CASE WHEN i = 3 * place - 1 THEN ' ' WHEN i % 3 = 0 THEN '' ELSE x END), '') END AS cut FROM k),
+q AS (SELECT *, {_words_sql(f"regexp_replace(cut, '{BRACKETED}', ' ', 'g')", QUALITY_WORDS)} AS plain FROM t),
+f AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(plain, '{_YEAR_SQL}', ' ', 'g'), '[-–—|]+', ' ', 'g'), '{_SPACE}+', ' ', 'g'), ' ') AS title FROM q)
+SELECT ord, CASE WHEN raw IS NOT NULL THEN CASE WHEN title = '' THEN raw ELSE title END END AS core_title, year,
+  CASE WHEN place IS NOT NULL THEN {_NUMBER_SQL.format("parts[3 * place]")} END AS episode,
+  CASE WHEN raw IS NOT NULL THEN array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(spaced, '(^|{_EDGE})(?i:{w})({_EDGE}|$)') THEN '{w}' END" for w in FLAG_WORDS)}], lambda x: x IS NOT NULL), '|') END AS flags,
+  CASE WHEN raw IS NOT NULL THEN 'fallback' END AS source
+FROM f
+"""
 
-@query()
+
+@query(TITLES_SQL)
 def title_normalize(spark: SparkSession, folder: str) -> DataFrame:
     files = table(spark, folder, "files", "ord", "raw_name").withColumn("name", normalized_name("raw_name"))
     return files.select("ord", "name.core_title", "name.year", "name.episode", F.array_join("name.flags", "|").alias("flags"), "name.source")
 
 
-@query()
+@query(rf"""
+WITH b AS (SELECT ord, raw_name AS raw, coalesce(trim(string_split(path, '/')[-2], ' '), '') AS folder,
+  {_words_sql(_words_sql(f"regexp_replace(raw_name, '{BRACKETED}', ' ', 'g')", QUALITY_WORDS), GENERIC_WORDS)} AS rest FROM files)
+SELECT ord, CASE WHEN regexp_matches(regexp_replace(rest, '\p{{Nd}}+|[^\p{{L}}\p{{N}}_]+', ' ', 'g'), '^[ _]*$') AND folder <> '' THEN folder || ' - ' || raw ELSE raw END AS name
+FROM b
+""")
 def contextual_names(spark: SparkSession, folder: str) -> DataFrame:
     files = table(spark, folder, "files", "ord", "raw_name", "path")
     return files.select("ord", contextual_name(F.col("raw_name"), F.col("path")).alias("name"))
@@ -606,7 +669,16 @@ def category_counts(spark: SparkSession, folder: str) -> DataFrame:
     return review.category_counts(_items(spark, folder))
 
 
-@query()
+@query(OVERLAP_SQL + f""",
+same_hash AS (SELECT full_hash, count(*) AS n, string_agg(path, '|' ORDER BY path) AS paths FROM files WHERE full_hash IS NOT NULL GROUP BY full_hash HAVING count(*) > 1),
+hinted AS (SELECT 'name:' || title || '|' || coalesce(year::VARCHAR, 'None') || '|' || coalesce(episode::VARCHAR, 'None') AS key, arg_min(core_title, ord) AS title
+  FROM (SELECT f.ord, n.core_title, lower(trim(n.core_title, ' ')) AS title, n.year, n.episode FROM files f JOIN name_cache n ON n.raw_name = f.raw_name WHERE f.path NOT IN ({CONFIRMED_SQL})) AS x
+  WHERE title <> '' GROUP BY x.title, year, episode HAVING count(*) > 1)
+SELECT 'exact' AS category, paths, 100.0::DOUBLE AS confidence, full_hash AS evidence FROM same_hash
+UNION ALL SELECT level, least("left", "right") || '|' || greatest("left", "right"), similarity, level FROM (SELECT DISTINCT * FROM ({ACCEPTED_SQL})) WHERE level IN ('video', 'image', 'audio')
+UNION ALL SELECT 'folder', "left" || '|' || "right", greatest(content_similarity, name_similarity), 'clusters in common' FROM pairs WHERE content_similarity >= 1 OR name_similarity >= 1
+UNION ALL SELECT 'name', key, 100.0, title FROM hinted
+""")
 def review_items(spark: SparkSession, folder: str) -> DataFrame:
     return _items(spark, folder)
 
@@ -639,7 +711,11 @@ def encode_savings(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("operation_id", saved.alias("saved_bytes"), percent.alias("savings_percent"))
 
 
-@query()
+@query("""
+SELECT ord, CASE WHEN size >= 1099511627776 THEN printf('%.1f', size / 1099511627776.0::DOUBLE) || ' TiB' WHEN size >= 1073741824 THEN printf('%.1f', size / 1073741824.0::DOUBLE) || ' GiB' WHEN size >= 1048576 THEN printf('%.1f', size / 1048576.0::DOUBLE) || ' MiB' WHEN size >= 1024 THEN printf('%.1f', size / 1024.0::DOUBLE) || ' KiB' ELSE size || ' B' END AS size,
+  CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) WHEN s IS NOT NULL THEN printf('%d:%02d', s // 60, s % 60) END AS length
+FROM (SELECT ord, size, CASE WHEN duration::VARCHAR <> 'nan' THEN greatest(0, round_even(duration, 0))::BIGINT END AS s FROM files)
+""")
 def shown_sizes(spark: SparkSession, folder: str) -> DataFrame:
     files = table(spark, folder, "files", "ord", "size", "duration")
     return files.select("ord", media.human_size(F.col("size")).alias("size"), media.clock(F.col("duration")).alias("length"))
