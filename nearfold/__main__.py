@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Cancelled, Engine, html_report, json_report
-from .functions.hashing import full_hash
+from .functions.hashing import full_digest, partial_digest
 from .operators.exact import collided
 from .operators.store import cleared, counts_by, hydrated, statistics, upserted
 from .options import Options, load
@@ -45,10 +45,10 @@ def parsed(arguments: list[str]) -> tuple[str | None, dict]:
 def scanned(spark: SparkSession, options: Options) -> DataFrame:
     """The files of the folders with what the store knows of them; new media are decoded where ffmpeg is there."""
     files = scan(spark, options.folders, options.extensions)
-    problems = files.where("error is not null").select("path", "root", "error").limit(20).collect()
-    for row in problems:
+    files = stage(files, "scanned")
+    for row in files.where("error is not null").select("path", "root", "error").toLocalIterator():
         LOG.warning("%s: %s", row.path or row.root, row.error)
-    files = stage(files.where("error is null").drop("error"), "listing")
+    files = files.where("error is null").drop("error")
     stored = read_store(spark, options.cache)
     if stored is not None:
         for kind in ("hashes", "video", "images", "audio"):
@@ -72,19 +72,30 @@ def scanned(spark: SparkSession, options: Options) -> DataFrame:
 
 
 def with_hashes(files: DataFrame) -> DataFrame:
-    """Full hashes of files that share their size; only those are read, and only where none is stored."""
-    asked = collided(files, "size").where("full_hash is null").select("path")
+    """Full hashes of files that share their size and then their partial hash; only those are read whole, in pieces."""
+    sized = collided(files, "size").where("full_hash is null").select("path", "size")
+    partial = stage(sized.mapInPandas(digested(partial_digest), "path string, size long, digest string"), "partial-hashes")
+    # a file whose hash is stored may have the content of any other of its size
+    known = files.where("full_hash is not null").select("size").distinct()
+    asked = collided(partial, "size", "digest").select("path", "size").union(partial.join(known, "size", "left_semi").select("path", "size")).distinct()
+    hashed = asked.mapInPandas(digested(full_digest), "path string, size long, digest string").select("path", F.col("digest").alias("computed"))
+    return files.join(hashed, "path", "left").withColumn("full_hash", F.coalesce("full_hash", "computed")).drop("computed")
+
 
-    def contents(batches):
+def digested(digest):
+    """Batches of (path, size) to (path, size, digest), read in the task; files that cannot be read are left out."""
+
+    def run(batches):
         for batch in batches:
-            for path in batch["path"]:
+            rows = []
+            for path, size in zip(batch["path"], batch["size"]):
                 try:
-                    yield pd.DataFrame({"path": [path], "content": [Path(path).read_bytes()]})
-                except OSError:
-                    continue
+                    rows.append((path, size, digest(path)))
+                except OSError as error:
+                    LOG.warning("%s: %s", path, error)
+            yield pd.DataFrame(rows, columns=["path", "size", "digest"])
 
-    hashed = asked.mapInPandas(contents, "path string, content binary").select("path", full_hash(F.col("content")).alias("computed"))
-    return files.join(hashed, "path", "left").withColumn("full_hash", F.coalesce("full_hash", "computed")).drop("computed")
+    return run
 
 
 def main(arguments: list[str] | None = None) -> int:

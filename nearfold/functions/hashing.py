@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +33,25 @@ def partial_hash(content: Column) -> Column:
         lambda so_far, start: F.concat(so_far, F.substring(content, (start + 1).cast("int"), F.lit(WINDOW))),
     )
     return F.sha2(joined, 256)
+
+
+def full_digest(path: str, piece: int = 1 << 20) -> str:
+    """``full_hash`` of a file, read a piece at a time."""
+    digest = hashlib.new(ALGORITHM)
+    with open(path, "rb") as file:
+        while part := file.read(piece):
+            digest.update(part)
+    return digest.hexdigest()
+
+
+def partial_digest(path: str) -> str:
+    """``partial_hash`` of a file, of which only the windows are read."""
+    with open(path, "rb") as file:
+        size = os.fstat(file.fileno()).st_size
+        last = size - WINDOW
+        starts = [0] if last <= 0 else sorted({0, last, *(max(0, min(int(size * f), last)) for f in (1 / 3, 1 / 2, 2 / 3))})
+        digest = hashlib.new(ALGORITHM, str(size).encode())
+        for start in starts:
+            file.seek(start)
+            digest.update(file.read(WINDOW))
+    return digest.hexdigest()

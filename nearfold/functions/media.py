@@ -100,12 +100,23 @@ def savings(before: Column, after: Column) -> tuple[Column, Column]:
     return saved, F.when(before > 0, F.lit(100.0) * saved / before).otherwise(F.lit(0.0))
 
 
-def progress(block: Column) -> Column:
-    """``struct<seconds, percent>`` inputs of a key=value progress block: seconds encoded so far, by clock or microseconds."""
+def progress(block: Column, duration: Column) -> Column:
+    """``struct<seconds, percent, fps, speed, message>`` of a key=value progress block; percent of ``duration`` within 0 to 100."""
+    pairs = F.str_to_map(block, F.lit("\n"), F.lit("="))
+    seconds = F.coalesce(progress_seconds(block), F.lit(0.0))
+    percent = F.when(duration > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.lit(100.0) * seconds / duration))).otherwise(F.lit(0.0))
+    return F.struct(
+        seconds.alias("seconds"), percent.alias("percent"), pairs["fps"].try_cast("double").alias("fps"), pairs["speed"].alias("speed"),
+        F.coalesce(pairs["progress"], F.lit("")).alias("message"),
+    )
+
+
+def progress_seconds(block: Column) -> Column:
+    """Seconds encoded so far of a progress block, by its clock or else its microseconds; null where it has neither."""
     pairs = F.str_to_map(block, F.lit("\n"), F.lit("="))
     time = F.split(pairs["out_time"], ":")
     by_clock = F.when(F.size(time) == 3, time[0].try_cast("double") * 3600 + time[1].try_cast("double") * 60 + time[2].try_cast("double"))
-    return F.coalesce(by_clock, pairs["out_time_us"].try_cast("double") / 1e6, pairs["out_time_ms"].try_cast("double") / 1e6)
+    return F.coalesce(F.when(by_clock > 0, by_clock), pairs["out_time_us"].try_cast("double") / 1e6, pairs["out_time_ms"].try_cast("double") / 1e6)
 
 
 def cosine_table(size: int, kept: int) -> np.ndarray:

@@ -66,6 +66,19 @@ def preset_id(prefix: Column, arguments: Column) -> Column:
     return F.concat(prefix, F.lit("-"), F.substring(F.sha1(F.array_join(arguments, "\0")), 1, 8))
 
 
+# What a custom preset may name.
+ENCODERS, PIXEL_FORMATS, QUALITY = ("libx265", "av1_nvenc", "hevc_nvenc"), ("yuv420p", "yuv420p10le"), (0, 51)
+
+
+def preset_problem(encoder: Column, quality: Column, pixel_format: Column) -> Column:
+    """What keeps a custom preset from being used: 'encoder', 'quality' or 'pixel format'; null where nothing does."""
+    return (
+        F.when(~F.coalesce(encoder.isin(*ENCODERS), F.lit(False)), "encoder")
+        .when(~F.coalesce(quality.between(*QUALITY), F.lit(False)), "quality")
+        .when(~F.coalesce(pixel_format.isin(*PIXEL_FORMATS), F.lit(False)), "pixel format")
+    )
+
+
 def quarantine_path(base: Column, root: Column, path: Column) -> Column:
     """Where a file is put aside: the root's name and a short hash of it, then the path below the root."""
     name = F.concat(file_name(root), F.lit("-"), F.substring(F.sha2(F.lower(root), 256), 1, 8))

@@ -87,3 +87,8 @@ def matched_clusters(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
     b = sizes.select(F.col("root").alias("right"), "cluster_id", F.col("files").alias("right_files"))
     both = pairs.select("left", "right").join(a, "left").join(b, ["right", "cluster_id"])
     return both.select("left", "right", "cluster_id", "level", (~F.col("level").isin("name", "path")).alias("content_backed"), "left_files", "right_files")
+
+
+def folders_in_order(pairs: DataFrame) -> DataFrame:
+    """Folder pairs as a report lists them: the most alike first, by content, then by names."""
+    return pairs.orderBy(F.desc("content_similarity"), F.desc("name_similarity"), "left", "right")

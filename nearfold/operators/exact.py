@@ -25,11 +25,23 @@ def hashed_contents(contents: DataFrame, content: str = "content", size: str = "
 def exact_groups(files: DataFrame) -> DataFrame:
     """``hash_value, size, copies, paths, similarity``: groups of two or more files of one full hash.
 
-    ``size`` is that of the file first in ``ord``; ``paths`` are sorted. Files without a hash are in no group.
+    Where ``files`` names the algorithm (full_hash_algo) digests of different ones are not compared.
+    ``size`` is that of the file first in ``ord``; ``paths`` are sorted. Files without a hash are in no
+    group. A group's paths are one value; ``exact_members`` gives them a row each.
     """
     hashed = files.where("full_hash is not null")
+    algorithm = ["full_hash_algo"] if "full_hash_algo" in files.columns else []
     return (
-        hashed.groupBy(F.col("full_hash").alias("hash_value"))
+        hashed.groupBy(F.col("full_hash").alias("hash_value"), *algorithm)
         .agg(F.min_by("size", "ord").alias("size"), F.count("*").alias("copies"), F.array_sort(F.collect_list("path")).alias("paths"))
-        .where("copies > 1").withColumn("similarity", F.lit(100.0))
+        .where("copies > 1").drop("full_hash_algo").withColumn("similarity", F.lit(100.0))
     )
+
+
+def exact_members(files: DataFrame) -> DataFrame:
+    """``hash_value, path, first_path, copies``: a row per file of a group, however many the group has."""
+    algorithm = F.coalesce("full_hash_algo", F.lit("")) if "full_hash_algo" in files.columns else F.lit("")
+    hashed = files.where("full_hash is not null").select(F.col("full_hash").alias("hash_value"), algorithm.alias("algorithm"), "path")
+    keys = ["hash_value", "algorithm"]
+    groups = hashed.groupBy(*keys).agg(F.min("path").alias("first_path"), F.count("*").alias("copies")).where("copies > 1")
+    return hashed.join(groups, keys).select("hash_value", "path", "first_path", "copies")

@@ -39,6 +39,40 @@ def latest_undoable(batches: DataFrame, moves: DataFrame) -> DataFrame:
     return undoable_batches(batches, moves).limit(1)
 
 
+#: Columns that a requested operation is logged with, and those that its outcome changes.
+REQUESTED = ("operation_id", "action", "source", "destination", "requested_at")
+
+
+def requested(operations: DataFrame, logged_at: Column) -> DataFrame:
+    """Journal rows for operations that are about to be done; written before anything is touched."""
+    missing = [c for c in REQUESTED if c not in operations.columns]
+    if missing:
+        raise ValueError(f"operations lack {', '.join(missing)}")
+    rows = operations.drop("status", "finished_at", "logged_at")
+    return rows.withColumns({"status": F.lit("requested"), "finished_at": F.lit(None).cast("double"), "logged_at": logged_at})
+
+
+def outcomes(journal: DataFrame, results: DataFrame, logged_at: Column) -> DataFrame:
+    """Journal rows that end operations: what was last logged of each, with the status, time and message of ``results``.
+
+    ``results`` has operation_id, status, finished_at, message; results of operations never requested are dropped.
+    """
+    told = results.select("operation_id", F.col("status").alias("s"), F.col("finished_at").alias("f"), F.col("message").alias("m")).dropDuplicates(["operation_id"])
+    rows = latest(journal).join(told, "operation_id")
+    return rows.withColumns({"status": F.col("s"), "finished_at": F.col("f"), "message": F.col("m"), "logged_at": logged_at}).select(*journal.columns)
+
+
+def appended(rows: DataFrame, path: str) -> None:
+    """Add rows to the journal kept in ``path``; earlier rows are never changed."""
+    rows.write.mode("append").parquet(path)
+
+
+def undo_order(moves: DataFrame, batch: str, *order: str) -> DataFrame:
+    """Completed moves of each batch with ``undo``, the place at which each is undone: the last one first, from 0."""
+    done = sequenced(moves, batch, *order).where("status = 'completed'")
+    return done.withColumn("undo", F.row_number().over(Window.partitionBy(batch).orderBy(F.desc("sequence"))) - 1)
+
+
 def sequenced(moves: DataFrame, batch: str, *order: str) -> DataFrame:
     """``moves`` with ``sequence``, their place in the batch from 0; undoing goes through it backwards."""
     return moves.withColumn("sequence", F.row_number().over(Window.partitionBy(batch).orderBy(*order)) - 1)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from ..runtime import slots
 
 IMAGE_THRESHOLD, VIDEO_THRESHOLD, AUDIO_THRESHOLD = 90.0, 85.0, 94.0
 AUDIO_SECONDS = 3.0
+#: Bits up to which words of audio tracks are looked up by masks; beyond, tracks of about one duration are all compared.
+AUDIO_KEYED = 3
 #: Scores worth a second look by realignment, and the durations between which it may help.
 RECHECK_FROM, RECHECK_MIN_DELTA, RECHECK_MAX_DELTA = 65.0, 0.05, 180.0
 
@@ -40,11 +44,40 @@ def sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sides_of(df, df)
 
 
-def block_widths(bits: int, distance: int) -> list[tuple[int, int]]:
-    """Starts and widths of ``distance + 1`` blocks, the wider first: words that close agree on one of them."""
-    blocks = min(bits, distance + 1)
-    widths = [bits // blocks + (i < bits % blocks) for i in range(blocks)]
-    return [(bits - sum(widths[: i + 1]), w) for i, w in enumerate(widths)]
+#: Most keys that a word is given: so many rows it becomes.
+MOST_KEYS = 200
+
+
+def kept_bits(bits: int, distance: int, words: int) -> list[int]:
+    """Masks of which one leaves out all differing bits of two words within ``distance``: all choices of k of k + distance runs of bits.
+
+    ``k`` weighs the rows that words become against the pairs that agree on a mask by chance.
+    """
+
+    def masks(k: int) -> list[int]:
+        cuts = np.linspace(0, bits, k + distance + 1).round().astype(int).tolist()
+        runs = [(1 << high) - (1 << low) for low, high in zip(cuts, cuts[1:])]
+        return [sum(some) for some in combinations(runs, k)]
+
+    def cost(k: int) -> float:
+        return comb(k + distance, k) * words * (1 + words / 2 ** (bits * k / (k + distance)))
+
+    known = [k for k in range(1, 7) if k + distance <= bits and comb(k + distance, k) <= MOST_KEYS]
+    best = min(known, key=cost, default=None)
+    return [0] if best is None or cost(best) > words * (1 + words) else masks(best)
+
+
+def masked_keys(word: Column, masks: list[int]) -> Column:
+    """One (mask, bits kept) per mask; words of no mask in common differ in more bits than the masks allow."""
+    return F.array(*(F.struct(F.lit(i).alias("i"), word.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("v")) for i, m in enumerate(masks)))
+
+
+def near_pairs(rows: DataFrame, word: Column, masks: list[int]) -> DataFrame:
+    """``ord_a, ord_b`` (``ord_a < ord_b``), distinct: rows that agree on a mask; only ids and keys are joined."""
+    keyed = rows.select("ord", F.explode(masked_keys(word, masks)).alias("key")).select("ord", "key.i", "key.v").distinct()
+    a, b = sides(keyed)
+    same = (F.col("i_a") == F.col("i_b")) & (F.col("v_a") == F.col("v_b")) & (F.col("ord_a") < F.col("ord_b"))
+    return a.join(b, same).select("ord_a", "ord_b").distinct()
 
 
 def structure_distance(threshold: float) -> int:
@@ -58,18 +91,17 @@ def image_matches(files: DataFrame, threshold: float = IMAGE_THRESHOLD) -> DataF
     distance = structure_distance(threshold)
     if threshold > 100:
         return images.where("false").selectExpr("ord as ord_a", "ord as ord_b", "0.0D as similarity")
-    if threshold <= 20 or distance >= 16:  # blocks of under four bits prune nothing
-        blocks = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("v")))
-    else:
-        blocks = F.array(*(
-            F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.col("words")[0], start).bitwiseAND(F.lit((1 << width) - 1)).alias("v"))
-            for i, (start, width) in enumerate(block_widths(64, distance))
-        ))
-    blocked = images.select("*", F.explode(blocks).alias("block"))
-    a, b = sides(blocked)
-    pairs = a.join(b, (F.col("block_a.i") == F.col("block_b.i")) & (F.col("block_a.v") == F.col("block_b.v")) & (F.col("ord_a") < F.col("ord_b")) & differs("full_hash_a", "full_hash_b"))
+    # equal images are one row while candidates are sought
+    kinds = images.groupBy("words").agg(F.min("ord").alias("ord"))
+    masks = [0] if threshold <= 20 else kept_bits(64, distance, kinds.count())
+    a, b = kinds.toDF("words_a", "ord_a"), kinds.toDF("words_b", "ord_b")
+    pairs = near_pairs(kinds, F.col("words")[0], masks).join(a, "ord_a").join(b, "ord_b")
     score = image_similarity(F.col("words_a"), F.col("words_b"))
-    return pairs.select("ord_a", "ord_b", score.alias("similarity")).where(F.col("similarity") >= threshold).distinct()
+    scored = pairs.select("words_a", "words_b", score.alias("similarity")).where(F.col("similarity") >= threshold)
+    scored = scored.union(kinds.select("words", "words", F.lit(100.0)))
+    a, b = sides(images)
+    found = scored.join(a, "words_a").join(b, "words_b").where(differs("full_hash_a", "full_hash_b") & ((F.col("words_a") != F.col("words_b")) | (F.col("ord_a") < F.col("ord_b"))))
+    return found.select(F.least("ord_a", "ord_b").alias("ord_a"), F.greatest("ord_a", "ord_b").alias("ord_b"), "similarity")
 
 
 def banded(left: DataFrame, right: DataFrame, band: Column, exact: Column, salts: int = 1) -> DataFrame:
@@ -89,7 +121,13 @@ def audio_matches(files: DataFrame, threshold: float = AUDIO_THRESHOLD, seconds:
     tracks = files.where("size(audio_fingerprint) > 0 and duration is not null and not isnan(duration)")
     tracks = tracks.select("ord", "full_hash", "duration", F.col("audio_fingerprint").alias("words"))
     near = (F.abs(F.col("duration_a") - F.col("duration_b")) <= seconds) & (F.col("ord_a") < F.col("ord_b")) & differs("full_hash_a", "full_hash_b")
-    pairs = banded(tracks, tracks, F.floor(F.col("duration") / seconds), near)
+    distance = int(np.floor(32 * (1 - threshold / 100.0) + 1e-9))
+    if 0 <= distance <= AUDIO_KEYED:  # some words of alike tracks are that near: they lead to the pairs
+        words = tracks.select("ord", F.explode(F.array_distinct("words")).alias("word"))
+        a, b = sides(tracks)
+        pairs = near_pairs(words, F.col("word"), kept_bits(32, distance, words.count())).join(a, "ord_a").join(b, "ord_b").where(near)
+    else:
+        pairs = banded(tracks, tracks, F.floor(F.col("duration") / seconds), near)
     score = audio_similarity(F.col("words_a"), F.col("words_b"))
     return pairs.select("ord_a", "ord_b", score.alias("similarity")).where(F.col("similarity") >= threshold)
 
@@ -104,9 +142,13 @@ def videos(files: DataFrame) -> DataFrame:
     return usable.select("ord", "full_hash", "duration", F.col("fingerprint").alias("words"))
 
 
-def video_candidates(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs of a query video and any other video of compatible duration, byte-identical ones left out."""
-    exact = durations_compatible(F.col("duration_a"), F.col("duration_b")) & (F.col("ord_a") != F.col("ord_b")) & differs("full_hash_a", "full_hash_b")
+def video_candidates(queries: DataFrame, rows: DataFrame, *, once: bool = False) -> DataFrame:
+    """Pairs of a query video and any other video of compatible duration, byte-identical ones left out.
+
+    ``once`` is for a table against itself: of a pair only the side with the smaller ord is the query.
+    """
+    order = F.col("ord_a") < F.col("ord_b") if once else F.col("ord_a") != F.col("ord_b")
+    exact = durations_compatible(F.col("duration_a"), F.col("duration_b")) & order & differs("full_hash_a", "full_hash_b")
     # there are only some ten bands of videos, and most videos are in one of them
     return banded(queries, rows, video_band(F.col("duration")), exact, slots(rows.sparkSession))
 
@@ -128,12 +170,12 @@ def scored_from(least: float):
     return run
 
 
-def video_matches(queries: DataFrame, rows: DataFrame, threshold: float = VIDEO_THRESHOLD, *, recheck: bool = False) -> DataFrame:
+def video_matches(queries: DataFrame, rows: DataFrame, threshold: float = VIDEO_THRESHOLD, *, recheck: bool = False, once: bool = False) -> DataFrame:
     """``ord_a, ord_b, delta, similarity`` of query videos (``ord_a``) and alike videos.
 
     With ``recheck`` pairs that a realignment could still lift over the threshold stay in, marked ``recheck``.
     """
-    pairs = video_candidates(queries, rows)
+    pairs = video_candidates(queries, rows, once=once)
     least = min(RECHECK_FROM, threshold) if recheck else threshold
     pairs = pairs.select("ord_a", "ord_b", F.abs(F.col("duration_a") - F.col("duration_b")).alias("delta"), "words_a", "words_b")
     found = pairs.mapInArrow(scored_from(least), "ord_a long, ord_b long, delta double, similarity double")
@@ -162,3 +204,8 @@ def realigned(pairs: DataFrame, files: DataFrame, refingerprint, threshold: floa
     scores = asked.join(frames, ["path", "span", "offset"]).groupBy("ord_a", "ord_b").agg(F.max(sequence_similarity(F.col("short"), F.col("words"))).alias("other"))
     best = pairs.join(scores, ["ord_a", "ord_b"], "left").withColumn("similarity", F.greatest("similarity", F.coalesce("other", F.lit(0.0)))).drop("other", "recheck")
     return best.where(F.col("similarity") >= threshold)
+
+
+def in_order(matches: DataFrame) -> DataFrame:
+    """Matches (left, right, similarity) as a report lists them: the most alike first, by the score of two decimals."""
+    return matches.orderBy(F.desc(F.round("similarity", 2)), "left", "right")

@@ -81,21 +81,22 @@ def asked_of_model(asked: DataFrame, client: Callable[[list[tuple[int, str]], bo
 
 
 def coerced(replies: DataFrame, asked: DataFrame) -> DataFrame:
-    """``id, name, core_title, year, episode, source`` from model replies, one row per name asked.
+    """``id, name, core_title, year, episode, flags, source`` from model replies, one row per name asked.
 
     ``replies`` has ``batch, reply`` (JSON, possibly wrapped in other text), ``asked`` ``batch, id, name``.
     Unknown ids are dropped, years and episodes that are no integers are null, and names without a
     usable result are normalised by rule.
     """
-    rows = "array<struct<id: int, core_title: string, year: string, episode: string>>"
+    rows = "array<struct<id: int, core_title: string, year: string, episode: string, flags: array<string>>>"
     results = replies.select("batch", F.explode(F.from_json(F.to_json(json_object(F.col("reply"))), f"struct<results: {rows}>")["results"]).alias("r"))
-    results = results.select("batch", F.col("r.id").alias("id"), F.col("r.core_title").alias("title"), _integer(F.col("r.year")).alias("y"), _integer(F.col("r.episode")).alias("e"))
+    results = results.select("batch", F.col("r.id").alias("id"), F.col("r.core_title").alias("title"), _integer(F.col("r.year")).alias("y"), _integer(F.col("r.episode")).alias("e"), F.coalesce("r.flags", F.array().cast("array<string>")).alias("f"))
     results = results.where("trim(title) <> ''").dropDuplicates(["batch", "id"])
     rule, got = normalized_name("name"), F.col("title").isNotNull()
     joined = asked.join(results, ["batch", "id"], "left")
     return joined.select(
         "batch", "id", "name", F.when(got, F.col("title")).otherwise(rule["core_title"]).alias("core_title"),
         F.when(got, F.col("y")).otherwise(rule["year"]).alias("year"), F.when(got, F.col("e")).otherwise(rule["episode"]).alias("episode"),
+        F.when(got, F.transform(F.array_compact("f"), F.lower)).otherwise(rule["flags"]).alias("flags"),
         F.when(got, F.lit("model")).otherwise(F.lit("fallback")).alias("source"),
     )
 
@@ -172,3 +173,8 @@ def all_hints(titled: DataFrame, confirmed: DataFrame, threshold: float = 92.0)
         F.concat(one, F.lit(" / "), two).alias("title"), "year", "episode", F.size(paths).cast("long").alias("files"), paths.alias("paths"),
     )
     return equal.union(alike)
+
+
+def hints_in_order(hints: DataFrame) -> DataFrame:
+    """Hints as a report lists them: the surest first, then by title and key."""
+    return hints.orderBy(F.desc("similarity"), "title", "key")

@@ -45,9 +45,17 @@ def move_plan(files: DataFrame, mappings: DataFrame, existing: DataFrame) -> Dat
     return plan.join(taken, "destination", "left").join(wanted, "destination").select("source", "destination", "size", "mtime", status.alias("status"))
 
 
+def ready_moves(plan: DataFrame) -> DataFrame:
+    return plan.where(F.col("status") == READY)
+
+
+def conflicts(plan: DataFrame) -> DataFrame:
+    return plan.where(F.col("status") == CONFLICT)
+
+
 def selected_moves(plan: DataFrame, chosen: DataFrame) -> DataFrame:
     """A plan with only the chosen (source, destination) of its ready moves; other rows stay."""
-    ready = plan.where(F.col("status") == READY).join(chosen, ["source", "destination"], "left_semi")
+    ready = ready_moves(plan).join(chosen, ["source", "destination"], "left_semi")
     return plan.where(F.col("status") != READY).unionByName(ready.select(*plan.columns))
 
 

@@ -525,12 +525,13 @@ def latest_decision(spark: SparkSession, folder: str) -> DataFrame:
 
 
 BATCHES_SQL = f"""o AS {LATEST_SQL},
-moves AS (SELECT *, coalesce(group_id, 'none') AS batch_id FROM o WHERE action = 'move'),
+moves AS (SELECT *, coalesce(group_id, 'single:' || operation_id) AS batch_id FROM o WHERE action = 'move'),
 batches AS (SELECT batch_id, min(requested_at) AS created_at, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'requested') THEN 'running' WHEN bool_and(status = 'skipped') THEN 'rolled back' ELSE 'completed' END AS status FROM moves GROUP BY 1)"""
 
 
 def _batches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    moves = _operations(spark, folder).where("action = 'move'").withColumn("batch_id", F.coalesce("group_id", F.lit("none")))
+    # a move of no group is a batch of its own
+    moves = _operations(spark, folder).where("action = 'move'").withColumn("batch_id", F.coalesce("group_id", F.concat(F.lit("single:"), "operation_id")))
     has = lambda s: F.max(F.col("status") == s)
     status = F.when(has("failed"), "failed").when(has("requested"), "running").when(F.min(F.col("status") == "skipped"), "rolled back").otherwise("completed")
     return moves.groupBy("batch_id").agg(F.min("requested_at").alias("created_at"), status.alias("status")), moves
@@ -721,6 +722,77 @@ def shown_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("ord", media.human_size(F.col("size")).alias("size"), media.clock(F.col("duration")).alias("length"))
 
 
+# The order of reports: their first rows, numbered
+
+TOP = 100
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The first TOP rows of an ordered table with their place from 1."""
+    names = rows.columns
+    return rows.limit(TOP).agg(F.collect_list(F.struct("*")).alias("r")).select(F.posexplode("r").alias("nth", "r")).select(F.expr("cast(nth + 1 as bigint)").alias("nth"), *(f"r.`{c}`" for c in names))
+
+
+@query(f"""
+SELECT row_number() OVER (ORDER BY round(similarity, 2) DESC, "left", "right") AS nth, "left", "right", level
+FROM (SELECT "left", "right", level, max(similarity) AS similarity FROM ({ACCEPTED_SQL}) GROUP BY ALL) ORDER BY nth LIMIT {TOP}
+""")
+def match_order(spark: SparkSession, folder: str) -> DataFrame:
+    best = _accepted(spark, folder).groupBy("left", "right", "level").agg(F.max("similarity").alias("similarity"))
+    return _numbered(matching.in_order(best).select("left", "right", "level"))
+
+
+@query(SQL["name_hints_exact"].replace("SELECT 'name:'", f"SELECT row_number() OVER (ORDER BY similarity DESC, title, key) AS nth, key FROM (SELECT 'name:'") + f") ORDER BY nth LIMIT {TOP}")
+def hint_order(spark: SparkSession, folder: str) -> DataFrame:
+    return _numbered(naming.hints_in_order(name_hints_exact(spark, folder)).select("key"))
+
+
+@query(OVERLAP_SQL + f"""
+SELECT row_number() OVER (ORDER BY content_similarity DESC, name_similarity DESC, "left", "right") AS nth, "left", "right" FROM pairs
+WHERE content_similarity >= 1 OR name_similarity >= 1 ORDER BY nth LIMIT {TOP}
+""")
+def folder_order(spark: SparkSession, folder: str) -> DataFrame:
+    return _numbered(clusters.folders_in_order(folder_overlap(spark, folder)).select("left", "right"))
+
+
+@query(f"""
+WITH {BATCHES_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY requested_at, operation_id) AS n FROM moves)
+SELECT batch_id, operation_id, row_number() OVER (PARTITION BY batch_id ORDER BY n DESC) - 1 AS undo FROM s WHERE status = 'completed'
+""")
+def undo_order(spark: SparkSession, folder: str) -> DataFrame:
+    return journal.undo_order(_batches(spark, folder)[1], "batch_id", "requested_at", "operation_id").select("batch_id", "operation_id", "undo")
+
+
+@query("""
+WITH r AS (SELECT full_hash, path, min(path) OVER (PARTITION BY full_hash) AS first_path, count(*) OVER (PARTITION BY full_hash) AS copies FROM files WHERE full_hash IS NOT NULL)
+SELECT full_hash AS hash_value, path, first_path, copies FROM r WHERE copies > 1
+""")
+def exact_members(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.exact_members(table(spark, folder, "files", "path", "full_hash"))
+
+
+@query("""
+SELECT ord, CASE WHEN ord % 5 = 0 THEN 'encoder' WHEN ord % 60 > 51 THEN 'quality' WHEN ord % 7 = 0 THEN 'pixel format' END AS problem FROM files
+""")
+def preset_checks(spark: SparkSession, folder: str) -> DataFrame:
+    encoder = F.when(F.col("ord") % 5 == 0, "libvpx").otherwise("libx265")
+    pixels = F.when(F.col("ord") % 7 == 0, "rgb24").otherwise("yuv420p")
+    return table(spark, folder, "files", "ord").select("ord", paths.preset_problem(encoder, F.col("ord") % 60, pixels).alias("problem"))
+
+
+@query("""
+SELECT ord, (ord % 4000)::DOUBLE AS seconds, CASE WHEN duration > 0 THEN least(100.0::DOUBLE, 100.0::DOUBLE * (ord % 4000) / duration) ELSE 0.0::DOUBLE END AS percent, 'continue' AS message
+FROM (SELECT ord, CASE WHEN duration::VARCHAR <> 'nan' THEN duration END AS duration FROM files)
+""")
+def progress_reports(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "files", "ord", "duration")
+    seconds = F.col("ord") % 4000
+    clock = F.format_string("%d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60)
+    block = F.concat(F.lit("frame=1\nout_time="), clock, F.lit("\nprogress=continue"))
+    known = F.when(~F.isnan("duration"), F.col("duration"))
+    return files.select("ord", media.progress(block, known).alias("p")).select("ord", "p.seconds", "p.percent", "p.message")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

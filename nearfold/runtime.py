@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
         return given.get()
     folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not local(context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="nearfold-")
         atexit.register(shutil.rmtree, own, True)
         folder = f"file://{own}"
@@ -37,6 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def staged_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
@@ -73,7 +80,7 @@ def slots(spark: SparkSession) -> int:
 def ship_package(spark: SparkSession) -> None:
     """Put this package on the executors' path once per session; local masters share the driver's."""
     context = spark.sparkContext
-    if context.master.startswith("local[") or context.master == "local" or context.applicationId in _SHIPPED:
+    if local(context.master) or context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
     with tempfile.TemporaryDirectory() as folder:

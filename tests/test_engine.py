@@ -2,9 +2,10 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nearfold import options
-from nearfold.engine import Cancelled, Engine, html_report, json_report
+from nearfold.engine import Cancelled, Engine, html_report, json_report, nested_report
 from nearfold.sources import listing, manifest, media
 from nearfold.streaming.arrivals import watch_arrivals
 
@@ -125,3 +126,15 @@ def test_arrivals_stream(spark, make_files, tmp_path):
     watch_arrivals(stream(), stored, found, str(tmp_path / "cp")).awaitTermination()
     assert {(r.path, r.known_path) for r in spark.read.parquet(found).collect()} == {("/2", "/1"), ("/3", "/1")}
     assert spark.read.parquet(stored).count() == 4
+
+
+def test_failure_and_cancelling_are_told_and_the_report_nests(spark, make_files):
+    events = []
+    files = make_files([{"full_hash": "h"}, {"full_hash": "h"}])
+    with pytest.raises(Cancelled):
+        Engine(spark, events.append, cancelled=lambda: True).run(files)
+    with pytest.raises(Exception):
+        Engine(spark, events.append).run(files.withColumn("ord", F.expr("raise_error('broken')").cast("long")))
+    assert [e.kind for e in events] == ["cancelled", "started", "failed"]
+    sections = {r.section: json.loads(r.json) for r in nested_report(Engine(spark).run(files)).collect()}
+    assert len(sections["exact"]) == 1 and sections["video"] == [] and set(sections) == {"exact", "video", "image", "audio", "hints", "folders"}

@@ -155,7 +155,7 @@ def test_media_functions(spark):
     assert rates[0].v == pytest.approx(23.976, abs=1e-3) and [r.v for r in rates[1:]] == [None, 25.0, None, None]
     shown = spark.createDataFrame([(512, 59.4), (1536, 61.0), (5 * 1024**3, 3661.0)], "s long, d double").select(media.human_size(F.col("s")).alias("s"), media.clock(F.col("d")).alias("d")).collect()
     assert [tuple(r) for r in shown] == [("512 B", "0:59"), ("1.5 KiB", "1:01"), ("5.0 GiB", "1:01:01")]
-    done = spark.createDataFrame([("frame=1\nout_time=00:01:02.5\nprogress=continue",), ("out_time_us=2500000",)], "b string").select(media.progress(F.col("b")).alias("s")).collect()
+    done = spark.createDataFrame([("frame=1\nout_time=00:01:02.5\nprogress=continue",), ("out_time_us=2500000",)], "b string").select(media.progress_seconds(F.col("b")).alias("s")).collect()
     assert [r.s for r in done] == [62.5, 2.5]
 
 
@@ -175,3 +175,25 @@ def test_paths(spark):
     assert [r.d for r in same.select(paths.suggested_destination(F.col("r"), F.col("t")).alias("d")).collect()] == [".", ".", "Other", "."]
     aside = spark.createDataFrame([("/root/A", "/root/A/x/y.mkv")], "r string, p string").select(paths.quarantine_path(F.lit("/q"), F.col("r"), F.col("p")).alias("a"), paths.numbered(F.col("p"), F.lit(2)).alias("n")).first()
     assert aside.a.startswith("/q/A-") and aside.a.endswith("/x/y.mkv") and aside.n == "/root/A/x/y (2).mkv"
+
+
+def test_digests_of_files_are_those_of_contents(spark, tmp_path):
+    from nearfold.functions.hashing import full_digest, full_hash, partial_digest, partial_hash
+
+    for size in (0, 1, 65536, 65537, 200_001, 1_100_000):
+        content = bytes(i * 7 % 251 for i in range(size))
+        path = tmp_path / str(size)
+        path.write_bytes(content)
+        row = spark.createDataFrame([(bytearray(content),)], "c binary").select(full_hash(F.col("c")).alias("f"), partial_hash(F.col("c")).alias("p")).first()
+        assert (full_digest(str(path)), partial_digest(str(path))) == (row.f, row.p)
+
+
+def test_progress_is_within_its_bounds(spark):
+    blocks = [("out_time=00:00:30\nfps=25.5\nspeed=2x\nprogress=continue", 60.0), ("out_time_us=90000000\nprogress=end", 60.0), ("frame=1", 0.0), ("out_time=x", None)]
+    rows = spark.createDataFrame(blocks, "b string, d double").select(media.progress(F.col("b"), F.col("d")).alias("p")).select("p.*").collect()
+    assert [tuple(r) for r in rows] == [(30.0, 50.0, 25.5, "2x", "continue"), (90.0, 100.0, None, None, "end"), (0.0, 0.0, None, None, ""), (0.0, 0.0, None, None, "")]
+
+
+def test_sizes_and_lengths_round_halves_to_even(spark):
+    shown = spark.createDataFrame([(1280, 2.5), (1792, 3.5), (5, -1.0), (1024**3, None)], "s long, d double").select(media.human_size(F.col("s")).alias("s"), media.clock(F.col("d")).alias("d"))
+    assert [tuple(r) for r in shown.collect()] == [("1.2 KiB", "0:02"), ("1.8 KiB", "0:04"), ("5 B", "0:00"), ("1.0 GiB", None)]

@@ -208,3 +208,35 @@ def test_review(spark):
 def test_fuzzy_hints_of_titles_with_repeated_words(spark):
     keys = spark.createDataFrame([("abcdefghijklm abcdefghijklm", None, None), ("abcdefghijklmn", None, None)], "title string, year int, episode int")
     assert [round(p.similarity) for p in naming.fuzzy_hints(keys, keys).where("left_title < right_title").collect()] == [96]
+
+
+def test_journal_rows_are_requested_and_ended(spark, tmp_path):
+    columns = "operation_id string, action string, source string, destination string, requested_at double, message string"
+    asked = spark.createDataFrame([("a", "move", "/x", "/y", 1.0, ""), ("b", "delete", "/z", None, 2.0, "")], columns)
+    path = f"{tmp_path}/journal"
+    journal.appended(journal.requested(asked, F.timestamp_seconds(F.lit(1))), path)
+    results = spark.createDataFrame([("a", "completed", 5.0, "done"), ("gone", "failed", 6.0, "")], "operation_id string, status string, finished_at double, message string")
+    journal.appended(journal.outcomes(spark.read.parquet(path), results, F.timestamp_seconds(F.lit(2))), path)
+    rows = {r.operation_id: (r.status, r.finished_at, r.message) for r in journal.latest(spark.read.parquet(path)).collect()}
+    assert rows == {"a": ("completed", 5.0, "done"), "b": ("requested", None, "")} and spark.read.parquet(path).count() == 3
+    with pytest.raises(ValueError):
+        journal.requested(asked.drop("source"), F.current_timestamp())
+
+
+def test_exact_groups_keep_algorithms_apart(spark):
+    rows = [(1, "/a", 5, "h", "sha256"), (2, "/b", 5, "h", "blake3"), (3, "/c", 5, "h", "sha256"), (4, "/d", 5, "g", None), (5, "/e", 5, "g", None)]
+    files = spark.createDataFrame(rows, "ord long, path string, size long, full_hash string, full_hash_algo string")
+    assert sorted(r.paths for r in exact.exact_groups(files).collect()) == [["/a", "/c"], ["/d", "/e"]]
+    assert {(r.path, r.first_path, r.copies) for r in exact.exact_members(files).collect()} == {("/a", "/a", 2), ("/c", "/a", 2), ("/d", "/d", 2), ("/e", "/d", 2)}
+
+
+def test_kept_bits_leave_close_words_a_mask():
+    import random
+
+    rng = random.Random(2)
+    for bits, distance in ((64, 8), (32, 1), (32, 3), (64, 20), (64, 63)):
+        for words in (10, 10**6, 10**10):
+            masks = matching.kept_bits(bits, distance, words)
+            for _ in range(200):
+                harm = sum(1 << i for i in rng.sample(range(bits), distance))
+                assert any(not m & harm for m in masks)
