@@ -12,23 +12,33 @@ from ..tables import table
 from .components import connected_groups
 from .fingerprints import alike_pairs
 from .history import refused_rows
-from .layouts import layout_groups
+from .layouts import layout_counts, layout_groups
 from .lookalike import lookalike_pairs
 
 # encoding, packing and abuse are imported where they are used: their libraries take up the driver's memory
 
 
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+def _layouts(spark: SparkSession, folder: str) -> list[DataFrame]:
     names = table(spark, folder, "files", "ord", "raw_name").select(F.col("ord").alias("key"), F.lit("").alias("scope"), F.col("raw_name").alias("name"))
     titles = table(spark, folder, "name_cache", "name_id", "core_title", "year", "episode").select(
         F.col("name_id").alias("key"),
         F.concat_ws("/", F.coalesce(F.col("year").cast("string"), F.lit("-")), F.coalesce(F.col("episode").cast("string"), F.lit("-"))).alias("scope"),
         F.col("core_title").alias("name"),
     )
-    found = [layout_groups(names, looks=True).withColumn("tab", F.lit("files")), layout_groups(titles).withColumn("tab", F.lit("name_cache"))]
+    return [layout_groups(names, looks=True), layout_groups(titles)]
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = [groups.withColumn("tab", F.lit(tab)) for groups, tab in zip(_layouts(spark, folder), ("files", "name_cache"))]
     return found[0].union(found[1]).where("key <> first_key").select("tab", "first_key", F.col("key").alias("copy_key"))
 
 
+def p1_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """``tab, first_key, copies`` of every record that comes in more than one row: itself and its copies."""
+    counts = [layout_counts(groups).select(F.lit(tab).alias("tab"), "first_key", "copies") for groups, tab in zip(_layouts(spark, folder), ("files", "name_cache"))]
+    return counts[0].union(counts[1])
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike_pairs(table(spark, folder, "files", "ord", "raw_name"))
 
@@ -135,7 +145,7 @@ SELECT coalesce(by_hash, by_words) AS seen_ord, ord AS new_ord, CASE WHEN by_has
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found,
+        "p1_found": p1_found, "p1_copies": p1_copies, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found,
         "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
     }
 
