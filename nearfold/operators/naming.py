@@ -94,7 +94,7 @@ def coerced(replies: DataFrame, asked: DataFrame) -> DataFrame:
     rule, got = normalized_name("name"), F.col("title").isNotNull()
     joined = asked.join(results, ["batch", "id"], "left")
     return joined.select(
-        "batch", "id", "name", F.when(got, F.col("title")).otherwise(rule["core_title"]).alias("core_title"),
+        "batch", "id", "name", F.when(got, F.trim("title")).otherwise(rule["core_title"]).alias("core_title"),
         F.when(got, F.col("y")).otherwise(rule["year"]).alias("year"), F.when(got, F.col("e")).otherwise(rule["episode"]).alias("episode"),
         F.when(got, F.transform(F.array_compact("f"), F.lower)).otherwise(rule["flags"]).alias("flags"),
         F.when(got, F.lit("model")).otherwise(F.lit("fallback")).alias("source"),
@@ -126,6 +126,10 @@ def exact_hints(titled: DataFrame, confirmed: DataFrame) -> DataFrame:
     return grouped.select(key.alias("key"), F.lit(100.0).alias("similarity"), F.col("shown").alias("title"), "year", "episode", "files")
 
 
+#: What parts the words of a title, as in the token-set ratio.
+BLANKS = r"(?U)[\s\x1c-\x1f]+"
+
+
 def fuzzy_hints(queries: DataFrame, keys: DataFrame, threshold: float = 92.0) -> DataFrame:
     """``left_title, right_title, year, episode, similarity`` of alike but unequal titles of one year and episode.
 
@@ -136,8 +140,8 @@ def fuzzy_hints(queries: DataFrame, keys: DataFrame, threshold: float = 92.0) ->
     a, b = (x.select("title", "year", "episode").distinct() for x in (queries, keys))
     a, b = a.toDF("left_title", "year_a", "episode_a"), b.toDF("right_title", "year_b", "episode_b")
     same = F.col("year_a").eqNullSafe(F.col("year_b")) & F.col("episode_a").eqNullSafe(F.col("episode_b")) & (F.col("left_title") != F.col("right_title"))
-    la, lb = (F.length(F.array_join(F.array_distinct(F.array_remove(F.split(t, r"\s+"), "")), " ")) for t in ("left_title", "right_title"))
-    share = F.arrays_overlap(F.split("left_title", r"\s+"), F.split("right_title", r"\s+"))
+    la, lb = (F.length(F.array_join(F.array_distinct(F.array_remove(F.split(t, BLANKS), "")), " ")) for t in ("left_title", "right_title"))
+    share = F.arrays_overlap(F.split("left_title", BLANKS), F.split("right_title", BLANKS))
     close = F.least(la, lb) * 2.0 / (la + lb) * 100.0 >= threshold
     pairs = a.join(b, same & (share | close))
     scored = pairs.select("left_title", "right_title", F.col("year_a").alias("year"), F.col("episode_a").alias("episode"), token_set_ratio("left_title", "right_title").alias("similarity"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import media, paths
 from ..functions.hashing import ALGORITHM, full_hash, partial_hash
 from ..functions.names import BRACKETED, FLAG_WORDS, GENERIC_WORDS, NOT_EPISODES, QUALITY_WORDS, contextual_name, normalized_name
+from ..functions.similarity import hamming_similarity, image_similarity
 from ..operators import clusters, evaluation, exact, journal, matching, naming, planning, review, store
 from ..sources.listing import owned_by_first_root
 from ..tables import table
@@ -320,7 +321,32 @@ def name_hints_exact(spark: SparkSession, folder: str) -> DataFrame:
     return naming.exact_hints(_titled(spark, folder), _confirmed(spark, folder))
 
 
-@query()
+def _common_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two texts of up to 120 letters, one bit per letter of ``a``."""
+    masks = f"list_transform(string_split({b}, ''), lambda c: list_sum(list_transform(range(0, len({a})), lambda i: CASE WHEN ({a})[i + 1] = c THEN (1::HUGEINT << i::INT) ELSE 0::HUGEINT END))::HUGEINT)"
+    return f"bit_count(list_reduce([0::HUGEINT] || {masks}, lambda r, m: ((r | m) & ~((r | m) - ((r << 1) | 1::HUGEINT))) & ((1::HUGEINT << len({a})::INT) - 1)))"
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    return f"200.0::DOUBLE * {_common_sql(a, b)} / (len({a}) + len({b}))"
+
+
+FUZZY_SQL = f"""
+WITH k AS (SELECT DISTINCT lower(trim(core_title, ' ')) AS title, year, episode FROM name_cache WHERE trim(core_title, ' ') <> ''),
+w AS (SELECT *, list_sort(list_distinct(list_filter(string_split_regex(title, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+'), lambda x: x <> ''))) AS words FROM k),
+p AS (SELECT a.title AS left_title, b.title AS right_title, a.year, a.episode, list_sort(list_filter(a.words, lambda x: list_contains(b.words, x))) AS shared,
+  list_filter(a.words, lambda x: NOT list_contains(b.words, x)) AS la, list_filter(b.words, lambda x: NOT list_contains(a.words, x)) AS lb
+  FROM w a JOIN w b ON a.title < b.title AND a.year IS NOT DISTINCT FROM b.year AND a.episode IS NOT DISTINCT FROM b.episode
+  WHERE len(a.words) > 0 AND len(b.words) > 0),
+t AS (SELECT *, array_to_string(shared, ' ') AS s, array_to_string(shared || la, ' ') AS x, array_to_string(shared || lb, ' ') AS y FROM p WHERE len(la) > 0 AND len(lb) > 0),
+b AS (SELECT * FROM t WHERE 200.0 * least(len(x), len(y)) / (len(x) + len(y)) >= 92 OR len(s) > 0 AND 200.0 * len(s) / (len(s) + least(len(x), len(y))) >= 92),
+r AS (SELECT left_title, right_title, year, episode, greatest({_ratio_sql("x", "y")},
+  CASE WHEN len(s) > 0 THEN {_ratio_sql("s", "x")} ELSE 0 END, CASE WHEN len(s) > 0 THEN {_ratio_sql("s", "y")} ELSE 0 END) AS similarity FROM b)
+SELECT * FROM r WHERE similarity >= 92 AND similarity < 100
+"""
+
+
+@query(FUZZY_SQL)
 def name_hints_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "name_cache", "name_id", "core_title", "year", "episode")
     keys = naming.name_keys(names)
@@ -793,6 +819,137 @@ def progress_reports(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("ord", media.progress(block, known).alias("p")).select("ord", "p.seconds", "p.percent", "p.message")
 
 
+# Operators that the queries above reach only in part
+
+
+@query("SELECT path, full_hash, NULL::DOUBLE AS duration, NULL::INT AS fingerprint_version FROM files")
+def migrated_store(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "files", "path", "full_hash", "duration", "fingerprint_version")
+    return store.migrated(files.drop("duration", "fingerprint_version"), files.schema)
+
+
+@query("""
+WITH k AS (SELECT full_hash, arg_min(fingerprint, ord) AS kept, min(ord) AS first FROM files WHERE full_hash IS NOT NULL AND fingerprint IS NOT NULL GROUP BY full_hash)
+SELECT f.ord, CASE WHEN len(kept) > 0 AND len(kept) = len(fingerprint) THEN greatest(0.0::DOUBLE, 100.0::DOUBLE * (1.0::DOUBLE -
+  list_sum(list_transform(range(1, len(kept) + 1), lambda i: bit_count(xor(kept[i], fingerprint[i]))))::DOUBLE / (len(kept) * 64))) ELSE 0.0::DOUBLE END AS similarity
+FROM files f JOIN k USING (full_hash) WHERE fingerprint IS NOT NULL AND f.ord <> first
+""")
+def keeper_hamming(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "files", "ord", "full_hash", "fingerprint").where("full_hash is not null and fingerprint is not null")
+    kept = files.groupBy("full_hash").agg(F.min_by("fingerprint", "ord").alias("kept"), F.min("ord").alias("first"))
+    return files.join(kept, "full_hash").where("ord <> first").select("ord", hamming_similarity(F.col("kept"), F.col("fingerprint")).alias("similarity"))
+
+
+@query(f"""
+WITH t AS ({TITLES_SQL.replace("FROM files)", "FROM (SELECT name_id AS ord, raw_name FROM name_cache))")})
+SELECT n.name_id // 150 AS batch, (n.name_id % 150)::INT AS id, CASE WHEN m THEN trim(n.core_title, ' ') ELSE t.core_title END AS core_title, CASE WHEN m THEN n.year ELSE t.year END AS year,
+  CASE WHEN m THEN n.episode ELSE t.episode END AS episode, CASE WHEN m THEN 'dub' ELSE t.flags END AS flags, CASE WHEN m THEN 'model' ELSE 'fallback' END AS source
+FROM (SELECT *, name_id % 3 <> 0 AND trim(core_title, ' ') <> '' IS TRUE AS m FROM name_cache) n JOIN t ON t.ord = n.name_id
+""")
+def model_replies(spark: SparkSession, folder: str) -> DataFrame:
+    names = table(spark, folder, "name_cache", "name_id", "raw_name", "core_title", "year", "episode")
+    asked = names.select(F.floor(F.col("name_id") / 150).alias("batch"), (F.col("name_id") % 150).cast("int").alias("id"), F.col("raw_name").alias("name"), "name_id", "core_title", "year", "episode")
+    told = asked.where("name_id % 3 <> 0 and trim(core_title) <> ''")
+    item = F.struct("id", "core_title", "year", "episode", F.array(F.lit("DUB")).alias("flags"))
+    replies = told.groupBy("batch").agg(F.to_json(F.struct(F.collect_list(item).alias("results"))).alias("json"))
+    wrapped = F.when(F.col("batch") % 2 == 0, F.col("json")).otherwise(F.concat(F.lit("Here it is: "), F.col("json"), F.lit(" Done.")))
+    found = naming.coerced(replies.select("batch", wrapped.alias("reply")), asked.select("batch", "id", "name"))
+    return found.select("batch", "id", "core_title", "year", "episode", F.array_join("flags", "|").alias("flags"), "source")
+
+
+@query("""
+SELECT count(*) AS loaded, count(*) FILTER (ord % 3 = 0) AS checked, coalesce(sum(size) FILTER (ord % 3 = 0), 0)::BIGINT AS bytes
+FROM files WHERE regexp_extract(lower(path), '[^/](\\.[^./]+)$', 1) IN ('.mkv', '.mp4')
+""")
+def compression_totals(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "files", "ord", "path", "size").where(media.suffix(F.col("path")).isin(".mkv", ".mp4"))
+    return review.compression_summary(files.select("path", "size"), files.where("ord % 3 = 0").select("path"))
+
+
+@query(f"""
+WITH d AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM files), n AS (SELECT folder, len(string_split(trim(folder, '/'), '/')) AS depth FROM d)
+SELECT row_number() OVER (ORDER BY depth DESC, folder DESC) AS nth, folder, depth FROM n ORDER BY nth LIMIT {TOP}
+""")
+def emptied_folders(spark: SparkSession, folder: str) -> DataFrame:
+    folders = table(spark, folder, "files", "path").select(paths.parent(F.col("path")).alias("folder")).distinct()
+    return _numbered(planning.deepest_first(folders))
+
+
+@query(f"""
+WITH p AS ({SQL["move_plan"]}), s AS (SELECT * FROM p WHERE status <> 'ready' OR size % 2 = 0)
+SELECT count(*) AS planned, count(*) FILTER (status = 'ready') AS ready, count(*) FILTER (status = 'conflict') AS conflicts FROM s
+""")
+def chosen_moves(spark: SparkSession, folder: str) -> DataFrame:
+    plan = move_plan(spark, folder)
+    chosen = planning.selected_moves(plan, plan.where("size % 2 = 0").select("source", "destination"))
+    parts = {"planned": chosen, "ready": planning.ready_moves(chosen), "conflicts": planning.conflicts(chosen)}
+    counts = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, rows in parts.items()]
+    every = counts[0].union(counts[1]).union(counts[2])
+    return every.agg(*(F.max(F.when(F.col("part") == name, F.col("n"))).alias(name) for name in parts))
+
+
+@query("""
+SELECT ord, array_to_string(list_filter([CASE WHEN abs(duration - (duration + ord % 3)) > greatest(1.0::DOUBLE, duration * 0.005::DOUBLE) THEN 'duration' END,
+  CASE WHEN ord % 4 < 1 THEN 'audio' END, CASE WHEN ord % 5 < 2 THEN 'subtitle' END, CASE WHEN ord % 11 = 0 THEN 'first frame' END], lambda x: x IS NOT NULL), '|') AS problems,
+  size - ord % 2 * 2 + 1 < size AS smaller
+FROM (SELECT ord, size, CASE WHEN duration::VARCHAR <> 'nan' THEN duration END AS duration FROM files)
+""")
+def encoded_checks(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "files", "ord", "size", "duration").withColumn("duration", F.when(~F.isnan("duration"), F.col("duration")))
+    outputs = files.select(
+        "ord", F.col("duration").alias("source_duration"), (F.col("duration") + F.col("ord") % 3).alias("output_duration"),
+        *(F.lit(1).alias(f"{s}_{k}") for s in ("source", "output") for k in ("video", "chapters")), F.lit(1).alias("source_audio"), (F.col("ord") % 4).alias("output_audio"),
+        F.lit(2).alias("source_subtitle"), (F.col("ord") % 5).alias("output_subtitle"), (F.col("ord") % 11 != 0).alias("decodes"),
+        F.col("size").alias("source_size"), (F.col("size") - F.col("ord") % 2 * 2 + 1).alias("output_size"),
+    )
+    return review.output_checks(outputs).select("ord", F.array_join("problems", "|").alias("problems"), "smaller")
+
+
+@query(f"SELECT paths, confidence FROM ({SQL['review_items']}) WHERE category = 'video'")
+def video_items(spark: SparkSession, folder: str) -> DataFrame:
+    return review.filtered(_items(spark, folder), "video").select("paths", "confidence")
+
+
+@query(f"""
+SELECT category, category = 'exact' AS keepable, count(*) AS n FROM ({SQL["review_items"]}) WHERE category IN ('exact', 'video', 'image', 'audio') GROUP BY ALL
+""")
+def changeable_items(spark: SparkSession, folder: str) -> DataFrame:
+    items = _items(spark, folder)
+    keep = journal.eligible_for(items, "keep").select("category").distinct().withColumn("keepable", F.lit(True))
+    counts = journal.eligible_for(items, "recycle").groupBy("category").agg(F.count("*").alias("n"))
+    return counts.join(keep, "category", "left").select("category", F.coalesce("keepable", F.lit(False)).alias("keepable"), "n")
+
+
+@query("""
+WITH i AS (SELECT ord, path, full_hash, CASE WHEN len(image_fingerprint) = 4 THEN image_fingerprint END AS w FROM files WHERE full_hash IS NOT NULL),
+k AS (SELECT full_hash, min(ord) AS first FROM i GROUP BY full_hash),
+p AS (SELECT b.ord, a.w AS aw, b.w AS bw FROM i b JOIN k USING (full_hash) JOIN i a ON a.ord = k.first WHERE b.ord <> k.first)
+SELECT ord::VARCHAR AS name, round(CASE WHEN aw IS NOT NULL AND bw IS NOT NULL THEN 0.8 * (100.0 * (1.0 - bit_count(xor(aw[1], bw[1])) / 64.0::DOUBLE)) + 0.2 * (100.0 * (1.0 -
+  (abs(aw[2] - bw[2]) + abs(aw[3] - bw[3]) + abs(aw[4] - bw[4])) / 765.0::DOUBLE)) ELSE 0.0 END, 2) AS similarity,
+  aw IS NOT NULL AND bw IS NOT NULL AS eligible, CASE WHEN NOT (aw IS NOT NULL AND bw IS NOT NULL) THEN 'no image' END AS note FROM p
+""")
+def image_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "files", "ord", "path", "full_hash", "image_fingerprint").where("full_hash is not null")
+    first = files.groupBy("full_hash").agg(F.min_by("path", "ord").alias("left"), F.min("ord").alias("first"))
+    pairs = files.join(first, "full_hash").where("ord <> first").select(F.col("ord").cast("string").alias("name"), "left", F.col("path").alias("right"), F.lit(True).alias("expected"))
+    prints = files.select("path", F.when(F.size("image_fingerprint") == 4, F.col("image_fingerprint")).alias("words"))
+    left, right = F.col("left_words"), F.col("right_words")
+    found = evaluation.evaluated_pairs(pairs, prints, image_similarity(left, right), left.isNotNull() & right.isNotNull(), "no image")
+    return found.select("name", "similarity", "eligible", "note")
+
+
+@query("""
+WITH d AS (SELECT DISTINCT string_split(path, '/')[-2] AS folder FROM files), t AS (SELECT '[F' || length(folder) || '] ' || folder AS folder FROM d WHERE folder IS NOT NULL UNION SELECT folder FROM d WHERE folder IS NOT NULL),
+p AS (SELECT folder, trim(regexp_replace(folder, '^[\\t-\\r ]*(?i:\\[F[0-9]+\\])[\\t-\\r ]*', ''), ' ') AS plain FROM t),
+v AS (SELECT folder, regexp_replace(trim(CASE WHEN plain = '' THEN folder ELSE plain END, ' '), '[. ]+$', '') AS a, regexp_replace(trim(folder, ' '), '[. ]+$', '') AS b FROM p)
+SELECT folder, CASE WHEN a <> '' AND NOT regexp_matches(a, '[<>:"/\\\\|?*\\x00-\\x1f]') THEN a WHEN b <> '' AND NOT regexp_matches(b, '[<>:"/\\\\|?*\\x00-\\x1f]') THEN b END AS final FROM v
+""")
+def final_names(spark: SparkSession, folder: str) -> DataFrame:
+    names = table(spark, folder, "files", "path").select(F.try_element_at(F.split("path", "/"), F.lit(-2)).alias("folder")).where("folder is not null").distinct()
+    tagged = names.select(F.concat(F.lit("[F"), F.length("folder").cast("string"), F.lit("] "), "folder").alias("folder"))
+    return names.union(tagged).distinct().select("folder", paths.final_name(F.col("folder")).alias("final"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
