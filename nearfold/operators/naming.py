@@ -130,21 +130,39 @@ def exact_hints(titled: DataFrame, confirmed: DataFrame) -> DataFrame:
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
 
+def letters_at_least(text: Column, times: int) -> Column:
+    """64 bits: which of 64 kinds of letters the text has that often. A letter more or less changes one bit of one ``times``."""
+    kinds = F.array_sort(F.transform(F.split(text, ""), lambda c: F.pmod(F.xxhash64(c), F.lit(64)).cast("int")))
+    often = F.filter(kinds, lambda k, i: (i >= times - 1) & (F.get(kinds, i - (times - 1)) == k)) if times > 1 else kinds
+    return F.aggregate(often, F.lit(0).cast("long"), lambda bits, k: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
+
+
 def fuzzy_hints(queries: DataFrame, keys: DataFrame, threshold: float = 92.0) -> DataFrame:
     """``left_title, right_title, year, episode, similarity`` of alike but unequal titles of one year and episode.
 
-    Texts of which one's words contain the other's score 100 and are left out, as equal ones are. A
-    ratio of T % bounds how far the lengths of the distinct words may differ, unless words are shared;
-    titles that share no word are compared only within that bound.
+    Texts of which one's words contain the other's score 100 and are left out, as equal ones are. Before
+    titles are scored, bounds that no hit exceeds are looked at, in compiled code: the letters by which
+    the distinct words of two titles differ in all, or by which one exceeds the words they share.
     """
-    a, b = (x.select("title", "year", "episode").distinct() for x in (queries, keys))
-    a, b = a.toDF("left_title", "year_a", "episode_a"), b.toDF("right_title", "year_b", "episode_b")
-    same = F.col("year_a").eqNullSafe(F.col("year_b")) & F.col("episode_a").eqNullSafe(F.col("episode_b")) & (F.col("left_title") != F.col("right_title"))
-    la, lb = (F.length(F.array_join(F.array_distinct(F.array_remove(F.split(t, BLANKS), "")), " ")) for t in ("left_title", "right_title"))
-    share = F.arrays_overlap(F.split("left_title", BLANKS), F.split("right_title", BLANKS))
-    close = F.least(la, lb) * 2.0 / (la + lb) * 100.0 >= threshold
-    pairs = a.join(b, same & (share | close))
-    scored = pairs.select("left_title", "right_title", F.col("year_a").alias("year"), F.col("episode_a").alias("episode"), token_set_ratio("left_title", "right_title").alias("similarity"))
+    distinct = F.array_join(F.array_distinct(F.array_remove(F.split("title", BLANKS), "")), " ")
+    sides = []
+    for rows, side in ((queries, "left"), (keys, "right")):
+        own = rows.select("title", "year", "episode").distinct().withColumn("plain", distinct)
+        own = own.select("title", "year", "episode", F.length("plain").alias("n"), F.split("plain", " ").alias("words"), *(letters_at_least(F.col("plain"), t).alias(f"b{t}") for t in (1, 2)))
+        sides.append(own.toDF(*(f"{side}_{c}" for c in own.columns)))
+    left, right = (lambda c: F.col(f"left_{c}")), (lambda c: F.col(f"right_{c}"))
+    same = left("year").eqNullSafe(right("year")) & left("episode").eqNullSafe(right("episode")) & (left("title") != right("title"))
+
+    def bits(combine) -> Column:
+        return F.bit_count(combine(left("b1"), right("b1"))) + F.bit_count(combine(left("b2"), right("b2")))
+
+    total = left("n") + right("n")
+    close = bits(lambda a, b: a.bitwiseXOR(b)) <= total * (1 - threshold / 100.0) + 1e-6
+    close &= F.least(left("n"), right("n")) * 200.0 >= total * threshold - 1e-6
+    spare = 1 - threshold / (200.0 - threshold)  # share of a title that the words in common may leave out
+    within = (bits(lambda a, b: a.bitwiseAND(F.bitwise_not(b))) <= left("n") * spare + 1e-6) | (bits(lambda a, b: b.bitwiseAND(F.bitwise_not(a))) <= right("n") * spare + 1e-6)
+    pairs = sides[0].join(sides[1], same & (close | (within & F.arrays_overlap(left("words"), right("words")))))
+    scored = pairs.select("left_title", "right_title", left("year").alias("year"), left("episode").alias("episode"), token_set_ratio("left_title", "right_title").alias("similarity"))
     return scored.where((F.col("similarity") >= threshold) & (F.col("similarity") < 100))
 
 

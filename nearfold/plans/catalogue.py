@@ -20,6 +20,7 @@ from ..functions.hashing import ALGORITHM, full_hash, partial_hash
 from ..functions.names import BRACKETED, FLAG_WORDS, GENERIC_WORDS, NOT_EPISODES, QUALITY_WORDS, contextual_name, normalized_name
 from ..functions.similarity import hamming_similarity, image_similarity
 from ..operators import clusters, evaluation, exact, journal, matching, naming, planning, review, store
+from ..runtime import stage
 from ..sources.listing import owned_by_first_root
 from ..tables import table
 
@@ -377,7 +378,8 @@ clusters AS (SELECT n.path, n.root, CASE WHEN c.path IS NOT NULL THEN c.level ||
 def _clusters(spark: SparkSession, folder: str) -> DataFrame:
     files = table(spark, folder, "files", "path", "root", "full_hash")
     same = exact.collided(files, "full_hash").select(F.col("full_hash").alias("hash_value"), "path")
-    return clusters.assignments(files, same, _accepted(spark, folder), _titled(spark, folder))
+    # read several times by what follows
+    return stage(clusters.assignments(files, same, _accepted(spark, folder), _titled(spark, folder)), "clusters")
 
 
 @query(CLUSTERS_SQL + "SELECT * FROM clusters")

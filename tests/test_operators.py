@@ -240,3 +240,22 @@ def test_kept_bits_leave_close_words_a_mask():
             for _ in range(200):
                 harm = sum(1 << i for i in rng.sample(range(bits), distance))
                 assert any(not m & harm for m in masks)
+
+
+def test_fuzzy_hints_equal_comparing_all_pairs(spark):
+    from nearfold.functions.names import set_ratio
+
+    rng = random.Random(5)
+    words = ["night", "clock", "the", "naruto", "тиха", "вода", "aaa", "aa", "42", "harbour", "s"]
+    titles = {" ".join(rng.choice(words) for _ in range(rng.randrange(1, 6))) for _ in range(60)}
+    for title in list(titles):
+        some = list(title)
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(some) + 1)
+            some[at : at + rng.randrange(2)] = rng.choice(["", "x", "a", " ", " "])
+        titles.add("".join(some).strip())
+    titles.discard("")
+    keys = naming.name_keys(spark.createDataFrame([(t, None, None) for t in sorted(titles)], "core_title string, year int, episode int"))
+    for threshold in (92.0, 75.0):
+        got = {(r.left_title, r.right_title) for r in naming.fuzzy_hints(keys, keys, threshold).collect()}
+        assert got == {(a, b) for a in titles for b in titles if a != b and threshold <= set_ratio(a, b) < 100} and got
