@@ -22,12 +22,16 @@ from pyspark.sql import types as T
 
 from ..runtime import ship_package, stage
 
-# Letters of other scripts and the Latin letter that looks the same, in pairs.
+# Letters of other scripts and the Latin letter that looks the same, in pairs. These are
+# the pairs that fonts draw alike, not all that the public list of confusable characters holds.
 CYRILLIC = "АAВBЕEКKМMНHОOРPСCТTХXІIЈJЅSУYԚQԜWҮYӀIԌGаaеeоoрpсcуyхxіiјjѕsһhԁdԛqԝwүyӏlҺh"
 GREEK = "ΑAΒBΕEΖZΗHΙIΚKΜMΝNΟOΡPΤTΥYΧXϹCϺMοoνvϲcϳjιiαaρpυu"
 ARMENIAN = "ՕOՍUԼLԼLօoսuհhոnցgզqյj"
 CHEROKEE = "ᎪAᏴBᏟCᎠDᎬEᎻHᎫJᏦKᏞLᎷMᏢPᏒRᏚSᎢTᏙVᎳWᏃZ"
 OTHERS = "ıiɑaɡgꓐBꓑPꓓDꓔTꓖGꓗKꓙJꓚCꓜZꓝFꓟMꓠNꓡLꓢSꓣRꓦVꓧHꓪWꓫXꓬYꓮAꓰEꓲIꓳOꓴU"
+COPTIC = "ⲀAⲂBⲈEⲎHⲒIⲔKⲘMⲚNⲞOⲢPⲤCⲦTⲨYⲬXⲟoⲣpⲥcⲭx"
+SMALL_CAPITALS = "ᴄcᴏoꜱsᴜuᴠvᴡwᴢz"
+RARE = "ѴVѵvƽsꭹyꮃwꮓzꮩvꮪsꮯc"
 #: Kana and the ideographs drawn alike.
 KANA = "エ工カ力タ夕ト卜ニ二ハ八ロ口ヘへノ丿"
 #: Format characters that are drawn, so not without width.
@@ -35,7 +39,7 @@ DRAWN_FORMAT = "؀؁؂؃؄؅۝܏࣢\U000110bd\U000110cd"
 #: Characters without width that are not format characters.
 WIDTHLESS = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
 
-_PAIRS = CYRILLIC + GREEK + ARMENIAN + CHEROKEE + OTHERS + KANA
+_PAIRS = CYRILLIC + GREEK + ARMENIAN + CHEROKEE + OTHERS + COPTIC + SMALL_CAPITALS + RARE + KANA
 PROTOTYPES = dict(zip(_PAIRS[::2], _PAIRS[1::2]))
 
 
@@ -81,6 +85,20 @@ def skeleton_of(column: str | Column) -> Column:
     return _skeleton_column(F.col(column) if isinstance(column, str) else column)
 
 
+def lookalike_classes(rows: DataFrame, key: str = "ord", text: str = "raw_name") -> DataFrame:
+    """``member, class_key`` of every row whose text looks like a different one: rows of one skeleton with the smallest key of them.
+
+    Linear in the rows, however many look the same: strings are brought together per skeleton, rows only
+    meet the key of their string.
+    """
+    ship_package(rows.sparkSession)
+    named = rows.select(F.col(key).alias("k"), F.col(text).alias("s")).where("k is not null and s is not null")
+    strings = stage(named.groupBy("s").agg(F.min("k").alias("least")).select("s", "least", skeleton_of("s").alias("look")), "looks")
+    classes = strings.groupBy("look").agg(F.min("least").alias("class_key"), F.count("*").alias("n")).where("n > 1")
+    keyed = strings.join(classes, "look").select("s", "class_key")
+    return named.join(keyed, "s").select(F.col("k").alias("member"), "class_key")
+
+
 def lookalike_pairs(rows: DataFrame, key: str = "ord", text: str = "raw_name", *, rows_per_salt: int = 50_000) -> DataFrame:
     """``ord_a, ord_b`` of all rows whose texts look the same but are not the same string, ``ord_a < ord_b``.
 

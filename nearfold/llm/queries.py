@@ -13,7 +13,7 @@ from .components import connected_groups
 from .fingerprints import alike_pairs
 from .history import refused_rows
 from .layouts import layout_counts, layout_groups
-from .lookalike import lookalike_pairs
+from .lookalike import lookalike_classes, lookalike_pairs
 
 # encoding, packing and abuse are imported where they are used: their libraries take up the driver's memory
 
@@ -43,6 +43,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike_pairs(table(spark, folder, "files", "ord", "raw_name"))
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """``member, class_key``: files whose names look like another, with the first file of their look."""
+    return lookalike_classes(table(spark, folder, "files", "ord", "raw_name"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     matches = table(spark, folder, "video_matches", "left", "right", "similarity")
     accepted = matches.where("`left` <> `right` and similarity >= 85 and not isnan(similarity)")
@@ -145,7 +150,7 @@ SELECT coalesce(by_hash, by_words) AS seen_ord, ord AS new_ord, CASE WHEN by_has
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p1_found": p1_found, "p1_copies": p1_copies, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found,
+        "p1_found": p1_found, "p1_copies": p1_copies, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found,
         "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
     }
 

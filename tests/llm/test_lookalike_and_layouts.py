@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from nearfold.llm.layouts import FoldTable, folded_codes, layout_counts, layout_groups, same_sequence, streamed, words_of
-from nearfold.llm.lookalike import lookalike_pairs, skeleton
+from nearfold.llm.lookalike import lookalike_classes, lookalike_pairs, skeleton
 
 
 def pairs(df):
@@ -146,3 +146,11 @@ def test_case_and_looks_together(spark):
         at += len(group)
     assert found == want
     assert {r.first_key: r.copies for r in layout_counts(layout_groups(df, looks=True)).collect()} == {k: list(want.values()).count(k) for k in set(want.values())}
+
+
+def test_lookalike_classes_are_the_closure_of_the_pairs(spark):
+    names = ["Abc", "Аbc", "Ａbc", "abc", "x", "x", "х", "ⲟk", "ok", "ᴏk", None]
+    df = spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "ord long, raw_name string")
+    assert {r.member: r.class_key for r in lookalike_classes(df).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 8: 8, 9: 8, 10: 8}
+    linked = {x for r in lookalike_pairs(df).collect() for x in r}
+    assert linked == {r.member for r in lookalike_classes(df).collect()}

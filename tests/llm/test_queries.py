@@ -11,7 +11,7 @@ from ..oracle import connect, same_rows
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = {
-    "p1_found": "tab string, first_key bigint, copy_key bigint", "p1_copies": "tab string, first_key bigint, copies bigint", "p2_found": "ord_a bigint, ord_b bigint", "p3_found": "member string, group_key string",
+    "p1_found": "tab string, first_key bigint, copy_key bigint", "p1_copies": "tab string, first_key bigint, copies bigint", "p2_found": "ord_a bigint, ord_b bigint", "p2_classes": "member bigint, class_key bigint", "p3_found": "member string, group_key string",
     "p4_found": "medium string, ord_a bigint, ord_b bigint", "p5_found": "seen_ord bigint, new_ord bigint, how string", "p6_ids": "doc_id bigint, ids array<int>",
     "p8_found": "doc_id bigint",
 }
