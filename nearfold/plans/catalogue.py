@@ -1,9 +1,7 @@
 """The catalogue of queries over a data folder, each with the SQL that must give the same rows.
 
 Every query takes its whole tables. Searches that have no result of linear size take as queries the
-rows whose ord or id is divisible by 100, against all rows. Queries without SQL are those that SQL
-cannot state or only at a cost that grows with the square of the tables; their operators are tested
-against plain implementations.
+rows whose ord or id is divisible by 100, against all rows. Report orders show a report's first rows.
 
 The SQL tells NaN by its text: DuckDB takes isnan from a file's statistics, and those leave NaN out.
 """
