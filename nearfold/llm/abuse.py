@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship_package, stage
-from .combinations import mixed
+from ..operators.combinations import mixed
 from .lookalike import skeleton
 
 #: Labelled documents that the model is fitted on, at most; chosen by a hash of their id.

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import DURATION_DELTA, DURATION_RATIO, flat
 from ..runtime import parts_for, ship_package, stage, staged_path, unstage
 from .alikeness import VIDEO
-from .combinations import close_items, family, frequent_words
+from ..operators.combinations import close_items, family, frequent_words
 from .fingerprints import usable, with_class_key
 from .hotpairs import alike_rows, combined, near_words
 

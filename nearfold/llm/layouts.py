@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship_package, stage, unstage
-from .combinations import mixed
+from ..operators.combinations import mixed
 from .components import connected_groups
 from .lookalike import CYRILLIC, GREEK, prototype
 

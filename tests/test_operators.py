@@ -62,6 +62,19 @@ def test_image_matches_equal_brute_force(spark, make_files):
     assert matching.image_matches(files, 101.0).count() == 0
 
 
+def test_image_matches_leave_out_null_words_and_copies(spark, make_files):
+    words = [[5, 1, 2, 3], [5, 1, 2, 3], [5, 1, 2, 3], [7, 1, 2, 3], [5, 1, None, 3], [5, 1, None, 3], [None, 1, 2, 3], [None, 1, 2, 3]]
+    files = make_files([{"image_fingerprint": w, "full_hash": h} for w, h in zip(words, ["a", "a", None, "a", "b", "c", "d", "e"])])
+    found = {(r.ord_a, r.ord_b): r.similarity for r in matching.image_matches(files).collect()}
+    assert found == {(0, 2): 100.0, (1, 2): 100.0, (2, 3): 98.75}
+
+
+def test_image_matches_shuffle_no_row_per_image_and_mask(spark, make_files):
+    files = make_files([{"image_fingerprint": [i * 0x0123456789ABCD, 0, 0, 0]} for i in range(3000)])
+    plan = matching.image_matches(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
 def test_video_matches_and_recheck(spark, make_files):
     zeros, top, ones, half = [0] * 5, [-(2**63)] * 5, [-1] * 5, [0xFFFF] * 5
     files = make_files([{"fingerprint": f, "fingerprint_version": 2, "duration": d} for f, d in ((zeros, 60.0), (top, 60.0), (ones, 60.0), (half, 61.0), ([], 60.0))])
