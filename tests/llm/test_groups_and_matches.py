@@ -106,6 +106,35 @@ def test_combinations_miss_nothing_within_tolerance(spark, bits, most, words, pe
     assert combination_pairs(df.where("false"), [Index(every_word, bits, most, words)]).count() == 0
 
 
+def test_groups_of_a_large_table_are_sent_in_rounds(spark):
+    large = [Index(every_word, 64, 9, 5_000_000, keys=27), Index(every_word, 64, 8, 72_000_000)]
+    rounds = combinations.rounds_of(large, combinations.ENTRIES_PER_TASK, combinations.ENTRIES_PER_ROUND)
+    sent = [sum(large[g.index].words * large[g.index].keys for g in r) for r in rounds]
+    assert len(rounds) > 10 and max(sent) <= 2 * 27 * 5_000_000
+    assert [(g.index, g.masks) for r in rounds for g in r] == [(i, m) for i, x in enumerate(large) for m, _, _ in x.groups(combinations.ENTRIES_PER_TASK)]
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    items = [(i, [signed(flipped(rng, rng.choice(base), rng.randrange(6))) for _ in range(rng.randrange(1, 4))]) for i in range(150)]
+    df = spark.createDataFrame(items, "id long, words array<long>")
+    index = [Index(every_word, 64, 5, 300), Index(every_word, 64, 2, 300)]
+    assert len(combinations.rounds_of(index, 40, 1)) > 2
+    want = {(r.a, r.b) for r in combination_pairs(df, index).collect()}
+    got = [(r.a, r.b) for r in combination_pairs(df, index, per_task=40, per_round=1).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_staged_write_leaves_no_shuffle_files(spark):
+    from nearfold import runtime
+
+    def files() -> int:
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    before = files()
+    staged = runtime.stage(spark.range(1000).selectExpr("id", "id * 7 % 10 as x").repartition(3, "x"), "tidy")
+    assert files() <= before and spark.conf.get(runtime.TIDY, "false") == "false"
+    assert staged.count() == 1000
+
+
 def test_more_words_get_longer_combinations():
     sizes = [min(m.bit_count() for m in family(n, 64, 4)) for n in (100, 10**6, 10**8, 10**10)]
     assert sizes == sorted(sizes) and sizes[-1] > sizes[0]
