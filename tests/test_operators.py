@@ -218,6 +218,44 @@ def test_review(spark):
     assert review.filtered(items, "video").count() == 1 and {r.title for r in review.numbered(items, "paths").collect()} == {"Exact 1", "Exact 2", "Video 1"}
 
 
+@pytest.mark.parametrize("once,cell", [(False, 7), (True, 16384)])
+def test_video_matches_equal_brute_force_without_rows_of_pairs(spark, make_files, monkeypatch, once, cell):
+    import numpy as np
+
+    from nearfold.functions.similarity import sequence_scores
+
+    monkeypatch.setattr(matching, "CELL_VIDEOS", cell)
+    rng = random.Random(cell)
+    base = [rng.getrandbits(64) for _ in range(17)]
+
+    def noisy(frames):
+        return [w ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(30))) for w in frames]
+
+    rows = []
+    for i in range(60):
+        at, n = rng.randrange(3), rng.choice([1, 2, 5, 9, 14, 15])
+        frames = noisy(base[at : at + n]) if rng.random() < 0.8 else [rng.getrandbits(64) for _ in range(n)]
+        frames = [w - 2**64 if w >= 2**63 else w for w in frames]
+        rows.append({"fingerprint": frames, "fingerprint_version": 2, "duration": rng.choice([60.0, 90.0, 91.0, 134.9, 3000.0, 3900.0, 3900.1, 1e-3]), "full_hash": rng.choice([None, "a", str(i)])})
+    videos = matching.videos(make_files(rows))
+    for least in (85.0, 65.0, 0.0):
+        want = {}
+        for i, a in enumerate(rows):
+            for j, b in enumerate(rows):
+                low, high = sorted((a["duration"], b["duration"]))
+                if (i < j if once else i != j) and high / low <= 1.5 and high - low <= 900 and not (a["full_hash"] and a["full_hash"] == b["full_hash"]):
+                    x, y = (np.array(f["fingerprint"], np.int64).view(np.uint64) for f in (a, b))
+                    score = sequence_scores(x, np.array([0, len(x)]), y, np.array([0, len(y)]))[0]
+                    if score >= least:
+                        want[i, j] = (high - low, score)
+        found = matching.video_matches(videos, videos, least, once=once)
+        got = found.collect()
+        assert {(r.ord_a, r.ord_b): (r.delta, r.similarity) for r in got} == want and len(got) == len(want)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    none = matching.video_matches(videos.where("false"), videos, 85.0)
+    assert none.count() == 0
+
+
 def test_fuzzy_hints_of_titles_with_repeated_words(spark):
     keys = spark.createDataFrame([("abcdefghijklm abcdefghijklm", None, None), ("abcdefghijklmn", None, None)], "title string, year int, episode int")
     assert [round(p.similarity) for p in naming.fuzzy_hints(keys, keys).where("left_title < right_title").collect()] == [96]
