@@ -137,32 +137,96 @@ def letters_at_least(text: Column, times: int) -> Column:
     return F.aggregate(often, F.lit(0).cast("long"), lambda bits, k: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
 
 
+#: Letters about as often as they come, so that classes of letters by their place are of about one size.
+COMMON_LETTERS = " eaoirnsultkmhdgbzcvypfjwxq"
+#: Thresholds from which titles are looked up by their letters; below, those of one year and episode are all compared.
+LETTERED_FROM = 70.0
+#: More than any rounding of a ratio.
+_ROOM = 1e-6
+
+
+def _class_of(letter: Column, classes: Column) -> Column:
+    place = F.instr(F.lit(COMMON_LETTERS), letter)
+    return F.pmod(F.when(place > 0, place).otherwise(F.ascii(letter)), classes)
+
+
+def _letter_keys(own: DataFrame, threshold: float) -> DataFrame:
+    """Rows once per ``parts`` (a number of classes of letters) and class, with a hash of the letters it has of the class.
+
+    Texts with a ratio of ``threshold`` differ in at most d letters, by their lengths: of d + 1 classes of letters they have one equally.
+    """
+    if threshold < LETTERED_FROM:
+        return own.withColumns({"parts": F.lit(0), "key": F.xxhash64("year", "episode")})
+    share = 1 - threshold / 100.0
+    # the other text may have from n * t / (200 - t) to n * (200 - t) / t letters
+    least, most = (
+        F.greatest(F.lit(0), F.floor(F.col("n") * (1 + x) * share + room).cast("int"))
+        for x, room in ((threshold / (200.0 - threshold), -_ROOM), ((200.0 - threshold) / threshold, 2 * _ROOM))
+    )
+    parted = own.withColumn("letters", F.array_sort(F.split("plain", ""))).withColumn("parts", F.explode(F.sequence(least + 1, most + 1)))
+    parted = parted.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    some = F.filter("letters", lambda c: _class_of(c, F.col("parts")) == F.col("part"))
+    return parted.withColumn("key", F.xxhash64("year", "episode", "parts", "part", some)).drop("letters", "part")
+
+
+def _rarest_first(own: DataFrame, words: DataFrame) -> DataFrame:
+    """``own`` with its words as ``ranked``, those rare in ``words`` (word, one row per title) first."""
+    often = words.groupBy("word").agg(F.count("*").alias("often"))
+    ranked = own.select("side", F.explode("words").alias("word")).join(often, "word", "left")
+    ranked = ranked.groupBy("side").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word"))).alias("ranked"))
+    return own.join(ranked.select("side", F.col("ranked.word").alias("ranked")), "side")
+
+
+def _needed(ranked: Column, most: Column) -> Column:
+    """The first of the words that can't all be among those left out: with their blanks they are longer than ``most``."""
+    size = lambda words: F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w) + 1)
+    return F.filter(ranked, lambda _, i: size(F.slice(ranked, F.lit(1), i)) <= most)
+
+
 def fuzzy_hints(queries: DataFrame, keys: DataFrame, threshold: float = 92.0) -> DataFrame:
     """``left_title, right_title, year, episode, similarity`` of alike but unequal titles of one year and episode.
 
-    Texts of which one's words contain the other's score 100 and are left out, as equal ones are. Before
-    titles are scored, bounds that no hit exceeds are looked at, in compiled code: the letters by which
-    the distinct words of two titles differ in all, or by which one exceeds the words they share.
+    Texts of which one's words contain the other's score 100 and are left out, as equal ones are. Two titles
+    are looked at only where a hit is possible: where they have all letters of some class equally often (a hit
+    by the words of both), or where a word is common to both that a title cannot do without (a hit by the
+    words they share, of which one title leaves out little). No hit is missed, and titles that share no key
+    are never compared. Bounds by letters follow, in compiled code, before the pair is scored.
     """
     distinct = F.array_join(F.array_distinct(F.array_remove(F.split("title", BLANKS), "")), " ")
     sides = []
-    for rows, side in ((queries, "left"), (keys, "right")):
-        own = rows.select("title", "year", "episode").distinct().withColumn("plain", distinct)
-        own = own.select("title", "year", "episode", F.length("plain").alias("n"), F.split("plain", " ").alias("words"), *(letters_at_least(F.col("plain"), t).alias(f"b{t}") for t in (1, 2)))
-        sides.append(own.toDF(*(f"{side}_{c}" for c in own.columns)))
+    for rows in (queries,) if queries is keys else (queries, keys):
+        own = rows.select("title", "year", "episode").distinct().withColumn("plain", distinct).where("plain <> ''")
+        sides.append(stage(own.select("title", "year", "episode", "plain", F.length("plain").alias("n"), F.split("plain", " ").alias("words"), *(letters_at_least(F.col("plain"), t).alias(f"b{t}") for t in (1, 2))), "titles"))
+    sides = [sides[0], sides[-1]]
     left, right = (lambda c: F.col(f"left_{c}")), (lambda c: F.col(f"right_{c}"))
     same = left("year").eqNullSafe(right("year")) & left("episode").eqNullSafe(right("episode")) & (left("title") != right("title"))
 
     def bits(combine) -> Column:
         return F.bit_count(combine(left("b1"), right("b1"))) + F.bit_count(combine(left("b2"), right("b2")))
 
+    def named(df: DataFrame, side: str) -> DataFrame:
+        return df.toDF(*(f"{side}_{c}" for c in df.columns))
+
     total = left("n") + right("n")
-    close = bits(lambda a, b: a.bitwiseXOR(b)) <= total * (1 - threshold / 100.0) + 1e-6
-    close &= F.least(left("n"), right("n")) * 200.0 >= total * threshold - 1e-6
+    close = bits(lambda a, b: a.bitwiseXOR(b)) <= total * (1 - threshold / 100.0) + _ROOM
+    close &= F.least(left("n"), right("n")) * 200.0 >= total * threshold - _ROOM
+    if threshold >= LETTERED_FROM:
+        close &= left("parts") == F.floor(total * (1 - threshold / 100.0) + _ROOM) + 1
+    lettered = [named(_letter_keys(own.select("title", "year", "episode", "plain", "n", "b1", "b2"), threshold).drop("plain"), side) for own, side in zip(sides, ("left", "right"))]
+    shown = ["left_title", "right_title", left("year").alias("year"), left("episode").alias("episode")]
+    agree = (left("key") == right("key")) & (left("parts") == right("parts"))
+    pairs = lettered[0].join(lettered[1], agree & same & close).select(*shown)
     spare = 1 - threshold / (200.0 - threshold)  # share of a title that the words in common may leave out
-    within = (bits(lambda a, b: a.bitwiseAND(F.bitwise_not(b))) <= left("n") * spare + 1e-6) | (bits(lambda a, b: b.bitwiseAND(F.bitwise_not(a))) <= right("n") * spare + 1e-6)
-    pairs = sides[0].join(sides[1], same & (close | (within & F.arrays_overlap(left("words"), right("words")))))
-    scored = pairs.select("left_title", "right_title", left("year").alias("year"), left("episode").alias("episode"), token_set_ratio("left_title", "right_title").alias("similarity"))
+    for one, two in (("left", "right"), ("right", "left")):
+        brief, whole = (sides if one == "left" else sides[::-1])
+        postings = whole.select("title", "year", "episode", "b1", "b2", F.explode("words").alias("word"))
+        # a word left out takes its blank with it
+        some = brief.where(F.array_min(F.transform("words", F.length)) + 1 <= F.col("n") * spare + _ROOM).withColumn("side", F.struct("title", "year", "episode"))
+        ranked = _rarest_first(some, postings).withColumn("word", F.explode(_needed(F.col("ranked"), F.col("n") * spare + _ROOM)))
+        ranked, postings = named(ranked.select("title", "year", "episode", "n", "b1", "b2", "word"), one), named(postings, two)
+        within = bits(lambda a, b: (a if one == "left" else b).bitwiseAND(F.bitwise_not(b if one == "left" else a))) <= F.col(f"{one}_n") * spare + _ROOM
+        pairs = pairs.union(ranked.join(postings, (left("word") == right("word")) & same & within).select(*shown))
+    scored = pairs.distinct().withColumn("similarity", token_set_ratio("left_title", "right_title"))
     return scored.where((F.col("similarity") >= threshold) & (F.col("similarity") < 100))
 
 

@@ -310,3 +310,32 @@ def test_fuzzy_hints_equal_comparing_all_pairs(spark):
     for threshold in (92.0, 75.0):
         got = {(r.left_title, r.right_title) for r in naming.fuzzy_hints(keys, keys, threshold).collect()}
         assert got == {(a, b) for a in titles for b in titles if a != b and threshold <= set_ratio(a, b) < 100} and got
+
+
+def test_fuzzy_hints_compare_only_titles_that_share_a_key(spark):
+    from nearfold.functions.names import set_ratio
+
+    rng = random.Random(8)
+    letters = "abcdefghijklmnoprstuvzяжшのネ𝒜𝒞"
+    word = lambda low, high: "".join(rng.choice(letters) for _ in range(rng.randrange(low, high)))
+    titles = set()
+    for _ in range(25):
+        some = [word(1, 9) for _ in range(rng.randrange(1, 7))]
+        titles.add(" ".join(some))
+        titles.add(" ".join([*some, word(1, 3)]))
+        titles.add(" ".join([*some[::-1], word(1, 2), *(word(4, 9) for _ in range(5))]))
+        at = rng.randrange(len(some))
+        some[at] = some[at][:-1] + word(1, 3)
+        titles.add(" ".join(some))
+    titles |= {"a" * n for n in range(9, 30)} | {"ab " * 8 + c for c in "abc"}
+    rows = [(t, rng.choice([None, 2000]), rng.choice([None, 1])) for t in sorted(titles) for _ in range(3)]
+    keys = spark.createDataFrame(rows, "title string, year int, episode int").withColumn("title", F.trim("title"))
+    known = {(r.title, r.year, r.episode) for r in keys.collect()}
+    for threshold in (92.0, 80.0, 60.0):
+        hints = naming.fuzzy_hints(keys, keys, threshold)
+        got = [(r.left_title, r.right_title, r.year, r.episode) for r in hints.collect()]
+        want = {(a, b, y, e) for a, y, e in known for b, z, f in known if (y, e) == (z, f) and a != b and threshold <= set_ratio(a, b) < 100}
+        assert set(got) == want and len(got) == len(want) and want
+        if threshold >= naming.LETTERED_FROM:
+            joins = [line for line in hints._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in line and "left_title" in line]
+            assert joins and all("left_key" in j or "left_word" in j for j in joins)
