@@ -32,6 +32,7 @@ import posixpath
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import DURATION_DELTA, DURATION_RATIO, flat
 from ..runtime import parts_for, ship_package, stage, staged_path, unstage
 from .alikeness import VIDEO
-from ..operators.combinations import close_items, family, frequent_words
+from ..operators.combinations import HELD, Index, close_items, crossing_family, crossing_words, family, frequent_words
 from .fingerprints import usable, with_class_key
 from .hotpairs import alike_rows, combined, near_words
 
@@ -52,6 +53,8 @@ from .hotpairs import alike_rows, combined, near_words
 WORDS_PER_BUCKET, HASHES_PER_BUCKET = 1 << 20, 1 << 21
 #: Rows of a batch that are decided in one step, and units of the first chunk of a step.
 STEP_ROWS, FIRST_CHUNK = 200_000, 128
+#: Words of either side, of buckets and of a batch, that one task compares, about.
+WORDS_PER_SIDE = 1 << 21
 #: Live parts of a history before they are merged.
 MOST_PARTS = 16
 #: Durations of one band differ by this factor at most: compatible ones lie in the same or the next band.
@@ -84,6 +87,36 @@ def _ragged(tables: list[pa.Table]) -> tuple[np.ndarray, np.ndarray]:
     return values[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _sided(index: Index, values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]:
+    """Words and rows of the entries of some rows by key and freshness, made from a part of the rows at a time."""
+    out: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+    for part in np.array_split(rows, max(1, len(rows) >> 14)):
+        got = index.entries(*_kept(values, offsets, part))
+        group = 2 * got.key + (1 if got.fresh is None else got.fresh)
+        order = np.argsort(group, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            if len(some):
+                number = int(group[some[0]])
+                out[number >> 1, bool(number & 1)].append((got.word[some], part[got.row[some]].astype(np.int32)))
+    return {k: tuple(np.concatenate(x) for x in zip(*out.pop(k))) for k in list(out)}
+
+
+def _crossing(index: Index, values: np.ndarray, offsets: np.ndarray, sides: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Distinct pairs of a row of either side that hold entries of one key within the distance of an index."""
+    left, right = (_sided(index, values, offsets, rows) for rows in sides)
+    held, size = [np.zeros(0, np.int64)], 0
+    for (key, fresh), (a, x) in left.items():
+        for (b, y) in (right[key, f] for f in (False, True) if (fresh or f) and (key, f) in right):
+            for i, j in crossing_words(a, b, crossing_family(len(a), len(b), index.bits, index.most), index.most):
+                held.append(x[i].astype(np.int64) << 32 | y[j])
+                size += len(i)
+                if size > HELD:
+                    held = [np.unique(np.concatenate(held))]
+                    size = len(held[0]) // 2
+    codes = np.unique(np.concatenate(held))
+    return np.stack([codes >> 32, codes & 0xFFFFFFFF], 1)
+
+
 def alike_across(tables: tuple[pa.Table, pa.Table], hot: np.ndarray, *, inside: bool = False) -> np.ndarray:
     """Alike pairs (row of the first table, row of the second) of two tables of distinct fingerprints (words, labels).
 
@@ -98,10 +131,12 @@ def alike_across(tables: tuple[pa.Table, pa.Table], hot: np.ndarray, *, inside:
     held: list[np.ndarray] = []
 
     def search(rows: np.ndarray, after: bool) -> None:
-        some, ends = _kept(values, offsets, rows)
         kinds, counts = np.unique(sizes[rows], return_counts=True)
         for index in VIDEO.indexes(dict(zip(kinds.tolist(), counts.tolist())), hot, after):
-            got = index.entries(some, ends)
+            if not inside:
+                held.append(_crossing(index, values, offsets, (rows[first[rows]], rows[~first[rows]])))
+                continue
+            got = index.entries(*_kept(values, offsets, rows))
             masks = list(family(index.words // index.keys or 1, index.bits, index.most))
             order = np.argsort(got.key, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(got.key[order])) + 1):
@@ -109,8 +144,7 @@ def alike_across(tables: tuple[pa.Table, pa.Table], hot: np.ndarray, *, inside:
                     continue
                 item = rows[got.row[part]]
                 fresh = first[item] if got.fresh is None else got.fresh[part]
-                side = None if inside else first[item]
-                for pairs in close_items(got.word[part], item, masks, index.most, fresh=fresh, side=side):
+                for pairs in close_items(got.word[part], item, masks, index.most, fresh=fresh):
                     held.append(pairs[first[pairs[:, 0]]])
 
     search(np.arange(len(sizes)), False)
@@ -118,8 +152,10 @@ def alike_across(tables: tuple[pa.Table, pa.Table], hot: np.ndarray, *, inside:
     if first[both].any():
         search(both, True)
     pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *held]), axis=0)
-    good = VIDEO.alike(*_kept(values, offsets, pairs[:, 0]), *_kept(values, offsets, pairs[:, 1]), VIDEO.least)
-    out = [pairs[good]]
+    held.clear()
+    out = []
+    for part in np.array_split(pairs, max(1, len(pairs) >> 17)):
+        out.append(part[VIDEO.alike(*_kept(values, offsets, part[:, 0]), *_kept(values, offsets, part[:, 1]), VIDEO.least)])
     own = np.array([VIDEO.lost(n) + 1 for n in sizes.tolist()], np.int64)
     groups: dict[int, list[int]] = defaultdict(list)
     for size in set(own[both].tolist()):
@@ -176,19 +212,28 @@ def smallest_alike(probes: pa.Table, stored: pa.Table, hot: np.ndarray) -> np.nd
     return np.where(best == none, -1, best)
 
 
-def _probed(folders: list[tuple[str, int]], probes: str, hot: np.ndarray):
-    """Numbers of buckets to (h1, h2, duration, seen): the batch's probes of the bands around one bucket against it."""
+def _joined(folders: list[str], columns: list[str]) -> pa.Table | None:
+    tables = [t for f in folders if (t := _opened(f, columns)) is not None and t.num_rows]
+    return pa.concat_tables(tables).combine_chunks() if tables else None
+
+
+def _fitting(asked: pa.Table, stored: pa.Table) -> pa.Table:
+    """Rows of a duration that some stored row may agree with."""
+    spans, duration = stored.column("duration").to_numpy(), asked.column("duration").to_numpy()
+    return asked.filter(pa.array(_compatible(duration, np.clip(duration, spans.min(), spans.max()))))
+
+
+def _probed(tiles: list[tuple[list[str], list[str]]], hot: np.ndarray):
+    """Numbers of tiles (folders of stored signatures, folders of probes) to (h1, h2, duration, seen)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number in batch.column(0).to_pylist():
-                folder, band = folders[number]
+                folders, probes = tiles[number]
                 columns = ["h1", "h2", "duration", "words", "labels"]
-                asked = [t for b in (band - 1, band, band + 1) if (t := _opened(f"{probes}/band={b}", columns)) is not None]
-                stored = _opened(folder, [*columns, "ord"])
-                if not asked or stored is None:
+                if (asked := _joined(probes, columns)) is None or (stored := _joined(folders, [*columns, "ord"])) is None:
                     continue
-                asked = pa.concat_tables(asked).combine_chunks()
+                asked = _fitting(asked, stored)
                 seen = smallest_alike(asked, stored, hot)
                 some = asked.select(["h1", "h2", "duration"]).append_column("seen", pa.array(seen)).filter(pa.array(seen >= 0))
                 yield from some.combine_chunks().to_batches()
@@ -302,6 +347,15 @@ def _decided(hot: np.ndarray, first_chunk: int):
     return run
 
 
+@dataclass(frozen=True)
+class Found:
+    """What a search of some parts of a history found for many rows at once: ``full_hash, before`` and ``h1, h2, duration, older`` (staged)."""
+
+    parts: frozenset[int]
+    hashes: DataFrame
+    signatures: DataFrame
+
+
 class History:
     """Accepted rows of one collection, kept in ``path`` below the shared folder."""
 
@@ -368,7 +422,7 @@ class History:
         hashes = units.where("full_hash is not null").groupBy("full_hash").agg(F.min("unit").alias("ord"))
         self._write(hashes, self._signatures(units), units)
 
-    def _write(self, hashes: DataFrame, signatures: DataFrame, sized: DataFrame, merged: bool = False) -> None:
+    def _write(self, hashes: DataFrame, signatures: DataFrame, sized: DataFrame, merged: list[dict] | None = None) -> None:
         counts = sized.groupBy(F.when(F.col("words").isNotNull(), _band()).alias("band")).agg(F.count("*").alias("n"), F.sum(F.size("words").cast("long")).alias("w")).collect()
         number = self.state["number"] + 1
         buckets = parts_for(sum(r.n for r in counts), HASHES_PER_BUCKET)
@@ -382,7 +436,7 @@ class History:
             placed = signatures.drop("band").withColumn("band", _band()).withColumn("bucket", (place + F.pmod(F.xxhash64("h1"), cuts)).cast("int")).drop("band")
             self._save(placed.repartitionById(sum(bands.values()), F.col("bucket")), f"signatures/number={number}", "bucket")
         part = {"number": number, "hashes": buckets, "bands": list(bands.items())}
-        kept = [] if merged else self.state["parts"]
+        kept = [p for p in self.state["parts"] if p not in (merged or [])]
         self._commit({**self.state, "number": number, "parts": [*kept, part]})
 
     def _save(self, df: DataFrame, name: str, by: str) -> None:
@@ -392,13 +446,13 @@ class History:
         reader = self.spark.read.schema(fields).option("basePath", f"{self.path}/{kind}")
         return reader.parquet(*(f"{self.path}/{kind}/number={n}" for n in numbers)) if numbers else self.spark.createDataFrame([], fields)
 
-    def compact(self) -> None:
-        """Merge all live parts into one, with buckets for the size it has now; what they were is deleted afterwards."""
-        old = self.state["parts"]
+    def compact(self, old: list[dict] | None = None) -> None:
+        """Merge live parts (all, or ``old``) into one, with buckets for the size it has now; what they were is deleted afterwards."""
+        old = self.state["parts"] if old is None else old
         hashes = self._read("hashes", [p["number"] for p in old], "full_hash string, ord long")
         signatures = self._read("signatures", [p["number"] for p in old if p["bands"]], SIGNATURE)
         sized = signatures.select("words", "duration").unionByName(hashes.select(F.lit(None).cast("array<long>").alias("words"), F.lit(None).cast("double").alias("duration")))
-        self._write(hashes.groupBy("full_hash").agg(F.min("ord").alias("ord")), signatures.withColumn("band", _band()), sized, merged=True)
+        self._write(hashes.groupBy("full_hash").agg(F.min("ord").alias("ord")), signatures.withColumn("band", _band()), sized, merged=old)
         system, root = _system(self.path)
         for part in old:
             for kind in ("hashes", "signatures"):
@@ -406,20 +460,48 @@ class History:
                 if system.get_file_info(folder).type == fs.FileType.Directory:
                     system.delete_dir(folder)
 
-    def take_in(self, batch: DataFrame) -> DataFrame:
-        """Refused rows of ``batch`` as ``seen_ord, new_ord, how``; all others are accepted and appended."""
+    def look_up(self, rows: DataFrame) -> Found:
+        """What the history holds of ``rows``, in one search for all of them; ``take_in`` then searches only what came later."""
+        units = stage(self._units(rows), "rows-units")
+        parts = self.state["parts"]
+        asked = stage(units.join(self._seen_hashes(units, parts), "unit", "left"), "rows-asked")
+        signatures = stage(self._signatures(asked.where("exact is null")), "rows-signatures")
+        seen = self._seen_signatures(signatures, parts)
+        found = Found(
+            frozenset(p["number"] for p in parts),
+            stage(asked.where("exact is not null").groupBy("full_hash").agg(F.min("exact").alias("before")), "rows-hashes"),
+            stage(seen.withColumnRenamed("old", "older"), "rows-seen"),
+        )
+        for df in (units, asked, signatures):
+            unstage(df)
+        return found
+
+    def take_in(self, batch: DataFrame, found: Found | None = None) -> DataFrame:
+        """Refused rows of ``batch`` as ``seen_ord, new_ord, how``; all others are accepted and appended.
+
+        ``found`` may give what was looked up before for the batch's rows.
+        """
         units = stage(self._units(batch), "batch-units")
-        refused = stage(self._refused(batch, units), "refused")
+        refused = stage(self._refused(batch, units, found), "refused")
         unstage(units)
-        if len(self.state["parts"]) > MOST_PARTS:
-            self.compact()
+        later = self._later(found)
+        if len(later) > MOST_PARTS:
+            self.compact(later)
         return refused
 
-    def _refused(self, batch: DataFrame, units: DataFrame) -> DataFrame:
-        asked = stage(units.join(self._seen_hashes(units), "unit", "left"), "batch-asked")
+    def _later(self, found: Found | None) -> list[dict]:
+        return [p for p in self.state["parts"] if found is None or p["number"] not in found.parts]
+
+    def _refused(self, batch: DataFrame, units: DataFrame, found: Found | None) -> DataFrame:
+        parts = self._later(found)
+        asked = units.join(self._seen_hashes(units, parts), "unit", "left")
+        if found is not None:
+            asked = asked.join(found.hashes, "full_hash", "left").select(*units.columns, F.least("exact", "before").alias("exact"))
+        asked = stage(asked, "batch-asked")
         signatures = stage(self._signatures(asked.where("exact is null")), "batch-signatures")
-        seen = self._seen_signatures(signatures)
-        known = asked.join(seen, ["h1", "h2", "duration"], "left")
+        known = asked.join(self._seen_signatures(signatures, parts), ["h1", "h2", "duration"], "left")
+        if found is not None:
+            known = known.join(found.signatures, ["h1", "h2", "duration"], "left").withColumn("old", F.least("old", "older")).drop("older")
         known = stage(known.withColumn("old", F.when(F.col("exact").isNull() & F.col("words").isNotNull(), F.col("old"))), "batch-known")
         labels = signatures.select("h1", "h2", "duration", "labels")
         open_ = known.where("exact is null and old is null").join(labels, ["h1", "h2", "duration"], "left")
@@ -442,9 +524,10 @@ class History:
             unstage(df)
         return found
 
-    def _seen_hashes(self, units: DataFrame) -> DataFrame:
-        """``unit, exact``: the smallest accepted ord of each unit's hash, from the buckets the hashes fall into."""
-        parts = self.state["parts"]
+    def _seen_hashes(self, units: DataFrame, parts: list[dict]) -> DataFrame:
+        """``unit, exact``: the smallest accepted ord of each unit's hash, from the buckets of ``parts`` the hashes fall into."""
+        if not parts:
+            return self.spark.createDataFrame([], "unit long, exact long")
         firsts = [0, *itertools.accumulate(p["hashes"] for p in parts)]
         folders = [f"{self.path}/hashes/number={p['number']}/bucket={b}" for p in parts for b in range(p["hashes"])]
         buckets = F.array(*((F.pmod(F.xxhash64("full_hash"), F.lit(p["hashes"])) + F.lit(at)).cast("int") for p, at in zip(parts, firsts)))
@@ -452,21 +535,35 @@ class History:
         found = asked.repartitionById(firsts[-1], F.col("bucket")).mapInArrow(_known(folders), "unit long, seen long")
         return found.groupBy("unit").agg(F.min("seen").alias("exact"))
 
-    def _seen_signatures(self, signatures: DataFrame) -> DataFrame:
-        """``h1, h2, duration, old``: the smallest accepted ord alike to each signature, from the buckets of the bands around its own."""
+    def _seen_signatures(self, signatures: DataFrame, parts: list[dict]) -> DataFrame:
+        """``h1, h2, duration, old``: the smallest accepted ord alike to each signature, from the buckets of the bands around its own.
+
+        The buckets of a band, and the signatures that may meet them, are each cut into sides; a task compares two.
+        """
+        words = {r.band: r.n for r in signatures.groupBy("band").agg(F.sum(F.size("words").cast("long")).alias("n")).collect()} if parts else {}
+        if not words:
+            return self.spark.createDataFrame([], "h1 long, h2 long, duration double, old long")
+        around = {band: sum(words.get(b, 0) for b in (band - 1, band, band + 1)) for p in parts for band, _ in p["bands"]}
+        cuts = parts_for(max(around.values(), default=0), WORDS_PER_SIDE)
         probes = staged_path(self.spark, "probes")
-        signatures.repartition(1).write.option("compression", "zstd").partitionBy("band").parquet(probes)
-        wanted = {r.band for r in signatures.select("band").distinct().collect()}
-        folders: list[tuple[str, int]] = []
-        for part in self.state["parts"]:
+        placed = signatures.withColumn("cut", F.pmod(F.xxhash64("h2"), F.lit(cuts)).cast("int"))
+        placed.repartitionById(cuts, F.col("cut")).write.option("compression", "zstd").partitionBy("band", "cut").parquet(probes)
+        tiles: list[tuple[list[str], list[str]]] = []
+        for part in parts:
             at = 0
-            for band, cuts in part["bands"]:
-                if wanted & {band - 1, band, band + 1}:
-                    folders += [(f"{self.path}/signatures/number={part['number']}/bucket={at + i}", band) for i in range(cuts)]
-                at += cuts
+            for band, buckets in part["bands"]:
+                folders = [f"{self.path}/signatures/number={part['number']}/bucket={at + i}" for i in range(buckets)]
+                at += buckets
+                if not around[band]:
+                    continue
+                # as many buckets at once as there are words to compare them with
+                per = max(1, min(around[band], WORDS_PER_SIDE) // WORDS_PER_BUCKET)
+                for some in np.array_split(np.arange(cuts), parts_for(around[band], WORDS_PER_SIDE)):
+                    asked = [f"{probes}/band={b}/cut={c}" for b in (band - 1, band, band + 1) if b in words for c in some.tolist()]
+                    tiles += [(folders[i : i + per], asked) for i in range(0, buckets, per)]
         fields = "h1 long, h2 long, duration double, seen long"
-        numbers = self.spark.range(0, len(folders), 1, max(1, len(folders)))
-        found = numbers.mapInArrow(_probed(folders, probes, self.hot), fields)
+        numbers = self.spark.range(0, len(tiles), 1, max(1, len(tiles)))
+        found = numbers.mapInArrow(_probed(tiles, self.hot), fields)
         return found.groupBy("h1", "h2", "duration").agg(F.min("seen").alias("old"))
 
 
@@ -486,15 +583,17 @@ def refused_rows(files: DataFrame, incoming: DataFrame, *, step_rows: int = STEP
     """``seen_ord, new_ord, how`` of all rows of ``incoming`` that repeat ``files`` or an accepted row before them.
 
     Rows are taken in the order of ord, in steps of about ``step_rows`` rows: small batches together, a
-    larger one in parts. Where a batch ends makes no difference to what is refused.
+    larger one in parts. Where a batch ends makes no difference to what is refused. ``files`` is searched
+    once for all of them; a step searches only what the steps before it accepted.
     """
     history = History.create(files)
     incoming = incoming.where("ord is not null")
     steps = parts_for(incoming.count(), step_rows)
     cuts = sorted(set(incoming.approxQuantile("ord", [i / steps for i in range(1, steps)], 0.001))) if steps > 1 else []
+    known = history.look_up(incoming) if cuts else None
     out = None
     for low, high in zip([None, *cuts], [*cuts, None]):
         step = incoming if low is None else incoming.where(F.col("ord") >= low)
-        found = history.take_in(step if high is None else step.where(F.col("ord") < high))
+        found = history.take_in(step if high is None else step.where(F.col("ord") < high), known)
         out = found if out is None else out.union(found)
     return out

@@ -406,6 +406,30 @@ def test_refused_rows_of_hard_videos(spark, make_files, monkeypatch, make, chunk
     assert len(refused(make_files, rows[:half], rows[half:] + rows[half : half + 20])) > 20
 
 
+def test_a_large_batch_searches_the_old_history_once(spark, make_files, monkeypatch):
+    from nearfold.llm import history
+
+    searched, probed = [], history._probed
+    monkeypatch.setattr(history, "_probed", lambda folders, *rest: searched.append(str(folders)) or probed(folders, *rest))
+    rows = [r for r in make_media(random.Random(43), 5) if "fingerprint" in r]
+    random.Random(3).shuffle(rows)
+    old, new = rows[:60], [dict(r, ord=1000 + i) for i, r in enumerate(rows[60:])]
+    got = {tuple(r) for r in refused_rows(make_files(old), make_files(new), step_rows=len(new) // 3).collect()}
+    assert got == sequential(old, new)
+    assert sum("signatures/number=1/" in folders for folders in searched) == 1 < len(searched)
+
+
+@pytest.mark.parametrize("tolerance", [0, 3, 8, 9, 11])
+def test_crossing_words_misses_none(tolerance):
+    rng = np.random.default_rng(tolerance)
+    a = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, tolerance + i % 2, False)) for i in range(600)], np.uint64)
+    b = np.concatenate([a[:600] ^ flips, rng.integers(0, 1 << 63, 900, dtype=np.uint64), np.repeat(a[:2], 700)])
+    masks = combinations.crossing_family(len(a), len(b), 64, tolerance)
+    got = {pair for i, j in combinations.crossing_words(a, b, masks, tolerance) for pair in zip(i.tolist(), j.tolist())}
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(np.bitwise_count(a[:, None] ^ b) <= tolerance))))
+
+
 def test_a_history_is_opened_again_and_merged(spark, make_files, monkeypatch, tmp_path):
     from nearfold.llm import history
 
